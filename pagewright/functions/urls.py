@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, functions as F
@@ -30,15 +31,17 @@ class UrlPolicy:
     denied: tuple[str, ...] = ()
 
 
-@dataclass(frozen=True)
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """Bind a value once for an expression that uses it often; keeps plans small."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 class UrlParts:
-    scheme: Column
-    authority: Column
-    host: Column
-    port: Column
-    path: Column
-    query: Column
-    fragment: Column
+    """Named parts of a parsed URL."""
+
+    def __init__(self, parsed: Column):
+        for name in ("scheme", "authority", "host", "port", "path", "query", "fragment"):
+            setattr(self, name, parsed[name])
 
     @property
     def origin(self) -> Column:
@@ -58,24 +61,33 @@ class UrlParts:
         return self.scheme.isin("http", "https") & (self.host != "")
 
 
+def _parse(url: Column) -> Column:
+    def named(m: Column) -> Column:
+        hostport = F.regexp_replace(m["authority"], r"^[^@]*@", "")
+        return F.struct(
+            F.lower(m["scheme"]).alias("scheme"), m["authority"].alias("authority"),
+            F.regexp_replace(F.lower(F.regexp_replace(hostport, r":[0-9]*$", "")), r"\.$", "").alias("host"),
+            F.regexp_extract(hostport, r":([0-9]+)$", 1).alias("port"),
+            F.when((m["path"] == "") & (m["authority"] != ""), F.lit("/")).otherwise(m["path"]).alias("path"),
+            m["query"].alias("query"), m["fragment"].alias("fragment"),
+        )
+
+    names = ("scheme", "authority", "path", "query", "fragment")
+    return let(F.struct(*[F.regexp_extract(F.trim(url), _SPLIT, i + 1).alias(n) for i, n in enumerate(names)]), named)
+
+
 def parts(url: Column) -> UrlParts:
-    piece = lambda n: F.regexp_extract(F.trim(url), _SPLIT, n)
-    authority = piece(2)
-    hostport = F.regexp_replace(authority, r"^[^@]*@", "")
-    path = piece(3)
-    return UrlParts(
-        scheme=F.lower(piece(1)),
-        authority=authority,
-        host=F.regexp_replace(F.lower(F.regexp_replace(hostport, r":[0-9]*$", "")), r"\.$", ""),
-        port=F.regexp_extract(hostport, r":([0-9]+)$", 1),
-        path=F.when((path == "") & (authority != ""), F.lit("/")).otherwise(path),
-        query=piece(4),
-        fragment=piece(5),
-    )
+    return UrlParts(_parse(url))
+
+
+def with_parts(url: Column, body: Callable[[UrlParts], Column]) -> Column:
+    """Expression over the parts of a URL that is parsed once."""
+    return let(_parse(url), lambda p: body(UrlParts(p)))
 
 
 def host(url: Column) -> Column:
-    return parts(url).host
+    authority = F.regexp_extract(url, r"^\s*(?:[A-Za-z][A-Za-z0-9+.\-]*:)?//(?:[^@/?#]*@)?([^/?#:]*)", 1)
+    return F.regexp_replace(F.lower(authority), r"\.$", "")
 
 
 def _collapse_dots(path: Column) -> Column:
@@ -87,28 +99,29 @@ def _collapse_dots(path: Column) -> Column:
         .when(seg == ".", acc)
         .otherwise(F.concat(acc, F.array(seg))),
     )
-    ends_in_dot = path.rlike(r"/\.{1,2}$")
-    joined = F.array_join(folded, "/")
-    return F.when(path.contains("/."), F.when(ends_in_dot, F.concat(joined, F.lit("/"))).otherwise(joined)).otherwise(path)
+    tail = F.when(path.rlike(r"/\.{1,2}$"), "/").otherwise("")
+    return F.when(path.contains("/."), F.concat(F.array_join(folded, "/"), tail)).otherwise(path)
 
 
 def resolve(base: Column, reference: Column) -> Column:
     """Absolute URL of a link found on ``base``; fragment kept out, null for other schemes."""
-    b, ref = parts(base), F.regexp_replace(F.trim(reference), "#.*$", "")
-    origin = b.origin
-    folder = F.regexp_extract(b.path, r"^(.*/)", 1)
-    own_scheme = ref.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*:")
-    bare = F.regexp_extract(ref, r"^([^?]*)", 1)
-    query = F.regexp_extract(ref, r"(\?.*)$", 1)
-    return (
-        F.when(own_scheme & ~ref.rlike(r"^(?i)https?:"), F.lit(None).cast("string"))
-        .when(own_scheme, ref)
-        .when(ref.startswith("//"), F.concat(b.scheme, F.lit(":"), ref))
-        .when(ref == "", F.concat(origin, b.path, b.search))
-        .when(ref.startswith("?"), F.concat(origin, b.path, ref))
-        .when(ref.startswith("/"), F.concat(origin, _collapse_dots(bare), query))
-        .otherwise(F.concat(origin, _collapse_dots(F.concat(folder, bare)), query))
-    )
+
+    def absolute(v: Column) -> Column:
+        b, ref = UrlParts(v["b"]), v["r"]
+        own_scheme = ref.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*:")
+        bare = F.regexp_extract(ref, r"^([^?]*)", 1)
+        folder = F.when(ref.startswith("/"), F.lit("")).otherwise(F.regexp_extract(b.path, r"^(.*/)", 1))
+        return (
+            F.when(own_scheme & ~ref.rlike(r"^(?i)https?:"), F.lit(None).cast("string"))
+            .when(own_scheme, ref)
+            .when(ref.startswith("//"), F.concat(b.scheme, F.lit(":"), ref))
+            .when(ref == "", F.concat(b.origin, b.path, b.search))
+            .when(ref.startswith("?"), F.concat(b.origin, b.path, ref))
+            .otherwise(F.concat(b.origin, _collapse_dots(F.concat(folder, bare)), F.regexp_extract(ref, r"(\?.*)$", 1)))
+        )
+
+    clean = F.regexp_replace(F.trim(reference), "#.*$", "")
+    return let(F.struct(_parse(base).alias("b"), clean.alias("r")), absolute)
 
 
 def _pair_name(pair: Column) -> Column:
@@ -139,7 +152,10 @@ def decode_unreserved(value: Column) -> Column:
 
 def crawl_key(url: Column, policy: UrlPolicy = UrlPolicy()) -> Column:
     """Address a crawl stores: no fragment, lower host, chosen path and query rules."""
-    u = parts(url)
+    return with_parts(url, lambda u: _crawl_key(u, policy))
+
+
+def _crawl_key(u: UrlParts, policy: UrlPolicy) -> Column:
     path = F.lower(u.path) if policy.lowercase_path else u.path
     if policy.trim_trailing_slash:
         path = F.when(F.length(path) > 1, F.regexp_replace(path, "/+$", "")).otherwise(path)
@@ -182,7 +198,10 @@ def url_key(url: Column, flavour: str) -> Column:
     ``snapshot``  no scheme, www dropped, root path empty, tracking out, query sorted
     ``alternate`` only fragment and one trailing slash dropped
     """
-    u = parts(url)
+    return with_parts(url, lambda u: _url_key(u, url, flavour))
+
+
+def _url_key(u: UrlParts, url: Column, flavour: str) -> Column:
     trimmed = F.regexp_replace(u.path, "/+$", "")
     bare_host = F.regexp_replace(u.host, r"^www\.", "")
     if flavour == "gate":
@@ -238,7 +257,10 @@ def section(url: Column) -> Column:
 
 def listing_base(url: Column) -> Column:
     """Address of the first page of a paged listing: page path part and page parameters removed."""
-    u = parts(url)
+    return with_parts(url, _listing_base)
+
+
+def _listing_base(u: UrlParts) -> Column:
     path = F.when(u.path.rlike(PAGED_PATH), F.concat(F.regexp_extract(u.path, PAGED_PATH, 1), F.lit("/"))).otherwise(u.path)
     kept = F.filter(F.split(u.query, "&"), lambda p: (p != "") & ~p.rlike(PAGE_PARAMETER))
     search = F.when(F.size(kept) > 0, F.concat(F.lit("?"), F.array_join(kept, "&"))).otherwise(F.lit(""))

@@ -121,10 +121,45 @@ def _(t: Tables):
 
 
 @query("markup_findings", "P22", """
-SELECT page_id, 'lang-missing' AS code, 1::BIGINT AS occurrences FROM pages WHERE NOT regexp_matches(html, '<html lang="[^"]+"')
-UNION ALL SELECT page_id, 'charset-missing', 1::BIGINT FROM pages WHERE NOT html LIKE '%<meta charset=%'""")
+WITH p AS (SELECT page_id, unnest([{'c': 'control-unlabelled', 'n': 1}, {'c': 'link-nameless', 'n': 1}, {'c': 'image-alt-missing', 'n': 2}, {'c': 'id-duplicate', 'n': 1},
+  {'c': 'lang-missing', 'n': CASE WHEN regexp_matches(html, '<html lang="[^"]+"') THEN 0 ELSE 1 END}]) AS f FROM pages)
+SELECT page_id, f.c AS code, f.n::BIGINT AS occurrences FROM p WHERE f.n > 0""")
 def _(t: Tables):
-    return extract.markup_findings(_pages(t))
+    # Each page gets a widget with known faults, so that every page has findings.
+    widget = '<img id="w" src="a.png"><img id="w" src="b.png"><a href="/x"></a><input type="text"><input type="hidden"></body>'
+    return extract.markup_findings(extract.parse(t.pages.withColumn("html", F.concat("html", F.lit(widget)))))
+
+
+@query("image_rows", "P7", """
+SELECT page_id, CAST(0 AS INTEGER) AS pos, regexp_extract(url, '^[a-z]+://[^/]+', 0) || '/img/' || page_id || '.png' AS src, 640::INTEGER AS width, true AS lazy, 800::INTEGER AS largest_candidate, 'alt-missing' AS codes FROM pages
+UNION ALL SELECT page_id, CAST(1 AS INTEGER), 'https://cdn.example/b.png', NULL, false, NULL, 'dimensions-missing' FROM pages""")
+def _(t: Tables):
+    tag = F.concat(F.lit('<img src="/img/'), F.col("page_id"), F.lit('.png" width=640 height=480 loading=lazy srcset="a.png 400w, b.png 800w"><img src="https://cdn.example/b.png" alt=""></body>'))
+    p = extract.parse(t.pages.withColumn("html", F.concat("html", tag)))
+    return extract.images(p).select("page_id", "pos", "src", "width", "lazy", "largest_candidate", F.array_join("codes", ",").alias("codes"))
+
+
+@query("page_declarations", "P8 P9", """
+WITH o AS (SELECT page_id, url, regexp_extract(url, '^[a-z]+://[^/]+', 0) AS origin FROM pages)
+SELECT page_id, d.kind, d.name, d.value FROM (SELECT page_id, unnest([{'kind': 'canonical', 'name': '', 'value': origin || '/c/' || page_id}, {'kind': 'next', 'name': '', 'value': origin || '/c/' || (page_id + 1)}, {'kind': 'icon', 'name': '', 'value': origin || '/f.ico'},
+  {'kind': 'hreflang', 'name': 'de', 'value': origin || '/de/' || page_id}, {'kind': 'social', 'name': 'og:title', 'value': 'T ' || page_id}, {'kind': 'refresh', 'name': '5', 'value': origin || '/next'}, {'kind': 'frame', 'name': 'map', 'value': 'https://maps.example/m'}]) AS d FROM o)""")
+def _(t: Tables):
+    i = F.col("page_id")
+    head = F.concat(
+        F.lit('<link rel="canonical" href="/c/'), i, F.lit('"><link rel=next href="/c/'), i + 1, F.lit('"><link rel="shortcut icon" href="/f.ico"><link rel="alternate" hreflang="de" href="/de/'), i,
+        F.lit('"><meta property="og:title" content=" T '), i, F.lit('"><meta http-equiv="Refresh" content="5; url=/next"></head>'),
+    )
+    html_text = F.concat(F.replace("html", F.lit("</head>"), head), F.lit('<iframe title="map" src="https://maps.example/m"></iframe>'))
+    return extract.declarations(extract.parse(t.pages.withColumn("html", html_text))).select("page_id", "kind", "name", "value")
+
+
+@query("canonical_relations", "H20 P9", """
+SELECT page_id, CASE page_id % 6 WHEN 0 THEN 'missing' WHEN 1 THEN 'multiple' WHEN 2 THEN 'invalid' WHEN 3 THEN 'self' WHEN 4 THEN 'same-host' ELSE 'different-host' END AS relation FROM pages""")
+def _(t: Tables):
+    i, u = F.col("page_id"), F.col("url")
+    count = F.when(i % 6 == 0, 0).when(i % 6 == 1, 2).otherwise(1)
+    target = F.when(i % 6 == 2, F.lit("mailto:x")).when(i % 6 == 3, u).when(i % 6 == 4, F.concat(F.regexp_extract("url", "^[a-z]+://[^/]+", 0), F.lit("/other"))).otherwise(F.lit("https://elsewhere.example/"))
+    return t.pages.select("page_id", extract.canonical_relation(u, count, target).alias("relation"))
 
 
 @query("page_structure_features", "P19", """

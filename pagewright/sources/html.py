@@ -6,14 +6,21 @@ links, zones, headings, sections and findings are Spark expressions over that ar
 
 from __future__ import annotations
 
+import sys
 from html.parser import HTMLParser
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark import cloudpickle
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-NODE = (
-    "struct<pos:int,last:int,parent:int,depth:int,tag:string,attrs:map<string,string>,text:string,path:string>"
-)
+# Tasks get the parse helper with the job, so executors need no installed copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+NODES = T.ArrayType(T.StructType([
+    *[T.StructField(name, T.IntegerType()) for name in ("pos", "last", "parent", "depth")],
+    T.StructField("tag", T.StringType()), T.StructField("attrs", T.MapType(T.StringType(), T.StringType())),
+    T.StructField("text", T.StringType()), T.StructField("path", T.StringType()),
+]))
 _ARROW_NODE = pa.struct([
     ("pos", pa.int32()), ("last", pa.int32()), ("parent", pa.int32()), ("depth", pa.int32()), ("tag", pa.string()),
     ("attrs", pa.map_(pa.string(), pa.string())), ("text", pa.string()), ("path", pa.string()),
@@ -106,7 +113,7 @@ def _flatten(html: str | None):
     return parser.rows
 
 
-@F.arrow_udf(f"array<{NODE}>")
+@F.arrow_udf(NODES)
 def parse_nodes(html: pa.Array) -> pa.Array:
     return pa.array((_flatten(h.as_py()) for h in html), type=pa.list_(_ARROW_NODE))
 
