@@ -90,7 +90,7 @@ def supply_edges(t: Tables) -> DataFrame:
 # --- access log ----------------------------------------------------------------------------------------------
 
 HITS_SQL = """
-SELECT event_id, date_trunc('second', ts) AS at, '66.249.' || (user_id % 64) || '.' || (event_id % 256) AS ip,
+SELECT event_id, date_trunc('second', ts) AS "at", '66.249.' || (user_id % 64) || '.' || (event_id % 256) AS ip,
   '/' || event_type || '/' || (user_id % 40) AS path,
   CAST(CASE event_type WHEN 'error' THEN 500 WHEN 'signup' THEN 302 WHEN 'purchase' THEN 201 ELSE CASE WHEN event_id % 9 = 0 THEN 404 ELSE 200 END END AS INTEGER) AS status,
   CASE WHEN event_id % 11 <> 0 THEN event_id * 37 % 50000 END AS bytes,

@@ -71,7 +71,7 @@ def cidr_bounds(cidrs: DataFrame) -> DataFrame:
         "bits", F.get(base, F.lit(1)).try_cast("int")
     )
     width = F.pow(F.lit(2.0), 32 - bits).cast("long")
-    lo = F.col("lo") - F.col("lo") % width
+    lo = F.col("lo") - F.try_mod(F.col("lo"), width)
     return shaped.where(F.col("lo").isNotNull() & bits.between(0, 32)).select(
         "family", "cidr", lo.alias("lo"), (lo + width - 1).alias("hi")
     )
