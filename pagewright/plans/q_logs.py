@@ -32,7 +32,7 @@ def _verified(t: Tables):
 @query("parsed_log_lines", "A1 A3 H8", cte(h=HITS_SQL) + 'SELECT "at", ip, path, status, bytes, user_agent, CAST(latency_ms AS DOUBLE) AS latency_ms, family FROM h')
 def _(t: Tables):
     hits = log_hits(t)
-    return hits.select(F.to_timestamp_ntz(F.date_format("at", "yyyy-MM-dd HH:mm:ss")).alias("at"), "ip", "path", "status", "bytes", "user_agent", "latency_ms", "family")
+    return hits.select(F.to_timestamp_ntz(F.date_format("at", "yyyy-MM-dd HH:mm:ss")).alias("at"), "ip", "path", "status", "bytes", "user_agent", F.round("latency_ms", 3).alias("latency_ms"), "family")
 
 
 @query("malformed_log_lines", "A1 A3", "SELECT event_id % 5 AS kind, count(*)::BIGINT AS lines, count(*) FILTER (WHERE event_id % 5 <> 0)::BIGINT AS malformed FROM events GROUP BY 1")

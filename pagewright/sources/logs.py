@@ -34,20 +34,19 @@ def bot_family(user_agent: Column) -> Column:
 def parse_lines(lines: DataFrame, latency_unit: str = "seconds", keep_query: bool = False) -> DataFrame:
     """Add the fields of a combined-format line; every field is null on a malformed or over-long line."""
     v = F.col("value")
-    ok = (F.length(v) <= MAX_LINE) & v.rlike(LINE)
-    piece = lambda n: F.when(ok, F.regexp_extract(v, LINE, n))
-    at = F.try_to_timestamp(piece(2), F.lit("dd/MMM/yyyy:HH:mm:ss Z"))
-    good = at.isNotNull()
-    raw = F.when(piece(7) != "", piece(7).cast("double"))
+    # One pass of the pattern writes all seven fields; a line it does not match stays one field.
+    fields = F.split(F.regexp_replace(v, LINE, "$1\u0001$2\u0001$3\u0001$4\u0001$5\u0001$6\u0001$7"), "\u0001")
+    cut = lines.withColumn("_f", F.when(F.length(v) <= MAX_LINE, fields)).withColumn("_f", F.when(F.size("_f") == 7, F.col("_f")))
+    piece = lambda n: F.get(F.col("_f"), F.lit(n - 1))
+    rows = cut.withColumn("at", F.try_to_timestamp(piece(2), F.lit("dd/MMM/yyyy:HH:mm:ss Z"))).withColumn(
+        "_f", F.when(F.col("at").isNotNull(), F.col("_f"))
+    )
+    raw = piece(7).try_cast("double")
     latency = {"seconds": raw * 1000, "microseconds": raw / 1000, "none": F.lit(None).cast("double")}[latency_unit]
     path = piece(3) if keep_query else F.regexp_extract(piece(3), r"^([^?]*)", 1)
-    agent = F.when(good, piece(6))
-    return lines.select(
-        *[c for c in lines.columns],
-        at.alias("at"), F.when(good, piece(1)).alias("ip"), F.when(good, path).alias("path"),
-        F.when(good, piece(4).cast("int")).alias("status"),
-        F.when(good & (piece(5) != "-"), piece(5).try_cast("long")).alias("bytes"),
-        agent.alias("user_agent"), F.when(good, latency).alias("latency_ms"), bot_family(agent).alias("family"),
+    return rows.select(
+        *lines.columns, "at", piece(1).alias("ip"), path.alias("path"), piece(4).try_cast("int").alias("status"),
+        piece(5).try_cast("long").alias("bytes"), piece(6).alias("user_agent"), latency.alias("latency_ms"), bot_family(piece(6)).alias("family"),
     )
 
 
