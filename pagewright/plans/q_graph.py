@@ -232,8 +232,8 @@ def _(t: Tables):
 
 
 @query("entity_evidence_edges", "K16", """
-WITH w AS (SELECT item_id, unnest(list_distinct(list_transform(list_filter(regexp_extract_all(lower(text), '([\\p{L}\\p{N}]+)', 1), lambda x: length(regexp_replace(x, '[^\\p{L}]', '', 'g')) >= 2 AND NOT list_contains(['a','about','after','all','also','an','and','any','are','as','at','be','because','been','before','but','by','can','could','do','for','from','had','has','have','he','her','his','how','if','in','into','is','it','its','more','most','no','not','of','on','one','only','or','other','our','out','over','she','so','some','such','than','that','the','their','them','then','there','these','they','this','those','to','under','up','was','we','were','what','when','where','which','while','who','will','with','would','you','your'], replace(strip_accents(x), 'ß', 'ss'))),
- lambda x: replace(strip_accents(x), 'ß', 'ss')))) AS k FROM benchmark), n AS (SELECT item_id, count(*) AS n FROM w GROUP BY 1),
+WITH f AS (SELECT item_id, unnest(list_distinct(list_transform(regexp_extract_all(lower(text), '([\\p{L}\\p{N}]+)', 1), lambda x: replace(strip_accents(x), 'ß', 'ss')))) AS k FROM benchmark),
+w AS (SELECT item_id, k FROM f WHERE length(regexp_replace(k, '[^\\p{L}]', '', 'g')) >= 2 AND k NOT IN ('a','about','after','all','also','an','and','any','are','as','at','be','because','been','before','but','by','can','could','do','for','from','had','has','have','he','her','his','how','if','in','into','is','it','its','more','most','no','not','of','on','one','only','or','other','our','out','over','she','so','some','such','than','that','the','their','them','then','there','these','they','this','those','to','under','up','was','we','were','what','when','where','which','while','who','will','with','would','you','your')), n AS (SELECT item_id, count(*) AS n FROM w GROUP BY 1),
 d AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(text), '([\\p{L}\\p{N}]+)', 1)) AS k FROM documents)
 SELECT item_id AS fact, doc_id AS page, round(count(*) / max(n), 6) AS share, count(*) = max(n) AS observed FROM w JOIN n USING (item_id) JOIN d USING (k) GROUP BY 1, 2 HAVING count(*) / max(n) >= 0.25""")
 def _(t: Tables):

@@ -8,6 +8,7 @@ from pagewright.functions import numbers
 from pagewright.operators import similarity as ops
 from pagewright.plans.inputs import TERMS_SQL, cte, doc_terms
 from pagewright.plans.registry import Tables, query
+from pagewright.session import cut_lineage
 
 _SIG = dict(
     w="SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[ \\t\\n\\x0B\\f\\r]+'), lambda x: x <> '') AS w FROM docs",
@@ -75,7 +76,7 @@ def _(t: Tables):
 
 @query("average_linkage_topics", "L6")
 def _(t: Tables):
-    pairs = ops.weighted_jaccard_pairs(_weights(t), ["lang"], 0.3)
+    pairs = cut_lineage(ops.weighted_jaccard_pairs(_weights(t), ["lang"], 0.3))
     nodes = pairs.select(F.col("left").alias("node")).union(pairs.select(F.col("right").alias("node")))
     return ops.average_linkage(nodes, pairs, 0.3)
 
