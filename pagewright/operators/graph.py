@@ -299,7 +299,7 @@ def silo_score(connectivity: Column, anchors: Column, orphan_share: Column, blee
     return F.floor(weighted_mean([(connectivity, 0.45), (anchors, 0.35), (rest, 0.20)]) * 1000 + 0.5) / 10
 
 
-def anchor_fit(anchor_keys: Column, target_keys: Column, generic: float = 0.2, full: float = 0.5) -> Column:
+def anchor_fit(anchor_keys: Column, target_keys: Column, generic: float = 0.2, full: float = 0.3) -> Column:
     """How well an anchor names its target, between the weight of an empty anchor and 1."""
     shared = F.size(F.array_intersect(anchor_keys, target_keys))
     cos = shared / F.sqrt(F.size(anchor_keys).cast("double") * F.size(target_keys))

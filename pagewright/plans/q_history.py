@@ -90,12 +90,12 @@ def _(t: Tables):
 
 
 @query("holm_adjusted_tests", "E11", """
-WITH p AS (SELECT o_custkey % 50 AS family, o_orderkey AS test, CASE WHEN o_orderkey % 17 <> 0 THEN round((o_totalprice % 997) / 40000, 6) END AS p FROM orders),
+WITH p AS (SELECT o_custkey % 50 AS family, o_orderkey AS test, CASE WHEN o_orderkey % 17 <> 0 THEN (o_orderkey * 37 % 4001) / 40000.0::DOUBLE END AS p FROM orders),
 r AS (SELECT *, row_number() OVER (PARTITION BY family ORDER BY p, test) AS r, count(*) OVER (PARTITION BY family) AS m FROM p WHERE p IS NOT NULL),
 a AS (SELECT family, test, max(least(1, (m - r + 1) * p)) OVER (PARTITION BY family ORDER BY p, test ROWS UNBOUNDED PRECEDING) AS adj FROM r)
 SELECT family, test, p, round(adj, 6) AS adjusted, coalesce(adj < 0.05, false) AS significant FROM p LEFT JOIN a USING (family, test)""")
 def _(t: Tables):
-    p = F.when(F.col("o_orderkey") % 17 != 0, F.round((F.col("o_totalprice") % 997) / 40000, 6))
+    p = F.when(F.col("o_orderkey") % 17 != 0, (F.col("o_orderkey") * 37 % 4001) / 40000.0)
     return ex.holm(t.orders.select((F.col("o_custkey") % 50).alias("family"), F.col("o_orderkey").alias("test"), p.alias("p"))).withColumn("adjusted", F.round("adjusted", 6))
 
 
@@ -107,12 +107,12 @@ def _(t: Tables):
 
 
 # Two runs of one site: suppliers' parts before and after a date.
-_RUN = lambda flag: f"SELECT l_partkey AS key, max(l_linenumber) AS depth, CASE WHEN sum(l_tax) > 0.1 THEN max(l_returnflag) END AS title, CAST(min(l_suppkey) % 3 * 100 + 200 AS INTEGER) AS http_status FROM lineitem WHERE l_suppkey % 3 <> {flag} AND l_shipdate < TIMESTAMP '1993-06-01' GROUP BY 1"
+_RUN = lambda flag: f"SELECT l_partkey * 10 + l_linenumber AS key, max(l_orderkey % 9)::BIGINT AS depth, CASE WHEN sum(l_tax) > 0.1 THEN max(l_returnflag) END AS title, CAST(min(l_suppkey) % 3 * 100 + 200 AS INTEGER) AS http_status FROM lineitem WHERE l_suppkey % 3 <> {flag} GROUP BY 1"
 
 
 def _run(t: Tables, flag: int):
-    return t.lineitem.where((F.col("l_suppkey") % 3 != flag) & (F.col("l_shipdate") < F.lit("1993-06-01").cast("timestamp"))).groupBy(F.col("l_partkey").alias("key")).agg(
-        F.max("l_linenumber").alias("depth"), F.when(F.sum("l_tax") > 0.1, F.max("l_returnflag")).alias("title"), (F.min("l_suppkey") % 3 * 100 + 200).cast("int").alias("http_status")
+    return t.lineitem.where(F.col("l_suppkey") % 3 != flag).groupBy((F.col("l_partkey") * 10 + F.col("l_linenumber")).alias("key")).agg(
+        F.max(F.col("l_orderkey") % 9).alias("depth"), F.when(F.sum("l_tax") > 0.1, F.max("l_returnflag")).alias("title"), (F.min("l_suppkey") % 3 * 100 + 200).cast("int").alias("http_status")
     )
 
 
@@ -250,18 +250,18 @@ def _(t: Tables):
 @query("decay_states", "E10", """
 WITH h AS (SELECT o_custkey AS query, o_orderkey AS ts, (o_totalprice % 100) / 500 AS shift, o_orderkey % 5 AS ent, o_orderpriority AS intent FROM orders), f AS (SELECT query, count(*) AS samples, arg_min(intent, ts) AS fi FROM h GROUP BY 1),
 l AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY ts DESC) AS r FROM h), m AS (SELECT l.query, samples, r, array_to_string(list_filter([CASE WHEN shift >= 0.1 THEN 'centroid' END, CASE WHEN ent >= 3 THEN 'entities' END, CASE WHEN intent <> fi THEN 'intent' END], lambda x: x IS NOT NULL), '+') AS re FROM l JOIN f USING (query) WHERE r <= 2)
-SELECT query, samples::BIGINT AS samples, max(re) FILTER (WHERE r = 1) AS reasons, CASE WHEN samples < 3 THEN 'too-few-samples' WHEN max(re) FILTER (WHERE r = 1) = '' THEN 'stable' WHEN NOT bool_and(re <> '') THEN 'not-persistent' ELSE 'alert' END AS state FROM m GROUP BY 1, 2""")
+SELECT query, samples::BIGINT AS samples, max(re) FILTER (WHERE r = 1) AS reasons, CASE WHEN samples < 3 THEN 'too-few-samples' WHEN max(re) FILTER (WHERE r = 1) = '' THEN 'stable' WHEN NOT bool_and(re <> '') THEN 'not-persistent' ELSE 'alert' END AS state FROM m GROUP BY m.query, m.samples""")
 def _(t: Tables):
     h = t.orders.select(F.col("o_custkey").alias("query"), F.col("o_orderkey").alias("at"), ((F.col("o_totalprice") % 100) / 500).alias("shift"), (F.col("o_orderkey") % 5).alias("entity_changes"), F.col("o_orderpriority").alias("intent"), F.lit("list").alias("format"))
     return ops.decay_states(h)
 
 
 @query("speed_regressions", "O7", """
-WITH c AS (SELECT o_custkey AS url, o_orderdate AS ts, min(o_totalprice / 5000) AS perf, max(o_totalprice / 100) AS lcp FROM orders GROUP BY 1, 2), l AS (SELECT *, lag(ts) OVER w AS pt, lag(perf) OVER w AS pp, lag(lcp) OVER w AS pl FROM c WINDOW w AS (PARTITION BY url ORDER BY ts)),
+WITH c AS (SELECT o_custkey AS url, o_orderdate AS ts, min(o_totalprice / 4999.7) AS perf, max(o_totalprice / 101.3) AS lcp FROM orders GROUP BY 1, 2), l AS (SELECT *, lag(ts) OVER w AS pt, lag(perf) OVER w AS pp, lag(lcp) OVER w AS pl FROM c WINDOW w AS (PARTITION BY url ORDER BY ts)),
 x AS (SELECT * FROM l WHERE date_diff('day', pt, ts) BETWEEN 1 AND 200)
 SELECT url, 'performance' AS metric, round(perf - pp, 4) AS delta FROM x WHERE perf - pp <= -5 UNION ALL SELECT url, 'lcp_ms', round(lcp - pl, 4) FROM x WHERE lcp > pl * 1.2""")
 def _(t: Tables):
-    c = t.orders.groupBy(F.col("o_custkey").alias("url"), F.col("o_orderdate").alias("at")).agg(F.min(F.col("o_totalprice") / 5000).alias("performance"), F.max(F.col("o_totalprice") / 100).alias("lcp_ms"))
+    c = t.orders.groupBy(F.col("o_custkey").alias("url"), F.col("o_orderdate").alias("at")).agg(F.min(F.col("o_totalprice") / 4999.7).alias("performance"), F.max(F.col("o_totalprice") / 101.3).alias("lcp_ms"))
     c = c.withColumns({"strategy": F.lit("mobile"), "scope": F.lit("url"), "tbt_ms": F.lit(10.0)})
     return ops.speed_regressions(c, max_days=200).select("url", "metric", F.round("delta", 4).alias("delta"))
 
