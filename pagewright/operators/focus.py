@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from pagewright.functions import numbers, status, text
+from pagewright.functions import status, text, urls
 from pagewright.operators import shapes
 
 ZONE_WEIGHT = {"title": 2.5, "h1": 2.5, "h2": 1.5, "body": 1.0}
@@ -27,12 +27,13 @@ def zone_ngrams(pages: DataFrame, zones: dict[str, str], longest: int = 2, stopw
         keys = F.transform(text.words(F.coalesce(_c(column), F.lit(""))), lambda w: F.when(~text.is_noise(text.fold(w), stopwords), text.term_key(w, _c("lang"))))
         weight = F.lit(ZONE_WEIGHT[zone])
 
-        def of(n: int) -> Column:
-            spans = F.transform(F.sequence(F.lit(1), F.greatest(F.size(keys) - (n - 1), F.lit(1))), lambda i: F.slice(keys, i, F.lit(n)))
+        def of(bound: Column, n: int) -> Column:
+            spans = F.transform(F.sequence(F.lit(1), F.greatest(F.size(bound) - (n - 1), F.lit(1))), lambda i: F.slice(bound, i, F.lit(n)))
             whole = F.filter(spans, lambda s: (F.size(s) == n) & ~F.exists(s, lambda x: x.isNull()))
             return F.transform(whole, lambda s: F.struct(F.array_join(s, " ").alias("key"), weight.alias("w")))
 
-        return F.concat(*[of(n) for n in range(1, longest + 1)])
+        # The keys are bound once; every run only cuts them.
+        return urls.let(keys, lambda bound: F.concat(*[of(bound, n) for n in range(1, longest + 1)]))
 
     rows = pages.select("page", F.explode(F.concat(*[runs(c, z) for c, z in zones.items()])).alias("x"))
     out = rows.groupBy("page", _c("x.key").alias("key")).agg(F.sum("x.w").alias("tf"), F.count("*").alias("count"))

@@ -74,7 +74,7 @@ def _(t: Tables):
 
 
 _CORE = dict(cl="SELECT site, term, substr(term, 1, 1) AS cluster, weight FROM tot", pc="SELECT site, cluster, sum(weight) AS mass FROM cl GROUP BY 1, 2", bc="SELECT site, arg_min(cluster, (-round(mass, 9), cluster)) AS core, sum(mass) AS al FROM pc GROUP BY 1",
-             core="SELECT * FROM (SELECT cl.site, cluster, term, weight, mass / al AS confidence, row_number() OVER (PARTITION BY cl.site ORDER BY round(weight, 9) DESC, term) AS rank FROM cl JOIN bc ON bc.site = cl.site AND bc.core = cl.cluster JOIN pc USING (site, cluster)) WHERE rank <= 40")
+             core="SELECT * FROM (SELECT cl.site, cl.cluster, term, weight, mass / al AS confidence, row_number() OVER (PARTITION BY cl.site ORDER BY round(weight, 9) DESC, term) AS rank FROM cl JOIN bc ON bc.site = cl.site AND bc.core = cl.cluster JOIN pc ON pc.site = cl.site AND pc.cluster = cl.cluster) WHERE rank <= 40")
 
 
 def _core(t: Tables, v):
@@ -188,7 +188,7 @@ def _(t: Tables):
 @query("zone_weighted_ngrams", "H11", """
 WITH p AS (SELECT doc_id AS page, split_part(text, chr(10), 1) AS title, text AS body FROM documents WHERE lang = 'es'),
 w AS (SELECT page, 2.5 AS z, unnest(regexp_extract_all(lower(title), '([\\p{L}\\p{N}]+)', 1)) AS w, generate_subscripts(regexp_extract_all(lower(title), '([\\p{L}\\p{N}]+)', 1), 1) AS i FROM p UNION ALL SELECT page, 1.0, unnest(regexp_extract_all(lower(body), '([\\p{L}\\p{N}]+)', 1)), generate_subscripts(regexp_extract_all(lower(body), '([\\p{L}\\p{N}]+)', 1), 1) FROM p),
-k AS (SELECT page, z, i, CASE WHEN length(regexp_replace(f, '[^\\p{L}]', '', 'g')) >= 2 AND f NOT IN ('que', 'para') THEN f END AS k FROM (SELECT *, replace(strip_accents(w), 'ß', 'ss') AS f FROM w)),
+k AS (SELECT page, z, i, CASE WHEN length(regexp_replace(f, '[^\\p{L}]', '', 'g')) >= 2 AND length(regexp_replace(f, '[^\\p{N}]', '', 'g')) < length(regexp_replace(f, '[^\\p{L}]', '', 'g')) AND f NOT IN ('que', 'para') THEN f END AS k FROM (SELECT *, replace(strip_accents(w), 'ß', 'ss') AS f FROM w)),
 g AS (SELECT page, z, k FROM k WHERE k IS NOT NULL UNION ALL SELECT a.page, a.z, a.k || ' ' || b.k FROM k a JOIN k b ON b.page = a.page AND b.z = a.z AND b.i = a.i + 1 WHERE a.k IS NOT NULL AND b.k IS NOT NULL)
 SELECT page, k AS key, sum(z)::DOUBLE AS tf, count(*)::BIGINT AS count FROM g GROUP BY 1, 2""")
 def _(t: Tables):
@@ -206,7 +206,7 @@ def _(t: Tables):
 
 @query("url_protection", "N1", """
 WITH r AS (SELECT p_partkey AS url, p_size * 2 AS score, CASE WHEN p_partkey % 9 = 0 THEN 12.5 END AS rev, CASE WHEN p_partkey % 18 = 0 THEN 'PLN' END AS cur, CASE WHEN p_partkey % 4 <> 0 THEN p_partkey % 60 END AS cl, CASE WHEN p_partkey % 5 <> 0 THEN CASE WHEN p_partkey % 23 = 1 THEN 1 ELSE 0 END END AS cv, CASE WHEN p_partkey % 7 <> 0 THEN p_partkey % 4 END AS dm, p_partkey % 31 = 0 AS weak, p_partkey % 2 = 0 AS rel FROM part),
-s AS (SELECT *, greatest(least(1, cl / 200), least(1, cv / 2), least(1, dm / 15)) AS sig FROM r)
+s AS (SELECT *, greatest(CASE WHEN cl IS NOT NULL THEN least(1, cl / 200) END, CASE WHEN cv IS NOT NULL THEN least(1, cv / 2) END, CASE WHEN dm IS NOT NULL THEN least(1, dm / 15) END) AS sig FROM r)
 SELECT url, round(sig, 6) AS signal, CASE WHEN score >= 40 THEN 'keep' WHEN rev > 0 AND cur IS NOT NULL THEN 'shield' WHEN rev > 0 THEN 'needs-data' WHEN cv > 0 THEN 'shield' WHEN sig >= 0.15 THEN 'shield' WHEN cl IS NULL OR cv IS NULL OR dm IS NULL OR weak THEN 'needs-data' WHEN rel THEN 'semantic-bridge' ELSE 'prune-candidate' END AS decision FROM s""")
 def _(t: Tables):
     p = F.col("p_partkey")
@@ -282,7 +282,7 @@ def _(t: Tables):
 
 @query("language_parity", "D25", """
 WITH d AS (SELECT l_partkey AS topic, CASE l_linenumber % 4 WHEN 0 THEN 'en' WHEN 1 THEN 'de' WHEN 2 THEN 'fr' ELSE 'es' END AS language, max(l_quantity) AS depth, bool_or(l_partkey % 10 = 0) AS loc FROM lineitem GROUP BY 1, 2), r AS (SELECT topic, max(depth) FILTER (WHERE language = 'en') AS ref, bool_or(loc) AS loc FROM d GROUP BY 1)
-SELECT topic, language, depth, CASE WHEN depth IS NULL AND r.loc THEN 'intentionally-local' WHEN depth IS NULL THEN 'missing' WHEN depth < ref * 0.5 THEN 'shallow' ELSE 'covered' END AS state FROM r, (SELECT unnest(['de', 'fr', 'es', 'it']) AS language) LEFT JOIN d USING (topic, language)""")
+SELECT topic, language, depth, CASE WHEN depth IS NULL AND r.loc THEN 'intentionally-local' WHEN depth IS NULL THEN 'missing' WHEN depth < ref * 0.5 THEN 'shallow' ELSE 'covered' END AS state FROM (SELECT r.topic, ref, loc, language FROM r, (SELECT unnest(['de', 'fr', 'es', 'it']) AS language)) r LEFT JOIN d USING (topic, language)""")
 def _(t: Tables):
     ln = F.col("l_linenumber") % 4
     d = t.lineitem.select(F.col("l_partkey").alias("topic"), F.when(ln == 0, "en").when(ln == 1, "de").when(ln == 2, "fr").otherwise("es").alias("language"), F.col("l_quantity").alias("depth"), (F.col("l_partkey") % 10 == 0).alias("local"))
@@ -335,11 +335,11 @@ def _(t: Tables):
     return scores.novel_and_missing(e.where("doc = 3").select("query", "entity"), scores.consensus(e, common=0.28))
 
 
-@query("term_divergence", "H24", cte(x=TERMS_SQL, a="SELECT source AS g, term, sum(n)::DOUBLE AS n FROM x WHERE doc_id % 2 = 0 GROUP BY 1, 2", b="SELECT source AS g, term, sum(n)::DOUBLE AS n FROM x WHERE doc_id % 2 = 1 GROUP BY 1, 2",
+@query("term_divergence", "H24", cte(x=TERMS_SQL, a="SELECT source AS g, term, sum(n)::DOUBLE AS n FROM x WHERE (doc_id // 20) % 2 = 0 GROUP BY 1, 2", b="SELECT source AS g, term, sum(n)::DOUBLE AS n FROM x WHERE (doc_id // 20) % 2 = 1 GROUP BY 1, 2",
  p="SELECT g, term, coalesce(a.n, 0) / sum(a.n) OVER (PARTITION BY g) AS p, coalesce(b.n, 0) / sum(b.n) OVER (PARTITION BY g) AS q FROM a FULL JOIN b USING (g, term)") + "SELECT g AS source, round(sum(CASE WHEN p > 0 THEN p * ln(p / ((p + q) / 2)) ELSE 0 END + CASE WHEN q > 0 THEN q * ln(q / ((p + q) / 2)) ELSE 0 END) / 2 / ln(2), 6) AS divergence FROM p GROUP BY 1")
 def _(t: Tables):
     x = doc_terms(t)
-    return scores.divergence(x.where("doc_id % 2 = 0"), x.where("doc_id % 2 = 1"), ["source"]).withColumn("divergence", F.round("divergence", 6))
+    return scores.divergence(x.where("(doc_id div 20) % 2 = 0"), x.where("(doc_id div 20) % 2 = 1"), ["source"]).withColumn("divergence", F.round("divergence", 6))
 
 
 @query("cannibalization_index", "D34", "WITH g AS (SELECT c_nationkey AS site, c_mktsegment, count(*) AS n FROM customer WHERE c_custkey % 3 = 0 GROUP BY 1, 2), e AS (SELECT c_nationkey AS site, count(*) AS e FROM customer GROUP BY 1), x AS (SELECT site, sum(n - 1) AS x FROM g GROUP BY 1) SELECT site, round(coalesce(x, 0) * 100 / e, 6) AS cannibal_index FROM e LEFT JOIN x USING (site)")
@@ -397,10 +397,10 @@ def _(t: Tables):
 def _actions(t: Tables):
     k = F.col("o_orderkey")
     kind = F.when(k % 4 == 0, "keep").when(k % 4 == 1, "prune").when(k % 4 == 2, "merge").otherwise("expand")
-    return t.orders.select(k.alias("id"), kind.alias("kind"), F.array(F.col("o_custkey") % 400, F.col("o_custkey") % 333).alias("urls"), F.when(k % 7 != 0, F.col("o_totalprice") / 1000).alias("delta"), (1 + k % 5).alias("effort"), F.when(k % 3 == 0, "open").otherwise("done").alias("state"))
+    return t.orders.select(k.alias("id"), kind.alias("kind"), F.array(F.col("o_custkey") % 400, F.col("o_custkey") % 333).alias("urls"), F.when(k % 7 != 0, F.col("o_totalprice") / 999.7).alias("delta"), (1 + k % 5).alias("effort"), F.when(k % 3 == 0, "open").otherwise("done").alias("state"))
 
 
-@query("ranked_actions", "F4", "SELECT o_orderkey AS id, CASE WHEN o_orderkey % 3 = 0 THEN 'open' ELSE 'done' END AS state, round(CASE WHEN o_orderkey % 7 <> 0 THEN o_totalprice / 1000 END / (1 + o_orderkey % 5), 6) AS ratio FROM orders")
+@query("ranked_actions", "F4", "SELECT o_orderkey AS id, CASE WHEN o_orderkey % 3 = 0 THEN 'open' ELSE 'done' END AS state, round(CASE WHEN o_orderkey % 7 <> 0 THEN o_totalprice / 999.7 END / (1 + o_orderkey % 5), 6) AS ratio FROM orders")
 def _(t: Tables):
     return scores.rank_actions(_actions(t)).select("id", "state", F.round("ratio", 6).alias("ratio"))
 
