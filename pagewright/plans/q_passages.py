@@ -158,7 +158,7 @@ def _(t: Tables):
 
 
 @query("information_gain_scores", "L19", """
-SELECT c_custkey AS query, CASE WHEN c_custkey % 10 >= 4 THEN floor(100 * (0.35 * (c_custkey % 7) / 8 + 0.30 * (c_custkey % 5) / 8 + 0.20 * (c_custkey % 3) / 8 + 0.15 * (c_custkey % 11) / 16) * least(1, 0.5 + (c_custkey % 9) / 8) + 0.5)::BIGINT END AS gain, CASE WHEN c_custkey % 10 >= 4 THEN 'ready' ELSE 'off-topic' END AS state FROM customer""")
+SELECT c_custkey AS query, CASE WHEN c_custkey % 10 >= 4 THEN floor(100 * (0.35::DOUBLE * ((c_custkey % 7) / 8) + 0.30::DOUBLE * ((c_custkey % 5) / 8) + 0.20::DOUBLE * ((c_custkey % 3) / 8) + 0.15::DOUBLE * ((c_custkey % 11) / 16)) * least(1, 0.5 + (c_custkey % 9) / 8) + 0.5)::BIGINT END AS gain, CASE WHEN c_custkey % 10 >= 4 THEN 'ready' ELSE 'off-topic' END AS state FROM customer""")
 def _(t: Tables):
     c = F.col("c_custkey")
     parts = t.customer.select(c.alias("query"), (c % 10 / 10).alias("on_topic"), (c % 7 / 8).alias("novelty"), (c % 5 / 8).alias("evidence"), (c % 3 / 8).alias("first_hand"), (c % 11 / 16).alias("divergence"), (c % 9 / 8).alias("coverage"))
