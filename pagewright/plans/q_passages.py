@@ -163,3 +163,51 @@ def _(t: Tables):
     c = F.col("c_custkey")
     parts = t.customer.select(c.alias("query"), (c % 10 / 10).alias("on_topic"), (c % 7 / 8).alias("novelty"), (c % 5 / 8).alias("evidence"), (c % 3 / 8).alias("first_hand"), (c % 11 / 16).alias("divergence"), (c % 9 / 8).alias("coverage"))
     return ops.information_gain(parts)
+
+
+@query("blended_result_similarity", "L13", """
+WITH p AS (SELECT c_custkey AS a, (c_custkey % 10) / 10.0::DOUBLE AS sem, [c_custkey % 5, c_custkey % 7, 20] AS ua, CASE WHEN c_custkey % 6 <> 0 THEN [c_custkey % 5, 20, 21] END AS ub, c_custkey % 4 = 0 AS diff FROM customer),
+j AS (SELECT *, len(list_intersect(list_distinct(ua), list_distinct(ub))) / len(list_distinct(list_concat(ua, ub))) AS jac FROM p)
+SELECT a, round(CASE WHEN ub IS NULL OR diff THEN sem ELSE 0.7 * sem + 0.3 * jac END, 6) AS similarity, CASE WHEN ub IS NULL THEN 'no-results' WHEN diff THEN 'different-context' END AS reason FROM j""")
+def _(t: Tables):
+    c = F.col("c_custkey")
+    pairs = t.customer.select(
+        c.alias("a"), (c + 1).alias("b"), (c % 10 / 10).alias("semantic"), F.array(c % 5, c % 7, F.lit(20).cast("long")).alias("urls_a"), F.when(c % 6 != 0, F.array(c % 5, F.lit(20).cast("long"), F.lit(21).cast("long"))).alias("urls_b"),
+        F.lit("x").alias("context_a"), F.when(c % 4 == 0, "y").otherwise("x").alias("context_b"),
+    )
+    return ops.blended_result_similarity(pairs).select("a", F.round("similarity", 6).alias("similarity"), "reason")
+
+
+def _sections(t: Tables):
+    # Turns of a conversation as sections of a page, role as heading.
+    return t.conversations.select(F.col("conv_id").alias("page"), F.col("turn").alias("section"), F.col("role").alias("heading"), (2 + F.col("turn") % 3).alias("level"), F.col("text").alias("body"))
+
+
+_BEST = """WITH w AS (SELECT conv_id AS page, turn AS section, role AS heading, unnest(regexp_extract_all(lower(text), '([\\p{L}\\p{N}]+)', 1)) AS term FROM conversations WHERE 2 + turn % 3 IN (2, 3)), k AS (SELECT DISTINCT item_id AS page, unnest(regexp_extract_all(lower(text), '([\\p{L}\\p{N}]+)', 1)) AS term FROM benchmark),
+h AS (SELECT w.page, section, heading, count(*) AS hits FROM w JOIN k ON k.page = w.page AND k.term = w.term GROUP BY 1, 2, 3), b AS (SELECT page, arg_min({'s': section, 'h': heading, 'n': hits}, (-hits, section)) AS b FROM h GROUP BY 1)"""
+
+
+def _best(t: Tables):
+    terms = t.benchmark.select(F.col("item_id").alias("page"), F.explode(text.words(F.col("text"))).alias("term"))
+    return ops.best_section(_sections(t), terms)
+
+
+@query("best_link_sections", "F6", _BEST + " SELECT page, b.s AS section, b.h AS heading, b.n::BIGINT AS hits FROM b")
+def _(t: Tables):
+    return _best(t)
+
+
+@query("link_injections", "F7", _BEST + """, o AS (SELECT l_suppkey AS source, l_partkey AS target, max(l_quantity) AS s FROM lineitem GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY s DESC, target) AS rank FROM o)
+SELECT source, target, rank::INTEGER AS rank, b.s AS section FROM r LEFT JOIN b ON b.page = source WHERE rank <= 3""")
+def _(t: Tables):
+    opp = t.lineitem.groupBy(F.col("l_suppkey").alias("source"), F.col("l_partkey").alias("target")).agg(F.max("l_quantity").alias("similarity"))
+    return ops.link_injections(opp, _best(t)).select("source", "target", "rank", "section")
+
+
+@query("candidate_page_pairs", "L17")
+def _(t: Tables):
+    d = t.documents.select("lang", "doc_id", "text")
+    pages = d.select(F.col("doc_id").alias("page"), F.sha2(F.lower("text"), 256).alias("content_hash"))
+    near = similarity.near_duplicates(d, ["lang"]).select("left", "right")
+    terms = doc_terms(t).where("length(term) >= 14").select(F.col("lang").alias("topic"), F.col("doc_id").alias("page"), "term")
+    return ops.candidate_pages(pages, near, terms, 6)
