@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pagewright.operators import extract, focus as ops, scores, similarity
 from pagewright.plans.inputs import TERMS_SQL, cte, doc_terms
 from pagewright.plans.registry import Tables, query
+from pagewright.session import cut_lineage
 
 _T = dict(x=TERMS_SQL, t="SELECT source AS site, doc_id AS page, term, n AS tf FROM x")
 _ST = dict(**_T, sz="SELECT site, count(DISTINCT page) AS pages FROM t GROUP BY 1", st="SELECT site, term, count(*) AS df, max(pages) AS n, ln(1 + max(pages) / count(*)) AS idf, max(pages) >= 10 AND count(*) / max(pages) > 0.25 AS sitewide FROM t JOIN sz USING (site) GROUP BY 1, 2")
@@ -59,8 +60,6 @@ def _(t: Tables):
 @query("term_clusters", "L8 J2")
 def _(t: Tables):
     v = _vectors(t)
-    from pagewright.session import cut_lineage
-
     pairs = cut_lineage(ops.cooccurrence(v, ops.top_terms(ops.site_weights(v), 12)))
     name = lambda c: F.concat_ws(":", "site", c)
     links = pairs.where("similarity > 0").select(name("left").alias("left"), name("right").alias("right"), "similarity")
@@ -93,7 +92,8 @@ _REL = dict(**_V, **_CORE, j="SELECT v.*, substr(v.term, 1, 1) <> core AS f, c.w
 
 @query("page_relevance", "L10", cte(**_REL) + "SELECT site, page, floor(greatest(0, least(100, (0.5 * sim + 0.3 * ov - 0.2 * dr) * 125)) * 10 + 0.5) / 10 AS score, round(sim, 6) AS similarity, round(ov, 6) AS overlap, round(dr, 6) AS drift FROM p")
 def _(t: Tables):
-    v = _vectors(t)
+    # The vectors are read six times, so they are written once.
+    v = cut_lineage(_vectors(t))
     rows = ops.page_relevance(v, _clusters(t, v), _core(t, v))
     return rows.select("site", "page", "score", *[F.round(c, 6).alias(c) for c in ("similarity", "overlap", "drift")])
 
@@ -101,7 +101,7 @@ def _(t: Tables):
 @query("term_alignment", "L11", cte(**_V, **_CORE, m="SELECT site, page, substr(term, 1, 1) AS c, sum(weight) AS m FROM v GROUP BY 1, 2, 3", s="SELECT *, m / sum(m) OVER (PARTITION BY site, page) AS share FROM m", r="SELECT *, row_number() OVER (PARTITION BY site, page ORDER BY round(weight, 9) DESC, term) AS rank FROM v") + """
 SELECT r.site, r.page, r.term, r.rank::INTEGER AS rank, substr(r.term, 1, 1) = core AS is_core, round(share, 6) AS cluster_share FROM r JOIN bc USING (site) JOIN s ON s.site = r.site AND s.page = r.page AND s.c = substr(r.term, 1, 1) WHERE rank <= 20""")
 def _(t: Tables):
-    v = _vectors(t)
+    v = cut_lineage(_vectors(t))
     return ops.alignment_rows(v, _clusters(t, v), _core(t, v)).withColumn("cluster_share", F.round("cluster_share", 6))
 
 
