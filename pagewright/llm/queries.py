@@ -6,17 +6,44 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from pagewright.llm import simhash
+from pagewright.llm import decontamination, packing, simhash
 from pagewright.llm.store import table
 
 Runner = Callable[[SparkSession, str], DataFrame]
 
 
+def vocabulary_file(name: str) -> str:
+    """The place of a public tokenizer's file, the same on every machine."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def packed_digests(docs: DataFrame) -> DataFrame:
+    """Pieces with a checksum in place of their ids, placed."""
+    cut = packing.pieces(docs, vocabulary_file("byte_bpe_50k.json"))
+    return packing.place(cut.select(F.col("id").alias("doc_id"), "piece", "start", "length", F.crc32("ids").alias("ids_crc32")))
+
+
+def op1_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return packed_digests(table(spark, folder, "documents"))
+
+
+def op8_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    found = decontamination.contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+    return found.select(
+        F.col("id").alias("doc_id"), "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"),
+    )
+
+
 def op10_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.near_groups(table(spark, folder, "documents")).withColumnRenamed("id", "doc_id")
 
 
 QUERIES: dict[str, Runner] = {
+    "op1_packing": op1_packing,
+    "op8_decontamination": op8_decontamination,
     "op10_simhash": op10_simhash,
 }
 ORACLES: dict[str, str] = {}

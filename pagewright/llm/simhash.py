@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from pagewright.llm import words
 from pagewright.llm.components import components
-from pagewright.llm.store import written
+from pagewright.llm.store import widened, written
 
 SEED = 42
 SHINGLE = 3
@@ -46,7 +46,7 @@ def fingerprints_of(texts: list[bytes], shingle: int = SHINGLE) -> np.ndarray:
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
     """(id, fp long) of every row. Null and wordless texts have 0."""
-    schema = docs.select(F.col(id_col).alias("id")).schema.add("fp", "long")
+    schema = widened(docs.select(F.col(id_col).alias("id")), "fp long")
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 from pagewright.session import cut_lineage
 
@@ -23,3 +24,8 @@ def forget(df: DataFrame) -> None:
     for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
         path = jvm.org.apache.hadoop.fs.Path(folder)
         path.getFileSystem(conf).delete(path, True)
+
+
+def widened(df: DataFrame, ddl: str) -> StructType:
+    """The schema of ``df`` with further columns."""
+    return StructType(df.schema.fields + StructType.fromDDL(ddl).fields)
