@@ -18,7 +18,7 @@ from pagewright.llm.store import widened, written
 CAPACITY = 2048
 END = 0
 
-_SPACE = "\t-\r \x85\xa0  -     　"
+_SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: The byte-level tokenizer never joins letters across these parts, so each part has its own ids.
 _PARTS = re.compile(rf" ?[^{_SPACE}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+")
 

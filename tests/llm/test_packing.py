@@ -12,7 +12,7 @@ PATH = public_tokenizers.path("byte_bpe_50k.json")
 
 def odd_texts():
     rng = random.Random(11)
-    letters = ["a", "the", "don't", " ", "  ", "\n", "\t", "\r\n", "\x1c", "\x85", "\xa0", "　", " ", "​", "é", "日本", "12", "!?", "'s", "<|endoftext|>", "🙂"]
+    letters = ["a", "the", "don't", " ", "  ", "\n", "\t", "\r\n", "\x1c", "\x85", "\xa0", "\u3000", "\u2028", "\u200b", "é", "日本", "12", "!?", "'s", "<|endoftext|>", "🙂"]
     return ["".join(rng.choices(letters, k=rng.randint(0, 40))) for _ in range(400)]
 
 
