@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from pagewright.llm import decontamination, packing, simhash
+from pagewright.llm import decontamination, packing, simhash, toxicity
 from pagewright.llm.store import table
 
 Runner = Callable[[SparkSession, str], DataFrame]
@@ -29,6 +29,12 @@ def op1_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packed_digests(table(spark, folder, "documents"))
 
 
+def op6_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    model = toxicity.train(docs, table(spark, folder, "labels"))
+    return docs.select("doc_id", toxicity.severity(model).alias("s")).select("doc_id", "s.*", (F.col("s.p_toxic") >= 0.5).alias("rejected"))
+
+
 def op8_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     found = decontamination.contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
     return found.select(
@@ -43,6 +49,7 @@ def op10_simhash(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Runner] = {
     "op1_packing": op1_packing,
+    "op6_toxicity": op6_toxicity,
     "op8_decontamination": op8_decontamination,
     "op10_simhash": op10_simhash,
 }
