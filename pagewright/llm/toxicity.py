@@ -9,12 +9,15 @@ import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
 from pagewright.llm import words
-from pagewright.llm.store import written
+from pagewright.llm.store import widened, written
 
 #: Bounds of the fit: labelled rows (a sample by hash of the id) and markers.
 LABELLED = 20_000
 MARKERS = 2_048
 GRADES = 3
+#: A marker's share of the toxic texts lies so many standard deviations, and times, above its share of the clean ones.
+SURE = 6
+LIFT = 25
 #: Besides whole words, beginnings of so many bytes can be markers: they hold for forms that no labelled row has.
 BEGINNINGS = (4, 5, 6)
 
@@ -24,7 +27,7 @@ class Model:
     """Weights shared by all thresholds: P(grade >= k) = sigmoid(weights . x - thresholds[k - 1])."""
 
     markers: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint64))
-    weights: np.ndarray = field(default_factory=lambda: np.zeros(1))
+    weights: np.ndarray = field(default_factory=lambda: np.zeros(0))
     thresholds: np.ndarray = field(default_factory=lambda: np.full(GRADES, np.inf))
 
     def reach(self, texts: list[bytes]) -> np.ndarray:
@@ -32,7 +35,8 @@ class Model:
         out = np.zeros((len(texts), len(self.thresholds)))
         for lo, hi in words.groups(texts):
             w = words.find(texts[lo:hi], words.ALNUM)
-            z = scores(features(*marker_counts(w, self.markers), w.counts, len(self.markers)), self.weights, hi - lo)
+            row, column, times, _ = marker_counts(w, self.markers)
+            z = scores((row, column, np.log1p(times)), self.weights, hi - lo)
             out[lo:hi] = np.where(w.counts[:, None] > 0, sigmoid(z[:, None] - self.thresholds), 0.0)
         return out
 
@@ -66,19 +70,12 @@ def marker_counts(w: words.Words, markers: np.ndarray) -> tuple[np.ndarray, np.n
     return pair // width, pair % width, times, np.bincount(text, minlength=len(w.first) - 1)
 
 
-def features(row, column, times, marked, n_words, n_markers) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sparse (row, column, value): log counts of markers, and in the last column the log of marked words per 1000 words."""
-    some = np.flatnonzero(marked)
-    share = np.log1p(1000 * marked[some] / n_words[some])
-    return np.concatenate([row, some]), np.concatenate([column, np.full(len(some), n_markers)]), np.concatenate([np.log1p(times), share])
-
-
 def scores(x: tuple, weights: np.ndarray, n: int) -> np.ndarray:
     return np.bincount(x[0], x[2] * weights[x[1]], n)
 
 
-def fit_ordinal(x: tuple, grades: np.ndarray, n_features: int, rounds: int = 600, rate: float = 0.05, ridge: float = 1e-3) -> tuple[np.ndarray, np.ndarray]:
-    """Weights and rising thresholds that maximise the likelihood of the grades; Adam on all rows."""
+def fit_ordinal(x: tuple, grades: np.ndarray, n_features: int, rounds: int = 600, rate: float = 0.05, ridge: float = 0.1) -> tuple[np.ndarray, np.ndarray]:
+    """Weights, 0 or above, and rising thresholds that maximise the penalised likelihood of the grades; Adam on all rows."""
     n, top = len(grades), GRADES
     p = np.concatenate([np.zeros(n_features), [2.0], np.zeros(top - 1)])  # weights, first threshold, logs of the steps
     first, second = np.zeros_like(p), np.zeros_like(p)
@@ -96,19 +93,21 @@ def fit_ordinal(x: tuple, grades: np.ndarray, n_features: int, rounds: int = 600
         np.add.at(d_cuts, grades + 1, -slope[i, grades + 1] / chance / n)
         d_cuts = d_cuts[1:-1]
         grad = np.concatenate([
-            np.bincount(x[1], x[2] * d_z[x[0]], n_features) + ridge * w / n_features, [d_cuts.sum()],
+            np.bincount(x[1], x[2] * d_z[x[0]], n_features) + ridge * w / n, [d_cuts.sum()],
             steps * np.cumsum(d_cuts[::-1])[::-1][1:],
         ])
         first, second = 0.9 * first + 0.1 * grad, 0.99 * second + 0.01 * grad**2
         p = p - rate * (first / (1 - 0.9**t)) / (np.sqrt(second / (1 - 0.99**t)) + 1e-9)
+        p[:n_features] = np.maximum(p[:n_features], 0)
     return p[:n_features], p[n_features] + np.concatenate([[0], np.cumsum(np.exp(p[n_features + 1 :]))])
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", labelled: int = LABELLED, markers: int = MARKERS) -> Model:
     """A model from labelled documents.
 
-    Markers are words, or beginnings of words, that stand in far more of the toxic than of the clean labelled documents. Grades follow the labels:
-    0 is clean; toxic ones are graded 1 to 3 by their share of markers, in thirds. Labels that are null are left out; a
+    Markers are words, or beginnings of words, that stand in far more of the toxic than of the clean labelled documents. Copies of a
+    text, told by a sketch, are counted once. Grades follow the labels: 0 is clean; toxic ones
+    are graded 1 to 3 by how many of their words have markers, in thirds. Labels that are null are left out; a
     document with two labels counts as toxic. Without toxic or without clean rows, or without markers, nothing is toxic.
     """
     known = labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg((F.max(label_col) > 0).cast("int").alias("y"))
@@ -116,8 +115,29 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     if not n:
         return Model()
     part = int(min(1.0, labelled / n) * (1 << 30))
-    sample = F.broadcast(known.filter(F.xxhash64("id").bitwiseAND(F.lit((1 << 30) - 1)) < part))  # about ``labelled`` rows
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(sample, "id").select("id", "y", "text")
+    sample = known.filter(F.xxhash64("id").bitwiseAND(F.lit((1 << 30) - 1)) < part)  # about ``labelled`` rows
+    whole = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+
+    def sketch(batches: Iterator) -> Iterator:
+        """The least hash of five words in a row: copies of a text mostly share it."""
+        import pyarrow as pa
+
+        for batch in batches:
+            found = words.raw_texts(batch.column(2))
+            least = np.zeros(len(found), np.int64)
+            for lo, hi in words.groups(found):
+                w = words.find(found[lo:hi], words.ALNUM)
+                h = words.shingle_hashes(words.hashes(w), 5)
+                some = np.flatnonzero(w.counts >= 5)
+                if len(some):
+                    ends = np.stack([w.first[some], w.first[some + 1] - 4], axis=1).ravel()
+                    least[lo + some] = np.minimum.reduceat(np.append(h, np.uint64(0)), ends)[::2].view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(least)], names=["id", "y", "least"])
+
+    sketched = whole.join(F.broadcast(sample), "id").select("id", "y", "text")
+    own = F.when(F.col("least") == 0, F.xxhash64("id")).otherwise(F.col("least"))
+    apart = written(sketched.mapInArrow(sketch, widened(sketched.select("id", "y"), "least long")).groupBy(own, "y").agg(F.min("id").alias("id")).select("id", "y"))
+    texts = whole.join(F.broadcast(apart), "id").select("id", "y", "text")
 
     def count(batches: Iterator) -> Iterator:
         """How many toxic and how many clean texts hold each term; the row without a term counts texts."""
@@ -148,7 +168,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     toxic, clean = sizes.a, sizes.b
     pooled = (F.col("a") + F.col("b")) / (toxic + clean)
     gap = F.col("a") / toxic - F.col("b") / clean
-    strong = stands.withColumn("z", F.try_divide(gap, F.sqrt(pooled * (1 - pooled) * (1 / toxic + 1 / clean)))).filter((F.col("z") >= 4) & (F.col("a") / toxic >= 3 * F.col("b") / clean))
+    strong = stands.withColumn("z", F.try_divide(gap, F.sqrt(pooled * (1 - pooled) * (1 / toxic + 1 / clean)))).filter((F.col("z") >= SURE) & (F.col("a") / toxic >= LIFT * F.col("b") / clean))
     chosen = np.array(sorted(r.h & (1 << 64) - 1 for r in strong.filter("h IS NOT NULL").orderBy(F.desc("z"), "h").limit(markers).collect()), np.uint64)
     if not len(chosen):
         return Model()
@@ -165,21 +185,19 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
                 some = np.flatnonzero(marked)
                 at = np.append(np.searchsorted(row, some), len(row)).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(1).take(pa.array(some + lo)), pa.array(w.counts[some]), pa.array(marked[some]), pa.ListArray.from_arrays(at, column), pa.ListArray.from_arrays(at, times)],
-                    names=["y", "n_words", "marked", "columns", "times"],
+                    [batch.column(1).take(pa.array(some + lo)), pa.array(marked[some]), pa.ListArray.from_arrays(at, column), pa.ListArray.from_arrays(at, times)],
+                    names=["y", "marked", "columns", "times"],
                 )
 
-    held = texts.mapInArrow(extract, "y int, n_words long, marked long, columns array<long>, times array<long>").collect()  # at most ``labelled`` rows of ``markers`` numbers
+    held = texts.mapInArrow(extract, "y int, marked long, columns array<long>, times array<long>").collect()  # at most ``labelled`` rows of ``markers`` numbers
     m = len(held)
     row = np.repeat(np.arange(m), [len(r.columns) for r in held])
     column, times = (np.array([v for r in held for v in r[k]], np.int64) for k in ("columns", "times"))
-    n_words, marked, y = (np.array([r[k] for r in held], np.int64) for k in ("n_words", "marked", "y"))
-    density = marked / n_words
-    cuts = np.quantile(density[y > 0], [(k + 1) / GRADES for k in range(GRADES - 1)])
-    grades = np.where(y > 0, 1 + np.searchsorted(cuts, density), 0)
+    marked, y = (np.array([r[k] for r in held], np.int64) for k in ("marked", "y"))
+    cuts = np.quantile(marked[y > 0], [(k + 1) / GRADES for k in range(GRADES - 1)])
+    grades = np.where(y > 0, 1 + np.searchsorted(cuts, marked), 0)
     rest = [np.ones(toxic - int(y.sum()), np.int64), np.zeros(clean - int((y == 0).sum()), np.int64)]  # texts without markers
-    x = features(row, column, times, marked, n_words, len(chosen))
-    return Model(chosen, *fit_ordinal(x, np.concatenate([grades, *rest]), len(chosen) + 1))
+    return Model(chosen, *fit_ordinal((row, column, np.log1p(times)), np.concatenate([grades, *rest]), len(chosen)))
 
 
 def severity(model: Model, text_col: str = "text"):
