@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from pagewright.llm import decontamination, packing, simhash, toxicity
+from pagewright.llm import decontamination, packing, pii, simhash, toxicity
 from pagewright.llm.store import table
 
 Runner = Callable[[SparkSession, str], DataFrame]
@@ -35,6 +35,17 @@ def op6_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return docs.select("doc_id", toxicity.severity(model).alias("s")).select("doc_id", "s.*", (F.col("s.p_toxic") >= 0.5).alias("rejected"))
 
 
+def op7_pii(spark: SparkSession, folder: str) -> DataFrame:
+    found = table(spark, folder, "documents").select("doc_id", pii.find(pii.train()).alias("found"))
+    written_as = lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])
+    base = F.filter("found", lambda s: s["base"])
+    counts = [F.size(F.filter("found", lambda s, k=kind: s["base"] & (s["kind"] == k))).cast("long").alias(f"n_{kind}") for kind in ("email", "ip", "card", "phone")]
+    return found.select(
+        "doc_id", *counts, F.sha2(F.array_join(F.transform(base, written_as), ","), 256).alias("base_sha256"),
+        F.array_join(F.transform("found", written_as), ",").alias("spans"),
+    )
+
+
 def op8_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     found = decontamination.contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
     return found.select(
@@ -50,6 +61,7 @@ def op10_simhash(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Runner] = {
     "op1_packing": op1_packing,
     "op6_toxicity": op6_toxicity,
+    "op7_pii": op7_pii,
     "op8_decontamination": op8_decontamination,
     "op10_simhash": op10_simhash,
 }
