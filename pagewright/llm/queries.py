@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from pagewright.llm import decontamination, packing, pii, simhash, toxicity
+from pagewright.llm import decontamination, licences, packing, pii, simhash, toxicity
 from pagewright.llm.store import table
 
 Runner = Callable[[SparkSession, str], DataFrame]
@@ -54,6 +54,18 @@ def op8_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op9_licences(spark: SparkSession, folder: str) -> DataFrame:
+    found = table(spark, folder, "documents").select("doc_id", licences.find().alias("f")).select("doc_id", "f.*")
+    base = F.filter("finds", lambda x: x["base"])
+    labels = lambda finds: F.array_join(F.array_sort(F.array_distinct(F.transform(finds, lambda x: x["label"]))), ",")
+    starts = F.transform(base, lambda x: x["start"])
+    missed = F.aggregate("finds", F.lit(1.0), lambda a, x: a * (1 - x["weight"]))
+    return found.select(
+        "doc_id", "n_words", F.size(base).cast("long").alias("n_base"), F.array_min(starts).alias("first_word"), F.array_max(starts).alias("last_word"),
+        labels(base).alias("base_labels"), labels(F.col("finds")).alias("labels"), (1 - missed).alias("score"),
+    )
+
+
 def op10_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.near_groups(table(spark, folder, "documents")).withColumnRenamed("id", "doc_id")
 
@@ -63,6 +75,7 @@ QUERIES: dict[str, Runner] = {
     "op6_toxicity": op6_toxicity,
     "op7_pii": op7_pii,
     "op8_decontamination": op8_decontamination,
+    "op9_licences": op9_licences,
     "op10_simhash": op10_simhash,
 }
 ORACLES: dict[str, str] = {}
