@@ -13,14 +13,17 @@ from collections.abc import Iterator
 import numpy as np
 from pyspark.sql import DataFrame, Window, functions as F
 
+from pagewright.llm import words
 from pagewright.llm.store import widened, written
 
 CAPACITY = 2048
 END = 0
 
 _SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-#: The byte-level tokenizer never joins letters across these parts, so each part has its own ids.
-_PARTS = re.compile(rf" ?[^{_SPACE}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+")
+_SURE = "A-Za-z0-9\xc0-\xd6\xd8-\xf6\xf8-\u024f"  # letters and digits under anyone's rules
+#: The byte-level tokenizer never joins letters across these parts, so each part has its own ids: a word with the space before
+#: it, a full stop or comma after it, and runs of white space.
+_PARTS = re.compile(rf" ?[{_SURE}]+(?![^{_SPACE}.,])|(?<=[{_SURE}])[.,](?![^{_SPACE}])| ?[^{_SPACE}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+")
 
 
 class Encoder:
@@ -28,13 +31,14 @@ class Encoder:
 
     _made: dict[str, Encoder] = {}
 
-    def __init__(self, path: str, remember: int = 400_000):
+    def __init__(self, path: str, remember: int = 1_000_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # names of special tokens in a text are ordinary text
         self.known: dict[str, bytes] = {}
         self.remember = remember
+        self.line = self._encode("\n")
 
     @classmethod
     def of(cls, path: str) -> Encoder:
@@ -46,23 +50,37 @@ class Encoder:
             cls._made[path] = cls(path)
         return cls._made[path]
 
-    def ids(self, text: str) -> bytes:
-        """The ids of a whole text as little-endian unsigned 32-bit numbers."""
-        parts = _PARTS.findall(text)
+    def _encode(self, text: str) -> list[int]:
+        return self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
+
+    def _learn(self, new: list[str]) -> None:
+        """Encode parts that aren't known, on one line each; a line feed before a word is a token of its own."""
+        lines = [p for p in new if not p.isspace()]
+        ids = np.array(self._encode("\n".join(lines)), "<u4")
+        cuts = np.flatnonzero(ids == self.line[0])
+        if len(self.line) == 1 and len(cuts) == len(lines) - 1:
+            raw, a = ids.tobytes(), 0
+            for p, b in zip(lines, [*(4 * cuts).tolist(), 4 * len(ids)]):
+                self.known[p] = raw[a:b]
+                a = b + 4
+        for p in new:
+            if p not in self.known:
+                self.known[p] = np.array(self._encode(p), "<u4").tobytes()
+
+    def ids(self, texts: list[str]) -> list[bytes]:
+        """The ids of whole texts as little-endian unsigned 32-bit numbers."""
+        if len(self.known) > self.remember:
+            self.known.clear()
+        parts = [_PARTS.findall(t) for t in texts]
+        new = list(set().union(*parts) - self.known.keys())
+        if new:
+            self._learn(new)
         known = self.known
-        try:
-            return b"".join([known[p] for p in parts])
-        except KeyError:
-            if len(known) > self.remember:
-                known.clear()
-            new = list({p for p in parts if p not in known})
-            for p, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-                known[p] = np.array(e.ids, "<u4").tobytes()
-            out = b"".join([known[p] for p in parts])
-            for p in new:
-                if len(p) > 64:
-                    del known[p]
-            return out
+        out = [b"".join([known[p] for p in own]) for own in parts]
+        for p in new:
+            if len(p) > 64:
+                del known[p]
+        return out
 
 
 def pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end: int = END) -> DataFrame:
@@ -79,17 +97,15 @@ def pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
 
         encoder = Encoder.of(tokenizer)
         for batch in batches:
-            texts, at = batch.column(1), 0
-            while at < len(texts):
+            texts = [x or "" for x in batch.column(1).to_pylist()]
+            for lo, hi in words.groups(texts, 1 << 20):
                 rows: list[tuple] = []
-                size = 0
-                while at < len(texts) and size < 1 << 23:
-                    ids = encoder.ids(texts[at].as_py() or "") + last
+                for at, raw in enumerate(encoder.ids(texts[lo:hi]), lo):
+                    ids = raw + last
                     n = len(ids) // 4
                     first = (n - 1) % capacity + 1
                     bounds = [0, *range(first, n + 1, capacity)]
                     rows += [(at, k, a, b - a, ids[4 * a : 4 * b]) for k, (a, b) in enumerate(zip(bounds, bounds[1:]))]
-                    size, at = size + len(ids), at + 1
                 own, piece, start, length, cut = zip(*rows)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).take(pa.array(own)), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(cut, pa.binary())],

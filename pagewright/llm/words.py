@@ -39,8 +39,8 @@ class Words:
         return np.repeat(np.arange(len(self.first) - 1), self.counts)
 
 
-def groups(texts: list[bytes], most: int = 1 << 21) -> Iterator[tuple[int, int]]:
-    """Ranges of texts with about ``most`` bytes together; a longer text stands alone."""
+def groups(texts: list[bytes] | list[str], most: int = 1 << 21) -> Iterator[tuple[int, int]]:
+    """Ranges of texts with at most ``most`` bytes or letters together; a longer text stands alone."""
     begin = size = 0
     for i, text in enumerate(texts):
         if size and size + len(text) > most:

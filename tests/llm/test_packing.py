@@ -12,7 +12,7 @@ PATH = public_tokenizers.path("byte_bpe_50k.json")
 
 def odd_texts():
     rng = random.Random(11)
-    letters = ["a", "the", "don't", " ", "  ", "\n", "\t", "\r\n", "\x1c", "\x85", "\xa0", "\u3000", "\u2028", "\u200b", "é", "日本", "12", "!?", "'s", "<|endoftext|>", "🙂"]
+    letters = ["a", ".", ",", "b.", "\u00b2", "ª", "\u0301", "the", "don't", " ", "  ", "\n", "\t", "\r\n", "\x1c", "\x85", "\xa0", "\u3000", "\u2028", "\u200b", "é", "日本", "12", "!?", "'s", "<|endoftext|>", "🙂"]
     return ["".join(rng.choices(letters, k=rng.randint(0, 40))) for _ in range(400)]
 
 
@@ -20,8 +20,9 @@ def test_parts_have_the_ids_of_the_whole():
     plain = Tokenizer.from_file(PATH)
     plain.encode_special_tokens = True
     encoder = packing.Encoder(PATH, remember=50)
-    for text in odd_texts():
-        assert np.frombuffer(encoder.ids(text), "<u4").tolist() == plain.encode(text, add_special_tokens=False).ids
+    texts = odd_texts() + [" ".join(odd_texts()), "", "\n", "\n\n a", "word.\nNext, word.Other ,x x, y.. z"]
+    for text, own in zip(texts, [x for i in range(0, len(texts), 7) for x in encoder.ids(texts[i : i + 7])]):
+        assert np.frombuffer(own, "<u4").tolist() == plain.encode(text, add_special_tokens=False).ids
 
 
 def best_fit(lengths, capacity):
