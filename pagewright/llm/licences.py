@@ -23,7 +23,7 @@ BASE = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved"
 
 #: label | words of the name, where ~ stands for an optional "version"/"v" and further marks | identifier | a word any mention holds
 _FAMILIES = """
-mit | mit (?:x11 |expat )?| mit | mit
+mit | mit(?: x11| expat)? | mit | mit
 mit-0 | mit no attribution | mit-0 | attribution
 x11 | x11 | x11 | x11
 apache-1.1 | apache (?:software )?(?:license )?~1[.]1 | apache-1[.]1 | apache
