@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from pagewright.llm import decontamination, licences, packing, pii, simhash, toxicity
+from pagewright.llm import decontamination, langid, licences, packing, pii, simhash, toxicity
 from pagewright.llm.store import table
 
 Runner = Callable[[SparkSession, str], DataFrame]
@@ -29,6 +29,17 @@ def op1_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packed_digests(table(spark, folder, "documents"))
 
 
+def _remainder(n: int):
+    return F.crc32(F.col("doc_id").cast("string")) % n
+
+
+def op2_language(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    model = langid.train(docs.filter(_remainder(3) != 1))
+    guess = docs.select("doc_id", F.coalesce(_remainder(3) == 1, F.lit(False)).alias("held_out"), langid.predict(model).alias("p"))
+    return guess.select("doc_id", "held_out", F.col("p.lang").alias("lang_pred"), "p.score", "p.ambiguous")
+
+
 def op6_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     model = toxicity.train(docs, table(spark, folder, "labels"))
@@ -72,6 +83,7 @@ def op10_simhash(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Runner] = {
     "op1_packing": op1_packing,
+    "op2_language": op2_language,
     "op6_toxicity": op6_toxicity,
     "op7_pii": op7_pii,
     "op8_decontamination": op8_decontamination,
