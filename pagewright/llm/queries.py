@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from pagewright.llm import decontamination, langid, licences, packing, pii, simhash, toxicity
+from pagewright.llm import decontamination, embeddings, langid, licences, packing, pii, simhash, toxicity
 from pagewright.llm.store import table
 
 Runner = Callable[[SparkSession, str], DataFrame]
@@ -40,6 +40,10 @@ def op2_language(spark: SparkSession, folder: str) -> DataFrame:
     return guess.select("doc_id", "held_out", F.col("p.lang").alias("lang_pred"), "p.score", "p.ambiguous")
 
 
+def op5_embeddings(spark: SparkSession, folder: str) -> DataFrame:
+    return embeddings.near_vectors(table(spark, folder, "embeddings")).withColumnRenamed("id", "vec_id")
+
+
 def op6_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     model = toxicity.train(docs, table(spark, folder, "labels"))
@@ -85,6 +89,7 @@ def op10_simhash(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Runner] = {
     "op1_packing": op1_packing,
     "op2_language": op2_language,
+    "op5_embeddings": op5_embeddings,
     "op6_toxicity": op6_toxicity,
     "op7_pii": op7_pii,
     "op8_decontamination": op8_decontamination,
