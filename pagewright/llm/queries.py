@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from pagewright.llm import decontamination, embeddings, langid, licences, packing, pii, simhash, toxicity
+from pagewright.llm import chat, decontamination, embeddings, langid, licences, packing, pii, simhash, toxicity
 from pagewright.llm.store import table
 
 Runner = Callable[[SparkSession, str], DataFrame]
@@ -40,6 +40,10 @@ def op2_language(spark: SparkSession, folder: str) -> DataFrame:
     return guess.select("doc_id", "held_out", F.col("p.lang").alias("lang_pred"), "p.score", "p.ambiguous")
 
 
+def op4_chat(spark: SparkSession, folder: str) -> DataFrame:
+    return chat.preferences(*chat.swapped_answers(table(spark, folder, "conversations")))
+
+
 def op5_embeddings(spark: SparkSession, folder: str) -> DataFrame:
     return embeddings.near_vectors(table(spark, folder, "embeddings")).withColumnRenamed("id", "vec_id")
 
@@ -89,6 +93,7 @@ def op10_simhash(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Runner] = {
     "op1_packing": op1_packing,
     "op2_language": op2_language,
+    "op4_chat": op4_chat,
     "op5_embeddings": op5_embeddings,
     "op6_toxicity": op6_toxicity,
     "op7_pii": op7_pii,
@@ -96,4 +101,4 @@ QUERIES: dict[str, Runner] = {
     "op9_licences": op9_licences,
     "op10_simhash": op10_simhash,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op4_chat": chat.SWAPPED_SQL}
