@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from pagewright.llm import chat, decontamination, embeddings, langid, licences, packing, pii, simhash, toxicity
+from pagewright.llm import chat, decontamination, embeddings, langid, licences, lm, packing, pii, simhash, toxicity
 from pagewright.llm.store import table
 
 Runner = Callable[[SparkSession, str], DataFrame]
@@ -40,6 +40,11 @@ def op2_language(spark: SparkSession, folder: str) -> DataFrame:
     return guess.select("doc_id", "held_out", F.col("p.lang").alias("lang_pred"), "p.score", "p.ambiguous")
 
 
+def op3_lm(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text", F.coalesce(_remainder(5) == 1, F.lit(False)).alias("held_out"))
+    return lm.scores(docs, vocabulary_file("byte_bpe_50k.json")).withColumnRenamed("id", "doc_id")
+
+
 def op4_chat(spark: SparkSession, folder: str) -> DataFrame:
     return chat.preferences(*chat.swapped_answers(table(spark, folder, "conversations")))
 
@@ -93,6 +98,7 @@ def op10_simhash(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Runner] = {
     "op1_packing": op1_packing,
     "op2_language": op2_language,
+    "op3_lm": op3_lm,
     "op4_chat": op4_chat,
     "op5_embeddings": op5_embeddings,
     "op6_toxicity": op6_toxicity,

@@ -31,7 +31,7 @@ def test_known_lines():
     assert labels('"license": "MPL-2.0"') == ["mpl-2.0"]
     assert labels("see https://creativecommons.org/licenses/by-sa/4.0/") == ["cc-by-sa"]
     assert labels("Mit der Lizenz hat das nichts zu tun, the public gave general praise") == []
-    assert labels("© 2019 Some Firm. All rights reserved.") == ["reserved"]
+    assert labels("\u00a9 2019 Some Firm. All rights reserved.") == ["reserved"]
     assert labels("distributed under the terms of the GNU Lesser General Public License v2.1") == ["gpl", "lgpl-2.1"]
 
 
