@@ -115,3 +115,9 @@ def ipv6_hex(ip: Column) -> Column:
     shaped = text.rlike("^[0-9a-f:]+$") & F.forall(full, lambda g: g.rlike("^[0-9a-f]{1,4}$"))
     fits = F.when(compressed, missing >= 1).otherwise(missing == 0)
     return F.when(text.contains(":") & shaped & fits & (F.size(sides) <= 2) & (F.size(full) == 8), digits)
+
+
+def address_bits(ip: Column) -> Column:
+    """An IPv4 address as text of 32 bits, an IPv6 address as text of 128; null when malformed."""
+    nibbles = F.transform(F.split(ipv6_hex(ip), ""), lambda d: F.lpad(F.conv(d, 16, 2), 4, "0"))
+    return F.coalesce(F.lpad(F.bin(ipv4_number(ip)), 32, "0"), F.array_join(nibbles, ""))

@@ -22,22 +22,21 @@ class MatrixRules:
 
 
 def verify_by_range(hits: DataFrame, bounds: DataFrame) -> DataFrame:
-    """(ip, family, verdict): verified inside a published range, spoofed outside, claimed where none is published.
+    """(ip, family, verdict): verified inside a published range, spoofed outside, claimed where none is published or the address is malformed.
 
-    Addresses are made distinct first, then matched inside their /16 block, so the join is an equality join
-    with at most 65 536 addresses and the ranges of one block on each side.
+    Addresses are made distinct first and cut to each prefix length that the ranges of their version have, at most 161
+    in all, so the join is an equality join on the prefix.
     """
-    ips = hits.where("family IS NOT NULL").select("ip", "family").distinct().withColumn("n", numbers.ipv4_number(F.col("ip")))
-    blocks = bounds.select("family", "lo", "hi", F.explode(F.sequence(F.shiftright("lo", 16), F.shiftright("hi", 16))).alias("block"))
-    inside = (
-        ips.withColumn("block", F.shiftright("n", 16)).join(blocks, ["family", "block"]).where("n BETWEEN lo AND hi")
-        .select("ip", "family").distinct().withColumn("hit", F.lit(True))
-    )
+    ips = hits.where("family IS NOT NULL").select("ip", "family").distinct().withColumn("a", numbers.address_bits(F.col("ip")))
+    lengths = bounds.select("family", "version", "bits").distinct().groupBy("family").agg(F.collect_set(F.struct("version", "bits")).alias("lengths"))
+    own = F.filter("lengths", lambda x: F.length("a") == F.when(x["version"] == 4, 32).otherwise(128))
+    cut = ips.join(lengths, "family").select("ip", "family", "a", F.explode(own).alias("x")).select("ip", "family", F.col("x.version").alias("version"), F.expr("substring(a, 1, x.bits)").alias("prefix"))
+    inside = cut.join(bounds.select("family", "version", "prefix").distinct(), ["family", "version", "prefix"]).select("ip", "family").distinct().withColumn("hit", F.lit(True))
     published = bounds.select("family").distinct().withColumn("published", F.lit(True))
-    rows = ips.join(inside, ["ip", "family"], "left").join(published, "family", "left")
+    rows = ips.join(inside, ["ip", "family"], "left").join(published, "family", "left").withColumn("judged", F.col("published") & F.col("a").isNotNull())
     return rows.select(
-        "ip", "family", F.when(F.col("hit"), "verified").when(F.col("published"), "spoofed").otherwise("claimed").alias("verdict"),
-        F.when(F.col("published"), "published-ranges").otherwise("none").alias("method"),
+        "ip", "family", F.when(F.col("hit"), "verified").when(F.col("judged"), "spoofed").otherwise("claimed").alias("verdict"),
+        F.when(F.col("judged"), "published-ranges").otherwise("none").alias("method"),
     )
 
 
@@ -71,21 +70,28 @@ def visit_gaps(hits: DataFrame) -> DataFrame:
     return shapes.gaps(hits.where("family IS NOT NULL"), ["path", "family", "verdict"], "at")
 
 
-def bot_aggregate(hits: DataFrame) -> DataFrame:
+def bot_aggregate(hits: DataFrame, seconds: int = 3600) -> DataFrame:
     """Mergeable sums per path, family and verdict.
 
-    Gaps add up to last minus first, so only the widest gap needs ordered rows.
+    Visits meet once, in buckets of time; there the sums, the ends and the widest inner gap are taken. The gaps between
+    buckets and the totals need one row per bucket. Gaps add up to last minus first.
     """
     keys = ["path", "family", "verdict"]
-    bots = hits.where("family IS NOT NULL AND status BETWEEN 200 AND 599")
+    bots = hits.where("family IS NOT NULL AND status BETWEEN 200 AND 599").select(*keys, "status", "latency_ms", "bytes", "at", F.unix_millis("at").alias("_ms"))
+    rows = bots.withColumn("_b", F.floor(F.col("_ms") / (seconds * 1000)))
     band = lambda n: F.count_if(F.floor(F.col("status") / 100) == n).alias(f"status_{n}xx")
-    sums = bots.groupBy(*keys).agg(
+    inner = F.col("_ms") - F.lag("_ms").over(W.partitionBy(*keys, "_b").orderBy("_ms"))
+    parts = rows.withColumn("_gap", inner).groupBy(*keys, "_b").agg(
         F.count("*").alias("hits"), *[band(n) for n in (2, 3, 4, 5)],
         F.sum(F.coalesce("latency_ms", F.lit(0.0))).alias("latency_sum_ms"), F.count("latency_ms").alias("latency_count"),
-        F.sum(F.coalesce("bytes", F.lit(0))).alias("bytes"), F.min("at").alias("first_at"), F.max("at").alias("last_at"),
+        F.sum(F.coalesce("bytes", F.lit(0))).alias("bytes"), F.min("at").alias("first_at"), F.max("at").alias("last_at"), F.max("_gap").alias("_gap"),
+    )
+    carried = F.unix_millis("first_at") - F.unix_millis(F.lag("last_at").over(W.partitionBy(*keys).orderBy("_b")))
+    sums = ("hits", *[f"status_{n}xx" for n in (2, 3, 4, 5)], "latency_sum_ms", "latency_count", "bytes")
+    out = parts.withColumn("_carried", carried).groupBy(*keys).agg(
+        *[F.sum(c).alias(c) for c in sums], F.min("first_at").alias("first_at"), F.max("last_at").alias("last_at"), F.max(F.greatest("_gap", "_carried")).alias("max_gap_ms"),
     )
-    widest = shapes.gaps(bots, keys, "at").groupBy(*keys).agg(F.max("gap_ms").alias("max_gap_ms"))
-    return sums.join(widest, keys).withColumn("gap_sum_ms", F.unix_millis("last_at") - F.unix_millis("first_at")).withColumn("gap_count", F.col("hits") - 1)
+    return out.withColumn("gap_sum_ms", F.unix_millis("last_at") - F.unix_millis("first_at")).withColumn("gap_count", F.col("hits") - 1)
 
 
 def log_coverage(hits: DataFrame, window_days: int = 30) -> DataFrame:
@@ -128,11 +134,11 @@ def visit_evidence(pages: DataFrame, aggregate: DataFrame, coverage: DataFrame,
     ).drop("_d", "hits")
 
 
-def missing_days(hits: DataFrame) -> DataFrame:
-    """Days between the first and last day that have no line."""
+def missing_days(hits: DataFrame, whole: DataFrame | None = None) -> DataFrame:
+    """Days that have no line, from the first to the last day of ``whole``, by default of the lines themselves."""
     days = hits.select(F.to_date("at").alias("day")).distinct()
-    span = days.agg(F.min("day").alias("a"), F.max("day").alias("b")).select(F.explode(F.sequence("a", "b")).alias("day"))
-    return span.join(days, "day", "left_anti")
+    span = (hits if whole is None else whole).agg(F.to_date(F.min("at")).alias("a"), F.to_date(F.max("at")).alias("b"))
+    return span.select(F.explode(F.sequence("a", "b")).alias("day")).join(days, "day", "left_anti")
 
 
 def calibrate_matrix(cases: DataFrame, defaults: MatrixRules = MatrixRules()) -> DataFrame:

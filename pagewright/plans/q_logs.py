@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pagewright.operators import logs as ops
 from pagewright.plans.inputs import HITS_SQL, cte, log_hits, log_lines
 from pagewright.plans.registry import Tables, query
+from pagewright.session import cut_lineage
 from pagewright.sources import logs as src
 
 _V = """SELECT h.*, CASE WHEN family IS NULL THEN NULL WHEN family IN ('gptbot', 'perplexitybot') THEN 'claimed' WHEN family = 'googlebot' AND user_id_part < 32 THEN 'verified' WHEN family = 'bingbot' AND user_id_part >= 60 THEN 'verified' ELSE 'spoofed' END AS verdict
@@ -25,7 +26,7 @@ def _bounds(t: Tables):
 
 
 def _verified(t: Tables):
-    hits = log_hits(t)
+    hits = cut_lineage(log_hits(t))  # parsed once, read for the addresses and for the visits
     return ops.with_verdict(hits, ops.verify_by_range(hits, _bounds(t)))
 
 
@@ -48,9 +49,22 @@ def _(t: Tables):
     return rows.groupBy("kind").agg(F.count("*").alias("lines"), F.count_if(F.col("at").isNull()).alias("malformed"))
 
 
-@query("published_range_bounds", "A4", "SELECT * FROM (VALUES ('googlebot', '66.249.0.0/19', 1123614720::BIGINT, 1123622911::BIGINT), ('bingbot', '66.249.60.0/22', 1123630080::BIGINT, 1123631103::BIGINT)) r(family, cidr, lo, hi)")
+@query("published_range_bounds", "A4", "SELECT * FROM (VALUES ('googlebot', '66.249.0.0/19', 1123614720::BIGINT, 1123622911::BIGINT), ('bingbot', '66.249.60.0/22', 1123630080::BIGINT, 1123631103::BIGINT), ('googlebot', '2001:db8::/32', NULL, NULL)) r(family, cidr, lo, hi)")
 def _(t: Tables):
-    return _bounds(t)
+    return _bounds(t).select("family", "cidr", "lo", "hi")
+
+
+@query("crawler_ipv6_verdicts", "A4 C9 D3 J4", """
+WITH v AS (SELECT DISTINCT CASE event_id % 4 WHEN 0 THEN '2001:db8:' || (user_id % 90) || '::' || (event_id % 10) WHEN 1 THEN '2001:DB9::' || (event_id % 10) WHEN 2 THEN '2001:db8::zz' || (user_id % 9) ELSE '66.249.3.' || (event_id % 256) END AS ip, event_id % 4 AS k, event_id % 3 AS f FROM events)
+SELECT ip, CASE f WHEN 0 THEN 'googlebot' WHEN 1 THEN 'bingbot' ELSE 'gptbot' END AS family, CASE WHEN f = 2 OR k = 2 THEN 'claimed' WHEN f = 0 AND k IN (0, 3) THEN 'verified' ELSE 'spoofed' END AS verdict, CASE WHEN f = 2 OR k = 2 THEN 'none' ELSE 'published-ranges' END AS method FROM v""")
+def _(t: Tables):
+    e, u = F.col("event_id"), F.col("user_id")
+    ip = (
+        F.when(e % 4 == 0, F.concat(F.lit("2001:db8:"), u % 90, F.lit("::"), e % 10)).when(e % 4 == 1, F.concat(F.lit("2001:DB9::"), e % 10))
+        .when(e % 4 == 2, F.concat(F.lit("2001:db8::zz"), u % 9)).otherwise(F.concat(F.lit("66.249.3."), e % 256))
+    )
+    family = F.when(e % 3 == 0, "googlebot").when(e % 3 == 1, "bingbot").otherwise("gptbot")
+    return ops.verify_by_range(t.events.select(ip.alias("ip"), family.alias("family")), _bounds(t))
 
 
 @query("crawler_range_verdicts", "C9 J4", cte(**_HV) + "SELECT DISTINCT ip, family, verdict, CASE WHEN verdict = 'claimed' THEN 'none' ELSE 'published-ranges' END AS method FROM v WHERE family IS NOT NULL")
@@ -96,11 +110,9 @@ def _(t: Tables):
 
 @query("log_missing_days", "I2", "SELECT d::DATE AS day FROM (SELECT unnest(generate_series((SELECT min(ts)::DATE FROM events), (SELECT max(ts)::DATE FROM events), INTERVAL 1 DAY)) AS d) WHERE d::DATE NOT IN (SELECT ts::DATE FROM events WHERE value > 4 AND event_type = 'error' AND user_id < 3)")
 def _(t: Tables):
-    # Sparse visits leave days empty; the first and last day of the whole log are kept as ends.
-    some = t.events.where("value > 4 AND event_type = 'error' AND user_id < 3").select("ts")
-    ends = t.events.agg(F.min("ts").alias("a"), F.max("ts").alias("b"))
-    full = ends.select(F.explode(F.sequence(F.to_date("a"), F.to_date("b"))).alias("day"))
-    return full.join(some.select(F.to_date("ts").alias("day")).distinct(), "day", "left_anti")
+    # Sparse visits leave days empty; the first and last day of the whole log are its ends.
+    whole = t.events.withColumnRenamed("ts", "at")
+    return ops.missing_days(whole.where("value > 4 AND event_type = 'error' AND user_id < 3"), whole)
 
 
 _SCORES = "SELECT '/' || k || '/' || n AS path, CAST((n * 7) % 100 AS DOUBLE) AS score FROM (VALUES ('view'), ('click'), ('other')) k(k), generate_series(0, 39) g(n)"

@@ -4,13 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from pagewright.functions import numbers
+from pagewright.functions import numbers, urls
 
-MAX_LINE = 1_000_000
-LINE = (
-    r'^(\S+) \S+ \S+ \[(\d{2}/[A-Za-z]{3}/\d{4}:\d{2}:\d{2}:\d{2} [+-]\d{4})\] "[A-Z]+ (\S+)(?: [^"]*)?" (\d{3}) (\d+|-) '
-    r'"[^"]*" "([^"]*)"(?: (\d+(?:\.\d+)?))?\s*$'
+#: The combined log format, field by field: name (empty where it isn't kept), expression.
+FORMAT = (
+    ("ip", r"(\S+)"), ("", r"\S+"), ("", r"\S+"), ("at", r"\[([^\]]+)\]"), ("path", r'"[A-Z]+ (\S+)(?: [^"]*)?"'), ("status", r"(\d{3})"),
+    ("bytes", r"(\d+|-)"), ("", r'"[^"]*"'), ("user_agent", r'"([^"]*)"'),
 )
+NAMES = tuple(name for name, _ in FORMAT if name) + ("latency",)
+PATTERN = "^" + " ".join(expression for _, expression in FORMAT) + r"(?: ([0-9.]+))?\s*$"
 # User-agent marks of crawler families, first match wins, and host suffixes of their official names.
 FAMILIES = ("googlebot", "bingbot", "gptbot", "perplexitybot")
 OFFICIAL_SUFFIXES = {
@@ -32,22 +34,24 @@ def bot_family(user_agent: Column) -> Column:
 
 
 def parse_lines(lines: DataFrame, latency_unit: str = "seconds", keep_query: bool = False) -> DataFrame:
-    """Add the fields of a combined-format line; every field is null on a malformed or over-long line."""
-    v = F.col("value")
-    # One pass of the pattern writes all seven fields; a line it does not match stays one field.
-    fields = F.split(F.regexp_replace(v, LINE, "$1\u0001$2\u0001$3\u0001$4\u0001$5\u0001$6\u0001$7"), "\u0001")
-    cut = lines.withColumn("_f", F.when(F.length(v) <= MAX_LINE, fields)).withColumn("_f", F.when(F.size("_f") == 7, F.col("_f")))
-    piece = lambda n: F.get(F.col("_f"), F.lit(n - 1))
-    rows = cut.withColumn("at", F.try_to_timestamp(piece(2), F.lit("dd/MMM/yyyy:HH:mm:ss Z"))).withColumn(
-        "_f", F.when(F.col("at").isNotNull(), F.col("_f"))
-    )
-    raw = piece(7).try_cast("double")
-    latency = {"seconds": raw * 1000, "microseconds": raw / 1000, "none": F.lit(None).cast("double")}[latency_unit]
-    path = piece(3) if keep_query else F.regexp_extract(piece(3), r"^([^?]*)", 1)
-    return rows.select(
-        *lines.columns, "at", piece(1).alias("ip"), path.alias("path"), piece(4).try_cast("int").alias("status"),
-        piece(5).try_cast("long").alias("bytes"), piece(6).alias("user_agent"), latency.alias("latency_ms"), bot_family(piece(6)).alias("family"),
-    )
+    """Add the fields of a combined-format line of any length; every field is null on a malformed line."""
+    mark = "\u0001"
+    # One pass of the pattern writes all fields; a line it does not match stays one field.
+    pieces = F.split(F.regexp_replace("value", PATTERN, mark.join(f"${i + 1}" for i in range(len(NAMES)))), mark)
+
+    def fields(x: Column) -> Column:
+        get = lambda name: F.get(x, F.lit(NAMES.index(name)))
+        raw = get("latency").try_cast("double")
+        latency = {"seconds": raw * 1000, "microseconds": raw / 1000, "none": F.lit(None).cast("double")}[latency_unit]
+        path = get("path") if keep_query else F.regexp_extract(get("path"), r"^([^?]*)", 1)
+        return F.struct(
+            F.try_to_timestamp(get("at"), F.lit("dd/MMM/yyyy:HH:mm:ss Z")).alias("at"), get("ip").alias("ip"), path.alias("path"), get("status").try_cast("int").alias("status"),
+            get("bytes").try_cast("long").alias("bytes"), get("user_agent").alias("user_agent"), latency.alias("latency_ms"), bot_family(get("user_agent")).alias("family"),
+        )
+
+    whole = lambda r: F.when(r["at"].isNotNull(), r)
+    parsed = urls.let(pieces, lambda x: F.when(F.size(x) == len(NAMES), urls.let(fields(x), whole)))
+    return lines.withColumn("_line", parsed).select(*lines.columns, "_line.*")
 
 
 def published_ranges(files: DataFrame) -> DataFrame:
@@ -64,13 +68,12 @@ def published_ranges(files: DataFrame) -> DataFrame:
 
 
 def cidr_bounds(cidrs: DataFrame) -> DataFrame:
-    """Numeric bounds of IPv4 ranges; malformed ranges are dropped."""
-    base, bits = F.split("cidr", "/"), F.col("bits")
-    shaped = cidrs.withColumn("lo", numbers.ipv4_number(F.get(base, F.lit(0)))).withColumn(
-        "bits", F.get(base, F.lit(1)).try_cast("int")
-    )
-    width = F.pow(F.lit(2.0), 32 - bits).cast("long")
-    lo = F.col("lo") - F.try_mod(F.col("lo"), width)
-    return shaped.where(F.col("lo").isNotNull() & bits.between(0, 32)).select(
-        "family", "cidr", lo.alias("lo"), (lo + width - 1).alias("hi")
-    )
+    """(family, cidr, version, bits, prefix, lo, hi) of IPv4 and IPv6 ranges; malformed ranges are dropped.
+
+    ``prefix`` is the text of the leading bits that all addresses of the range share; lo and hi are numbers for IPv4.
+    """
+    base = F.split("cidr", "/")
+    shaped = cidrs.withColumn("_a", numbers.address_bits(F.get(base, F.lit(0)))).withColumn("bits", F.get(base, F.lit(1)).try_cast("int"))
+    rows = shaped.where(F.col("_a").isNotNull() & F.col("bits").between(0, F.length("_a"))).withColumn("prefix", F.expr("substring(_a, 1, bits)"))
+    end = lambda fill: F.when(F.length("_a") == 32, F.conv(F.rpad("prefix", 32, fill), 2, 10).cast("long"))
+    return rows.select("family", "cidr", F.when(F.length("_a") == 32, 4).otherwise(6).alias("version"), "bits", "prefix", end("0").alias("lo"), end("1").alias("hi"))
