@@ -138,7 +138,7 @@ def decode_unreserved(value: Column) -> Column:
     def piece(p: Column) -> Column:
         code = F.upper(F.substring(p, 1, 2))
         char = F.char(F.conv(code, 16, 10).cast("int"))
-        rest = F.substring(p, 3, 1 << 20)
+        rest = F.substring(p, F.lit(3), F.length(p))
         return (
             F.when(~code.rlike("^[0-9A-F]{2}$"), F.concat(F.lit("%"), p))
             .when(char.rlike(r"^[A-Za-z0-9\-._~]$"), F.concat(char, rest))
@@ -146,7 +146,7 @@ def decode_unreserved(value: Column) -> Column:
         )
 
     pieces = F.split(value, "%")
-    decoded = F.transform(F.slice(pieces, 2, 1 << 20), piece)
+    decoded = F.transform(F.slice(pieces, F.lit(2), F.size(pieces)), piece)
     return F.when(value.contains("%"), F.concat(F.get(pieces, F.lit(0)), F.array_join(decoded, ""))).otherwise(value)
 
 
@@ -251,7 +251,7 @@ def path_segments(url: Column) -> Column:
 def section(url: Column) -> Column:
     """First path segment after a language segment."""
     segs = F.filter(F.split(parts(url).path, "/"), lambda s: s != "")
-    rest = F.when(F.get(segs, F.lit(0)).rlike("^(?i)[a-z]{2}(-[a-z]{2})?$"), F.slice(segs, 2, 1 << 20)).otherwise(segs)
+    rest = F.when(F.get(segs, F.lit(0)).rlike("^(?i)[a-z]{2}(-[a-z]{2})?$"), F.slice(segs, F.lit(2), F.size(segs))).otherwise(segs)
     return F.coalesce(F.get(rest, F.lit(0)), F.lit("(root)"))
 
 

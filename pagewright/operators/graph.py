@@ -62,7 +62,10 @@ def similarity_weights(edges: DataFrame, floor: float = 0.05) -> DataFrame:
 
 
 def page_rank(nodes: DataFrame, edges: DataFrame, rules: RankRules = RankRules(), start: DataFrame | None = None) -> DataFrame:
-    """Weighted link rank of every node, per site, summing to 1.
+    """(site_id, node, rank, iterations, residual, converged): weighted link rank of every node, per site, summing to 1.
+
+    A site has converged when no rank changes by more than the tolerance or a hundredth of an even share, whichever is
+    less; the loop ends when all have, or after ``max_iterations`` with the mark false.
 
     ``nodes(site_id, node)``, ``edges(site_id, source, target, weight)``; dangling mass is spread evenly. The edges of
     a source are cut into parts of bounded size, so a page that links everywhere is many tasks; ranks are summed by
@@ -90,15 +93,16 @@ def page_rank(nodes: DataFrame, edges: DataFrame, rules: RankRules = RankRules()
         sums = given.groupBy("site_id").agg(F.sum("rank").alias("s"))
         rank = given.join(sums, "site_id").withColumn("rank", F.when(_c("s") > 0, _c("rank") / _c("s")).otherwise(uniform)).drop("s")
     rank = cut_lineage(rank.select("site_id", "node", "parts", "n", "rank"))
+    limit, done = F.least(F.lit(rules.tolerance), 0.01 / _c("n")), 0
     for done in range(1, rules.max_iterations + 1):
         rank = cut_lineage(_rank_step(rank, flow, rules.damping))
-        if done % rules.rounds_per_check == 0:
-            residual = rank.agg(F.max("change").alias("r")).first()["r"]
-            if residual is None or residual <= rules.tolerance:
-                break
+        if done % rules.rounds_per_check == 0 and rank.where(_c("change") > limit).isEmpty():
+            break
     flow.unpersist()
-    total = rank.groupBy("site_id").agg(F.sum("rank").alias("s"))
-    return rank.join(total, "site_id").select("site_id", "node", (_c("rank") / _c("s")).alias("rank"))
+    total = rank.groupBy("site_id").agg(F.sum("rank").alias("s"), F.max("change").alias("residual"), F.max(_c("change") > limit).alias("moving"))
+    return rank.join(total, "site_id").select(
+        "site_id", "node", (_c("rank") / _c("s")).alias("rank"), F.lit(done).alias("iterations"), "residual", (~_c("moving")).alias("converged")
+    )
 
 
 def _rank_step(rank: DataFrame, flow: DataFrame, damping: float) -> DataFrame:
@@ -114,7 +118,7 @@ def _rank_step(rank: DataFrame, flow: DataFrame, damping: float) -> DataFrame:
 def link_rank_report(nodes: DataFrame, edges: DataFrame, rules: RankRules = RankRules(), start: DataFrame | None = None) -> DataFrame:
     """Rank on a 0-100 scale with degrees and the flags dead end, under-linked and leak."""
     usable = edges.where("source <> target")
-    rank = page_rank(nodes, similarity_weights(usable, rules.similarity_floor), rules, start)
+    rank = page_rank(nodes, similarity_weights(usable, rules.similarity_floor), rules, start).select("site_id", "node", "rank")
     leaking = F.when(_c("similarity") < rules.similarity_floor, _c("weight")).otherwise(0.0)
     out = usable.groupBy("site_id", _c("source").alias("node")).agg(F.count("*").alias("out_degree"), F.sum("weight").alias("total"), F.sum(leaking).alias("leaking"))
     into = usable.groupBy("site_id", _c("target").alias("node")).agg(F.countDistinct("source").alias("in_degree"))
@@ -147,7 +151,8 @@ def components(nodes: DataFrame, pairs: DataFrame, max_rounds: int = 60) -> Data
     """(node, component) with the smallest node id of each connected group.
 
     Large-star and small-star rounds: every node only learns its smallest neighbour, an aggregate that shrinks before
-    the shuffle, so a hub of any size is never gathered in one task. Ends when a round changes nothing.
+    the shuffle, so a hub of any size is never gathered in one task. Ends when a round changes nothing; raises where
+    ``max_rounds`` don't settle it, which no graph that fits a cluster needs.
     """
     edges = pairs.select(F.least("a", "b").alias("v"), F.greatest("a", "b").alias("u")).where("u <> v").distinct()
     edges = cut_lineage(edges)

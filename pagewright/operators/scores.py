@@ -290,19 +290,41 @@ INTENT_WORDS = {
 }
 
 
-def micro_intents(features: DataFrame, min_score: float = 0.5, mixed_ratio: float = 0.8) -> DataFrame:
-    """Leading intent of each page from heading words and structure, with further strong ones."""
-    has = lambda k: F.lower("heading_text").rlike(INTENT_WORDS[k]).cast("double")
-    cap = lambda c, n: F.least(F.lit(1.0), _c(c) / float(n))
-    lists = F.least(F.lit(1.0), (_c("ordered_lists") + _c("unordered_lists")) / 2.0)
-    scores = {
-        "definitional": has("definitional") * (0.8 + F.when(_c("words") >= 300, 0.2).otherwise(0.0)), "how-to": has("how-to") * 0.5 + cap("ordered_lists", 1) * 0.5,
-        "troubleshooting": has("troubleshooting") * (0.7 + cap("ordered_lists", 1) * 0.3), "comparison": has("comparison") * 0.5 + cap("tables", 1) * 0.5,
-        "curated-list": has("curated-list") * 0.6 + lists * 0.2 + cap("product_cards", 3) * 0.2, "tool": cap("calculators", 1) * (0.7 + 0.3 * cap("form_inputs", 1)),
-        "transactional": cap("product_cards", 1) * (0.6 + 0.2 * cap("form_inputs", 1)) + cap("product_cards", 3) * 0.2, "local": cap("local_signals", 2),
-    }
-    ranked = F.sort_array(F.array(*[F.struct(v.alias("score"), F.lit(-i).alias("order"), F.lit(k).alias("intent")) for i, (k, v) in enumerate(scores.items())]), asc=False)
+#: What speaks for an intent: (intent, feature, enough of it, weight, feature without which it doesn't count).
+INTENT_SIGNS = (
+    ("definitional", "definitional_heading", 1, 0.8, None), ("definitional", "long_text", 1, 0.2, "definitional_heading"),
+    ("how-to", "how-to_heading", 1, 0.5, None), ("how-to", "ordered_lists", 1, 0.5, None),
+    ("troubleshooting", "troubleshooting_heading", 1, 0.7, None), ("troubleshooting", "ordered_lists", 1, 0.3, "troubleshooting_heading"),
+    ("comparison", "comparison_heading", 1, 0.5, None), ("comparison", "tables", 1, 0.5, None),
+    ("curated-list", "curated-list_heading", 1, 0.6, None), ("curated-list", "lists", 2, 0.2, None), ("curated-list", "product_cards", 3, 0.2, None),
+    ("tool", "calculators", 1, 0.7, None), ("tool", "form_inputs", 1, 0.3, "calculators"),
+    ("transactional", "product_cards", 1, 0.6, None), ("transactional", "form_inputs", 1, 0.2, "product_cards"), ("transactional", "product_cards", 3, 0.2, None),
+    ("local", "local_signals", 2, 1.0, None),
+)
+
+
+def micro_intents(features: DataFrame, min_score: float = 0.3, mixed_ratio: float = 0.8) -> DataFrame:
+    """Leading intent of each page from heading words and structure, further strong ones, and how sure it is.
+
+    An intent's score is the weighted sum of its signs; a rival close to it takes a fifth of the confidence.
+    """
+    count = {c: _c(c).cast("double") for c in ("ordered_lists", "tables", "product_cards", "calculators", "form_inputs", "local_signals")}
+    count |= {f"{k}_heading": F.lower("heading_text").rlike(v).cast("double") for k, v in INTENT_WORDS.items()}
+    count |= {"lists": (_c("ordered_lists") + _c("unordered_lists")).cast("double"), "long_text": (_c("words") >= 300).cast("double")}
+
+    def sign(feature: str, enough: int, weight: float, needs: str | None) -> Column:
+        value = F.least(F.lit(1.0), count[feature] / enough) * weight
+        return value if needs is None else F.when(count[needs] >= 1, value).otherwise(0.0)
+
+    intents = list(dict.fromkeys(row[0] for row in INTENT_SIGNS))
+    total = {k: sum((sign(*row[1:]) for row in INTENT_SIGNS if row[0] == k), F.lit(0.0)) for k in intents}
+    ranked = F.sort_array(F.array(*[F.struct(v.alias("score"), F.lit(-i).alias("order"), F.lit(k).alias("intent")) for i, (k, v) in enumerate(total.items())]), asc=False)
     rows = features.withColumn("r", ranked).withColumn("top", F.get("r", F.lit(0)))
-    mixed = F.transform(F.filter(F.slice("r", 2, 10), lambda x: (x["score"] >= min_score) & (x["score"] >= _c("top.score") * mixed_ratio)), lambda x: x["intent"])
+    rivals = F.filter(F.slice("r", 2, len(intents)), lambda x: (x["score"] >= min_score) & (x["score"] >= _c("top.score") * mixed_ratio))
     strong = _c("top.score") >= min_score
-    return rows.select(*[c for c in ("page_id", "page") if c in features.columns], F.when(strong, _c("top.intent")).alias("intent"), F.when(strong, F.array_join(mixed, ",")).alias("mixed"), F.round("top.score", 4).alias("score"))
+    rows = rows.withColumn("rivals", F.transform(rivals, lambda x: x["intent"]))
+    sure = numbers.js_round(_c("top.score") * F.when(F.size("rivals") > 0, 0.8).otherwise(1.0), 2)
+    return rows.select(
+        *[c for c in ("page_id", "page") if c in features.columns], F.when(strong, _c("top.intent")).alias("intent"), F.when(strong, F.array_join("rivals", ",")).alias("mixed"),
+        F.round("top.score", 4).alias("score"), F.when(strong, sure).otherwise(0.0).alias("confidence"),
+    )

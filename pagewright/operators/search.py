@@ -243,7 +243,7 @@ def property_match(pages: DataFrame, properties: DataFrame) -> DataFrame:
     """
     def domain_candidates(u: urls.UrlParts) -> Column:
         labels = F.split(u.host, r"\.")
-        return F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.concat(F.lit("sc-domain:"), F.array_join(F.slice(labels, i, F.lit(64)), ".")))
+        return F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.concat(F.lit("sc-domain:"), F.array_join(F.slice(labels, i, F.size(labels)), ".")))
 
     def path_candidates(u: urls.UrlParts) -> Column:
         segs = F.filter(F.split(u.path, "/"), lambda s: s != "")

@@ -47,7 +47,7 @@ def _nodes(edges):
 def _(t: Tables):
     e = _weighted(t)
     rules = ops.RankRules(max_iterations=_ITERATIONS, tolerance=0.0)
-    return ops.page_rank(_nodes(e), e, rules).withColumn("rank", F.round("rank", 9))
+    return ops.page_rank(_nodes(e), e, rules).select("site_id", "node", F.round("rank", 9).alias("rank"))
 
 
 _SIM = """SELECT site_id, source, target, weight, CASE WHEN hash_s % 3 <> 0 THEN hash_t % 20 / 20.0 END AS similarity, CASE WHEN hash_s % 4 = 1 THEN hash_t % 10 / 10.0 END AS context_similarity
