@@ -2,13 +2,26 @@
 
 from __future__ import annotations
 
+import os
+from pathlib import Path
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
 from pagewright.session import cut_lineage
 
 
+def reach_workers(spark: SparkSession) -> None:
+    """Let a local master's Python workers find this package wherever the driver was started; clusters get it with --py-files."""
+    if spark.sparkContext.master.startswith("local"):
+        root = str(Path(__file__).resolve().parents[2])
+        known = spark.sparkContext.environment.get("PYTHONPATH", "")
+        if root not in known.split(os.pathsep):
+            spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(filter(None, [root, known]))
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    reach_workers(spark)
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
