@@ -152,16 +152,15 @@ def search_rows(t: Tables) -> DataFrame:
 TERMS_SQL = """
 SELECT doc_id, lang, source, term, CAST(count(*) AS BIGINT) AS n
 FROM (SELECT doc_id, lang, source, unnest(regexp_extract_all(lower(text), '([\\p{L}\\p{N}]+)', 1)) AS term FROM documents)
-WHERE length(term) >= 4 GROUP BY ALL"""
+GROUP BY ALL"""
 
 
 def doc_terms(t: Tables) -> DataFrame:
-    """(doc, term, count) of words of four letters or more."""
+    """(doc, term, count) of all words."""
     from pagewright.functions import text
 
     return (
         t.documents.select("doc_id", "lang", "source", F.explode(text.words(F.col("text"))).alias("term"))
-        .where(F.length("term") >= 4)
         .groupBy("doc_id", "lang", "source", "term").agg(F.count("*").alias("n"))
     )
 

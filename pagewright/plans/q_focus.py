@@ -60,7 +60,7 @@ def _(t: Tables):
 @query("term_clusters", "L8 J2")
 def _(t: Tables):
     v = _vectors(t)
-    pairs = cut_lineage(ops.cooccurrence(v, ops.top_terms(ops.site_weights(v), 12)))
+    pairs = cut_lineage(ops.cooccurrence(v, ops.top_terms(ops.site_weights(v))))
     name = lambda c: F.concat_ws(":", "site", c)
     links = pairs.where("similarity > 0").select(name("left").alias("left"), name("right").alias("right"), "similarity")
     return similarity.average_linkage(links.select(F.col("left").alias("node")).union(links.select("right")), links, 0.6)
@@ -186,13 +186,15 @@ def _(t: Tables):
 
 
 @query("zone_weighted_ngrams", "H11", """
-WITH p AS (SELECT doc_id AS page, split_part(text, chr(10), 1) AS title, text AS body FROM documents WHERE lang = 'es'),
-w AS (SELECT page, 2.5 AS z, unnest(regexp_extract_all(lower(title), '([\\p{L}\\p{N}]+)', 1)) AS w, generate_subscripts(regexp_extract_all(lower(title), '([\\p{L}\\p{N}]+)', 1), 1) AS i FROM p UNION ALL SELECT page, 1.0, unnest(regexp_extract_all(lower(body), '([\\p{L}\\p{N}]+)', 1)), generate_subscripts(regexp_extract_all(lower(body), '([\\p{L}\\p{N}]+)', 1), 1) FROM p),
-k AS (SELECT page, z, i, CASE WHEN length(regexp_replace(f, '[^\\p{L}]', '', 'g')) >= 2 AND length(regexp_replace(f, '[^\\p{N}]', '', 'g')) < length(regexp_replace(f, '[^\\p{L}]', '', 'g')) AND f NOT IN ('que', 'para') THEN f END AS k FROM (SELECT *, replace(strip_accents(w), 'ß', 'ss') AS f FROM w)),
+WITH p AS (SELECT doc_id AS page, lang, split_part(text, chr(10), 1) AS title, text AS body FROM documents),
+w AS (SELECT page, lang, 2.5 AS z, unnest(regexp_extract_all(lower(title), '([\\p{L}\\p{N}]+)', 1)) AS w, generate_subscripts(regexp_extract_all(lower(title), '([\\p{L}\\p{N}]+)', 1), 1) AS i FROM p UNION ALL SELECT page, lang, 1.0, unnest(regexp_extract_all(lower(body), '([\\p{L}\\p{N}]+)', 1)), generate_subscripts(regexp_extract_all(lower(body), '([\\p{L}\\p{N}]+)', 1), 1) FROM p),
+f AS (SELECT *, replace(strip_accents(w), 'ß', 'ss') AS plain, replace(strip_accents(CASE WHEN lang = 'de' THEN replace(replace(replace(w, 'ä', 'ae'), 'ö', 'oe'), 'ü', 'ue') ELSE w END), 'ß', 'ss') AS f FROM w),
+k AS (SELECT page, z, i, CASE WHEN length(regexp_replace(plain, '[^\\p{L}]', '', 'g')) >= 2 AND length(regexp_replace(plain, '[^\\p{N}]', '', 'g')) < length(regexp_replace(plain, '[^\\p{L}]', '', 'g')) AND plain NOT IN ('que', 'para') THEN
+  CASE WHEN lang = 'en' AND length(f) > 4 AND f LIKE '%ies' THEN left(f, length(f) - 3) || 'y' WHEN lang = 'en' AND length(f) >= 5 AND regexp_matches(f, '[^aeiousy]s$') THEN left(f, length(f) - 1) ELSE f END END AS k FROM f),
 g AS (SELECT page, z, k FROM k WHERE k IS NOT NULL UNION ALL SELECT a.page, a.z, a.k || ' ' || b.k FROM k a JOIN k b ON b.page = a.page AND b.z = a.z AND b.i = a.i + 1 WHERE a.k IS NOT NULL AND b.k IS NOT NULL)
 SELECT page, k AS key, sum(z)::DOUBLE AS tf, count(*)::BIGINT AS count FROM g GROUP BY 1, 2""")
 def _(t: Tables):
-    pages = t.documents.where("lang = 'es'").select(F.col("doc_id").alias("page"), "lang", F.split_part("text", F.lit("\n"), F.lit(1)).alias("title"), F.col("text").alias("body"))
+    pages = t.documents.select(F.col("doc_id").alias("page"), "lang", F.split_part("text", F.lit("\n"), F.lit(1)).alias("title"), F.col("text").alias("body"))
     return ops.zone_ngrams(pages, {"title": "title", "body": "body"}, stopwords=("que", "para"))
 
 
@@ -372,19 +374,19 @@ def _(t: Tables):
 
 
 @query("reference_taxonomy", "D40", """
-WITH h AS (SELECT DISTINCT l_suppkey % 30 AS topic, l_orderkey % 8 AS source, l_partkey % 500 AS key FROM lineitem WHERE l_quantity > 47), n AS (SELECT topic, count(DISTINCT source) AS a FROM h GROUP BY 1)
+WITH h AS (SELECT DISTINCT l_suppkey % 30 AS topic, l_orderkey % 8 AS source, l_partkey % 500 AS key FROM lineitem), n AS (SELECT topic, count(DISTINCT source) AS a FROM h GROUP BY 1)
 SELECT topic, key, count(*)::BIGINT AS sources, round(count(*) / max(a), 6) AS importance, row_number() OVER (PARTITION BY topic ORDER BY count(*) DESC, key)::INTEGER AS rank FROM h JOIN n USING (topic) GROUP BY 1, 2 HAVING count(*) >= 2 QUALIFY rank <= 60""")
 def _(t: Tables):
-    h = t.lineitem.where("l_quantity > 47").select((F.col("l_suppkey") % 30).alias("topic"), (F.col("l_orderkey") % 8).alias("source"), (F.col("l_partkey") % 500).alias("key"))
+    h = t.lineitem.select((F.col("l_suppkey") % 30).alias("topic"), (F.col("l_orderkey") % 8).alias("source"), (F.col("l_partkey") % 500).alias("key"))
     return scores.taxonomy(h).withColumn("importance", F.round("importance", 6))
 
 
 @query("entity_language_gaps", "D44", """
-WITH l AS (SELECT l_partkey AS topic, CASE l_linenumber % 3 WHEN 0 THEN 'en' WHEN 1 THEN 'de' ELSE 'fr' END AS lg, 'E' || (l_suppkey % 90) AS e, l_linenumber % 2 AS p FROM lineitem WHERE l_quantity > 46), b AS (SELECT topic, lg, arg_min(e, (p, e)) AS e FROM l GROUP BY 1, 2), h AS (SELECT e, list_distinct(list(lg)) AS h FROM b GROUP BY 1)
+WITH l AS (SELECT l_partkey AS topic, CASE l_linenumber % 3 WHEN 0 THEN 'en' WHEN 1 THEN 'de' ELSE 'fr' END AS lg, 'E' || (l_suppkey % 90) AS e, l_linenumber % 2 AS p FROM lineitem), b AS (SELECT topic, lg, arg_min(e, (p, e)) AS e FROM l GROUP BY 1, 2), h AS (SELECT e, list_distinct(list(lg)) AS h FROM b GROUP BY 1)
 SELECT e AS entity, array_to_string(list_sort(list_filter(['en', 'de', 'fr', 'it'], lambda x: NOT list_contains(h, x))), ',') AS missing FROM h""")
 def _(t: Tables):
     ln = F.col("l_linenumber")
-    links = t.lineitem.where("l_quantity > 46").select(F.col("l_partkey").alias("topic"), F.when(ln % 3 == 0, "en").when(ln % 3 == 1, "de").otherwise("fr").alias("language"), F.concat(F.lit("E"), F.col("l_suppkey") % 90).alias("entity"), (ln % 2).alias("priority"))
+    links = t.lineitem.select(F.col("l_partkey").alias("topic"), F.when(ln % 3 == 0, "en").when(ln % 3 == 1, "de").otherwise("fr").alias("language"), F.concat(F.lit("E"), F.col("l_suppkey") % 90).alias("entity"), (ln % 2).alias("priority"))
     return scores.entity_language_gaps(links, ["en", "de", "fr", "it"])
 
 

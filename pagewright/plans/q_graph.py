@@ -142,7 +142,7 @@ def _(t: Tables):
 
 # Documents of a site: suppliers are hubs, parts content; order lines link them, part types are topics.
 _DOCS = "SELECT 'h' || s_suppkey AS doc, 'hub' AS role, s_suppkey % 4 AS section, s_suppkey % 3 AS depth FROM supplier UNION ALL SELECT 'c' || p_partkey, 'content', p_partkey % 5, 2 FROM part"
-_DLINKS = "SELECT DISTINCT CASE WHEN l_linenumber % 2 = 0 THEN 'h' || l_suppkey ELSE 'c' || l_partkey END AS source, CASE WHEN l_linenumber % 2 = 0 THEN 'c' || l_partkey ELSE 'h' || (l_suppkey % 9) END AS target FROM lineitem WHERE l_returnflag = 'R'"
+_DLINKS = "SELECT DISTINCT CASE WHEN l_linenumber % 2 = 0 THEN 'h' || l_suppkey ELSE 'c' || l_partkey END AS source, CASE WHEN l_linenumber % 2 = 0 THEN 'c' || l_partkey ELSE 'h' || (l_suppkey % 9) END AS target FROM lineitem"
 _AREAS = """SELECT d.doc, d.section, arg_min(h.doc, (m.members, -h.depth, h.doc)) AS hub FROM docs d LEFT JOIN dl ON dl.target = d.doc LEFT JOIN docs h ON h.doc = dl.source AND h.role = 'hub' AND h.section = d.section
 LEFT JOIN m ON m.doc = h.doc WHERE d.role = 'content' GROUP BY 1, 2"""
 _MEM = "SELECT h.doc, count(*) AS members FROM docs h JOIN dl ON dl.source = h.doc JOIN docs c ON c.doc = dl.target AND c.role = 'content' AND c.section = h.section WHERE h.role = 'hub' GROUP BY 1"
@@ -153,7 +153,7 @@ def _site(t: Tables):
     hub = t.supplier.select(F.concat(F.lit("h"), "s_suppkey").alias("doc"), F.lit("hub").alias("role"), (F.col("s_suppkey") % 4).alias("section"), (F.col("s_suppkey") % 3).alias("depth"))
     content = t.part.select(F.concat(F.lit("c"), "p_partkey").alias("doc"), F.lit("content").alias("role"), (F.col("p_partkey") % 5).alias("section"), F.lit(2).cast("long").alias("depth"))
     even = F.col("l_linenumber") % 2 == 0
-    links = t.lineitem.where("l_returnflag = 'R'").select(
+    links = t.lineitem.select(
         F.when(even, F.concat(F.lit("h"), "l_suppkey")).otherwise(F.concat(F.lit("c"), "l_partkey")).alias("source"),
         F.when(even, F.concat(F.lit("c"), "l_partkey")).otherwise(F.concat(F.lit("h"), F.col("l_suppkey") % 9)).alias("target"),
     ).distinct()
@@ -198,7 +198,7 @@ def _(t: Tables):
 
 
 @query("silo_connectivity", "K13", """
-WITH e AS (SELECT DISTINCT l_suppkey AS s, l_partkey % 100 AS t FROM lineitem WHERE l_quantity > 40 AND l_suppkey <> l_partkey % 100),
+WITH e AS (SELECT DISTINCT l_suppkey AS s, l_partkey % 100 AS t FROM lineitem WHERE l_suppkey <> l_partkey % 100),
 ib AS (SELECT t AS page, count(*) AS n FROM e GROUP BY 1), mem AS (SELECT s_suppkey % 12 AS g, s_suppkey AS page, s_acctbal AS rel, coalesce(n, 0) AS n FROM supplier LEFT JOIN ib ON ib.page = s_suppkey),
 pl AS (SELECT g, arg_min(page, (-n, -rel, page)) AS pillar, count(*) - 1 AS sat FROM mem GROUP BY 1),
 x AS (SELECT m.g, m.page, pillar, sat, EXISTS (SELECT 1 FROM e WHERE s = m.page AND t = pillar)::INT AS tp, EXISTS (SELECT 1 FROM e WHERE s = pillar AND t = m.page)::INT AS fp,
@@ -206,7 +206,7 @@ x AS (SELECT m.g, m.page, pillar, sat, EXISTS (SELECT 1 FROM e WHERE s = m.page
 SELECT g AS "group", pillar, round(avg(CASE WHEN sat > 1 THEN 0.5 * tp + 0.3 * fp + 0.2 * least(1, peers / least(2, sat - 1)) ELSE (0.5 * tp + 0.3 * fp) / 0.8 END), 6) AS connectivity, count(*)::BIGINT AS satellites FROM x GROUP BY 1, 2""")
 def _(t: Tables):
     members = t.supplier.select((F.col("s_suppkey") % 12).alias("group"), F.col("s_suppkey").alias("page"), F.col("s_acctbal").alias("relevance"))
-    links = t.lineitem.where("l_quantity > 40").select(F.col("l_suppkey").alias("source"), (F.col("l_partkey") % 100).alias("target"))
+    links = t.lineitem.select(F.col("l_suppkey").alias("source"), (F.col("l_partkey") % 100).alias("target"))
     return ops.silo_audit(members, links).withColumn("connectivity", F.round("connectivity", 6))
 
 

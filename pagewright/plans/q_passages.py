@@ -84,9 +84,9 @@ def _(t: Tables):
 
 
 @query("phrase_evidence", "H17", """
-SELECT doc_id, len(regexp_extract_all(lower(text), '(?:^|[^\\p{L}\\p{N}])of\\s+the(?:$|[^\\p{L}\\p{N}])'))::INTEGER AS in_body FROM documents WHERE lang = 'en'""")
+SELECT doc_id, len(regexp_extract_all(lower(text), '(?:^|[^\\p{L}\\p{N}])of\\s+the(?:$|[^\\p{L}\\p{N}])'))::INTEGER AS in_body FROM documents""")
 def _(t: Tables):
-    return ops.phrase_evidence(t.documents.where("lang = 'en'"), "of the", {"body": "text"}).select("doc_id", "in_body")
+    return ops.phrase_evidence(t.documents, "of the", {"body": "text"}).select("doc_id", "in_body")
 
 
 @query("evidence_densities", "H25", """
@@ -104,13 +104,13 @@ def _(t: Tables):
 
 
 @query("query_topic_evidence", "C35", """
-WITH q AS (SELECT p_partkey AS query, p_size AS topic, unnest(string_split(p_name, ' ')) AS term FROM part), n AS (SELECT query, count(DISTINCT term) AS n FROM q GROUP BY 1), pt AS (SELECT DISTINCT p_partkey % 60 AS page, unnest(string_split(p_name, ' ')) AS term FROM part WHERE p_partkey % 7 = 0),
+WITH q AS (SELECT p_partkey AS query, p_size AS topic, unnest(string_split(p_name, ' ')) AS term FROM part), n AS (SELECT query, count(DISTINCT term) AS n FROM q GROUP BY 1), pt AS (SELECT DISTINCT p_partkey % 60 AS page, unnest(string_split(p_name, ' ')) AS term FROM part),
 f AS (SELECT q.query, count(DISTINCT q.term) AS f FROM q JOIN pt ON pt.term = q.term AND pt.page = q.topic % 60 GROUP BY 1)
 SELECT query, n::BIGINT AS terms, coalesce(f, 0)::BIGINT AS found, CASE WHEN f = n THEN 'observed' WHEN f > 0 THEN 'partial' ELSE 'never-observed' END AS state FROM n LEFT JOIN f USING (query)""")
 def _(t: Tables):
     q = t.part.select(F.col("p_partkey").alias("query"), F.col("p_size").alias("topic"), F.col("p_name").alias("text"))
     pages = t.part.select(F.col("p_size").alias("topic"), (F.col("p_size") % 60).alias("page")).distinct()
-    terms = t.part.where("p_partkey % 7 = 0").select((F.col("p_partkey") % 60).alias("page"), F.explode(text.words(F.col("p_name"))).alias("term"))
+    terms = t.part.select((F.col("p_partkey") % 60).alias("page"), F.explode(text.words(F.col("p_name"))).alias("term"))
     return ops.query_evidence(q, pages, terms)
 
 
@@ -209,5 +209,5 @@ def _(t: Tables):
     d = t.documents.select("lang", "doc_id", "text")
     pages = d.select(F.col("doc_id").alias("page"), F.sha2(F.lower("text"), 256).alias("content_hash"))
     near = similarity.near_duplicates(d, ["lang"]).select("left", "right")
-    terms = doc_terms(t).where("length(term) >= 14").select(F.col("lang").alias("topic"), F.col("doc_id").alias("page"), "term")
+    terms = doc_terms(t).select(F.col("lang").alias("topic"), F.col("doc_id").alias("page"), "term")
     return ops.candidate_pages(pages, near, terms, 6)

@@ -23,10 +23,11 @@ def _(t: Tables):
     return src.url_list(t.supplier.select(F.when(k % 7 == 3, "mailto:x").otherwise(F.concat(F.lit(" HTTPS://U.example/"), k % 40, F.when(k % 2 == 0, "/").otherwise(""))).alias("u")), "u")
 
 
-@query("caption_cues", "A15", "SELECT conv_id AS file, turn::INTEGER AS pos, (turn * 2000)::BIGINT AS start_ms, (turn * 2000 + 1500)::BIGINT AS end_ms, 'cue ' || turn AS text FROM conversations WHERE turn < 30")
+@query("caption_cues", "A15", "SELECT conv_id AS file, turn::INTEGER AS pos, (turn * 2000)::BIGINT AS start_ms, (turn * 2000 + 1500)::BIGINT AS end_ms, 'cue ' || turn AS text FROM conversations")
 def _(t: Tables):
-    c = t.conversations.where("turn < 30")
-    sec = lambda ms: F.format_string("00:00:%02d.%03d", F.floor(ms / 1000).cast("int"), (ms % 1000).cast("int"))
+    c = t.conversations
+    part = lambda ms, size, most: (F.floor(ms / size) % most).cast("int")
+    sec = lambda ms: F.format_string("%02d:%02d:%02d.%03d", F.floor(ms / 3_600_000).cast("int"), part(ms, 60_000, 60), part(ms, 1000, 60), (ms % 1000).cast("int"))
     cue = F.concat(sec(F.col("turn") * 2000), F.lit(" --> "), sec(F.col("turn") * 2000 + 1500), F.lit("\ncue "), F.col("turn"))
     files = c.groupBy(F.col("conv_id").alias("file")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", cue.alias("c")))), lambda x: x["c"]), "\n\n").alias("text"))
     return src.captions(files)
