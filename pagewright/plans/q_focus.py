@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from pagewright.functions import text
 from pagewright.operators import extract, focus as ops, scores, similarity
 from pagewright.plans.inputs import TERMS_SQL, cte, doc_terms
 from pagewright.plans.registry import Tables, query
@@ -150,15 +151,18 @@ def _(t: Tables):
     return ops.hub_link_suggestions(_scored(t), _doc_links(t))
 
 
-@query("recommendation_deltas", "N6", cte(s=_SP, g=f"SELECT site, sum({_WT}) AS w, sum({_WT} * score) AS ws, sum(CASE WHEN score < 40 AND page_type <> 'technical' THEN {_WT} ELSE 0 END) AS wo, sum(CASE WHEN score < 40 AND page_type <> 'technical' THEN {_WT} * score ELSE 0 END) AS wso, sum(CASE WHEN score >= 40 AND score < 75 THEN {_WT} * (75 - score) ELSE 0 END) AS lift, count(*) FILTER (WHERE score < 40 AND page_type <> 'technical') AS o, count(*) FILTER (WHERE score >= 40 AND score < 75) AS b FROM s GROUP BY 1") +
+_DELTAS = (cte(s=_SP, g=f"SELECT site, sum({_WT}) AS w, sum({_WT} * score) AS ws, sum(CASE WHEN score < 40 AND page_type <> 'technical' THEN {_WT} ELSE 0 END) AS wo, sum(CASE WHEN score < 40 AND page_type <> 'technical' THEN {_WT} * score ELSE 0 END) AS wso, sum(CASE WHEN score >= 40 AND score < 75 THEN {_WT} * (75 - score) ELSE 0 END) AS lift, count(*) FILTER (WHERE score < 40 AND page_type <> 'technical') AS o, count(*) FILTER (WHERE score >= 40 AND score < 75) AS b FROM s GROUP BY 1") +
 "SELECT site, 'remove-off-topic' AS action, o::BIGINT AS pages, round((ws - wso) / (w - wo) - ws / w, 6) AS delta FROM g WHERE o > 0 UNION ALL SELECT site, 'improve-borderline', b::BIGINT, round(lift / w, 6) FROM g WHERE b > 0")
+
+
+@query("recommendation_deltas", "N6", _DELTAS)
 def _(t: Tables):
     return ops.recommendation_deltas(_scored(t)).withColumn("delta", F.round("delta", 6))
 
 
-@query("weekly_tasks", "F11")
+@query("weekly_tasks", "F11", f"SELECT *, 1 AS rank FROM (SELECT * FROM ({_DELTAS}) QUALIFY row_number() OVER (PARTITION BY site ORDER BY delta DESC, action) = 1)")
 def _(t: Tables):
-    return ops.weekly_tasks(ops.recommendation_deltas(_scored(t)), 1)
+    return ops.weekly_tasks(ops.recommendation_deltas(_scored(t)).withColumn("delta", F.round("delta", 6)), 1)
 
 
 @query("term_gaps", "G7", cte(**_T, o="SELECT site, page, term FROM t WHERE page % 2 = 0", c="SELECT site, page, term FROM t WHERE page % 2 = 1", m="SELECT site, term, count(*) AS df FROM o GROUP BY 1, 2", n="SELECT site, count(DISTINCT page) AS n FROM o GROUP BY 1", k="SELECT DISTINCT site, term FROM c") +
@@ -185,20 +189,31 @@ def _(t: Tables):
     return ops.brand_terms(doc_terms(t).select("term").distinct(), ["with", "from", "that"], ["nicht"], ["that"])
 
 
-@query("zone_weighted_ngrams", "H11", """
+_ZONE_KEYS = """
 WITH p AS (SELECT doc_id AS page, lang, split_part(text, chr(10), 1) AS title, text AS body FROM documents),
 w AS (SELECT page, lang, 2.5 AS z, unnest(regexp_extract_all(lower(title), '([\\p{L}\\p{N}]+)', 1)) AS w, generate_subscripts(regexp_extract_all(lower(title), '([\\p{L}\\p{N}]+)', 1), 1) AS i FROM p UNION ALL SELECT page, lang, 1.0, unnest(regexp_extract_all(lower(body), '([\\p{L}\\p{N}]+)', 1)), generate_subscripts(regexp_extract_all(lower(body), '([\\p{L}\\p{N}]+)', 1), 1) FROM p),
 f AS (SELECT *, replace(strip_accents(w), 'ß', 'ss') AS plain, replace(strip_accents(CASE WHEN lang = 'de' THEN replace(replace(replace(w, 'ä', 'ae'), 'ö', 'oe'), 'ü', 'ue') ELSE w END), 'ß', 'ss') AS f FROM w),
-k AS (SELECT page, z, i, CASE WHEN length(regexp_replace(plain, '[^\\p{L}]', '', 'g')) >= 2 AND length(regexp_replace(plain, '[^\\p{N}]', '', 'g')) < length(regexp_replace(plain, '[^\\p{L}]', '', 'g')) AND plain NOT IN ('que', 'para') THEN
+k AS (SELECT page, z, i, CASE WHEN length(regexp_replace(plain, '[^\\p{L}]', '', 'g')) >= 2 AND length(regexp_replace(plain, '[^\\p{N}]', '', 'g')) < length(regexp_replace(plain, '[^\\p{L}]', '', 'g')) AND plain NOT IN @STOP THEN
   CASE WHEN lang = 'en' AND length(f) > 4 AND f LIKE '%ies' THEN left(f, length(f) - 3) || 'y' WHEN lang = 'en' AND length(f) >= 5 AND regexp_matches(f, '[^aeiousy]s$') THEN left(f, length(f) - 1) ELSE f END END AS k FROM f),
-g AS (SELECT page, z, k FROM k WHERE k IS NOT NULL UNION ALL SELECT a.page, a.z, a.k || ' ' || b.k FROM k a JOIN k b ON b.page = a.page AND b.z = a.z AND b.i = a.i + 1 WHERE a.k IS NOT NULL AND b.k IS NOT NULL)
+g1 AS (SELECT page, z, k FROM k WHERE k IS NOT NULL),
+g2 AS (SELECT a.page, a.z, a.i, a.k || ' ' || b.k AS k FROM k a JOIN k b ON b.page = a.page AND b.z = a.z AND b.i = a.i + 1 WHERE a.k IS NOT NULL AND b.k IS NOT NULL),
+"""
+_STOP = lambda words: "(" + ", ".join(f"'{w}'" for w in words) + ")"
+
+
+@query("zone_weighted_ngrams", "H11", _ZONE_KEYS.replace("@STOP", _STOP(("que", "para"))) + """
+g AS (SELECT page, z, k FROM g1 UNION ALL SELECT page, z, k FROM g2)
 SELECT page, k AS key, sum(z)::DOUBLE AS tf, count(*)::BIGINT AS count FROM g GROUP BY 1, 2""")
 def _(t: Tables):
     pages = t.documents.select(F.col("doc_id").alias("page"), "lang", F.split_part("text", F.lit("\n"), F.lit(1)).alias("title"), F.col("text").alias("body"))
     return ops.zone_ngrams(pages, {"title": "title", "body": "body"}, stopwords=("que", "para"))
 
 
-@query("focus_terms", "F3")
+@query("focus_terms", "F3", _ZONE_KEYS.replace("@STOP", _STOP(text.STOPWORDS)) + """
+g3 AS (SELECT a.page, a.z, a.k || ' ' || b.k AS k FROM g2 a JOIN k b ON b.page = a.page AND b.z = a.z AND b.i = a.i + 2 WHERE b.k IS NOT NULL),
+g AS (SELECT page, z, k FROM g1 UNION ALL SELECT page, z, k FROM g2 UNION ALL SELECT page, z, k FROM g3),
+n AS (SELECT page, k AS key, sum(z)::DOUBLE AS tf, count(*)::BIGINT AS count FROM g GROUP BY 1, 2)
+SELECT page, key, tf, count, row_number() OVER (PARTITION BY page ORDER BY tf DESC, key)::INTEGER AS rank FROM n WHERE NOT (contains(key, ' ') AND count = 1 AND tf <= 1) QUALIFY rank <= 20""")
 def _(t: Tables):
     pages = t.documents.select(F.col("doc_id").alias("page"), "lang", F.split_part("text", F.lit("\n"), F.lit(1)).alias("title"), F.col("text").alias("body"))
     return ops.focus_terms(ops.zone_ngrams(pages, {"title": "title", "body": "body"}, longest=3, drop_once=True), 20)

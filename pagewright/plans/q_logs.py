@@ -49,9 +49,19 @@ def _(t: Tables):
     return rows.groupBy("kind").agg(F.count("*").alias("lines"), F.count_if(F.col("at").isNull()).alias("malformed"))
 
 
-@query("published_range_bounds", "A4", "SELECT * FROM (VALUES ('googlebot', '66.249.0.0/19', 1123614720::BIGINT, 1123622911::BIGINT), ('bingbot', '66.249.60.0/22', 1123630080::BIGINT, 1123631103::BIGINT), ('googlebot', '2001:db8::/32', NULL, NULL)) r(family, cidr, lo, hi)")
-def _(t: Tables):
-    return _bounds(t).select("family", "cidr", "lo", "hi")
+@query("published_range_bounds", "A4", """
+WITH s AS (SELECT DISTINCT CASE s_suppkey % 2 WHEN 0 THEN 'googlebot' ELSE 'bingbot' END AS family, s_suppkey % 200 AS k, s_nationkey AS n, 20 + s_suppkey % 9 AS bits FROM supplier),
+b AS (SELECT family, '10.' || k || '.' || n || '.77/' || bits AS cidr, 10 * 16777216 + k * 65536 + n * 256 + 77 AS a, 1 << (32 - bits) AS width FROM s)
+SELECT family, cidr, (a - a % width)::BIGINT AS lo, (a - a % width + width - 1)::BIGINT AS hi FROM b UNION ALL SELECT DISTINCT family, '2001:db8:' || k || '::/48', NULL, NULL FROM s""")
+def _(t: Tables):
+    # A published document for each supplier, with an IPv4 and an IPv6 range and one that is malformed.
+    k = F.col("s_suppkey")
+    text = F.concat(
+        F.lit('{"creationTime":"x","prefixes":[{"ipv4Prefix":"10.'), k % 200, F.lit("."), "s_nationkey", F.lit(".77/"), 20 + k % 9, F.lit('"},{"ipv6Prefix":"2001:db8:'), k % 200,
+        F.lit('::/48"},{"ipv4Prefix":"10.1.2/8"}]}'),
+    )
+    ranges = src.published_ranges(t.supplier.select(F.when(k % 2 == 0, "googlebot").otherwise("bingbot").alias("family"), text.alias("text")))
+    return ranges.select("family", "cidr", "lo", "hi")
 
 
 @query("crawler_ipv6_verdicts", "A4 C9 D3 J4", """

@@ -98,7 +98,9 @@ def _(t: Tables):
     return t.customer.select("c_custkey", F.round(ops.evidence_density(body, 500 + c % 4000), 6).alias("evidence"), F.round(ops.first_hand(body), 6).alias("first_hand"))
 
 
-@query("entity_candidates", "H31")
+@query("entity_candidates", "H31", r"""
+WITH e AS (SELECT DISTINCT doc_id, lower(unnest(regexp_extract_all(text, '[\p{Ll}\p{N},] (\p{Lu}[\p{L}\p{N}''’-]+(?: \p{Lu}[\p{L}\p{N}''’-]+)*)', 1))) AS entity FROM documents)
+SELECT entity, count(*)::BIGINT AS texts FROM e GROUP BY 1 HAVING count(*) >= 2""")
 def _(t: Tables):
     return ops.entity_candidates(t.documents)
 
@@ -144,17 +146,26 @@ def _(t: Tables):
     return ops.passage_zones(own, similarity.vector_top_k(own, other, 1), scores.centroids(other, ["query"]))
 
 
-@query("subtopic_coverage", "L16")
+@query("subtopic_coverage", "L16", cte(x=TERMS_SQL, r="SELECT source AS subtopic, term, sum(n)::DOUBLE AS rw FROM x GROUP BY 1, 2", np="SELECT doc_id AS page, sqrt(sum(n * n)) AS np FROM x GROUP BY 1", nr="SELECT subtopic, sqrt(sum(rw * rw)) AS nr FROM r GROUP BY 1",
+    d="SELECT subtopic, doc_id AS page, sum(n * rw) AS dot FROM x JOIN r USING (term) GROUP BY 1, 2", c="SELECT subtopic, page, dot / (np * nr) AS cos FROM d JOIN np USING (page) JOIN nr USING (subtopic)",
+    b="SELECT subtopic, arg_min(page, (-round(cos, 9), page)) AS page, max(round(cos, 9)) AS cos FROM c GROUP BY 1") + """
+SELECT subtopic, CASE WHEN cos >= 0.60 THEN page END AS page, round(cos, 6) AS similarity, CASE WHEN cos >= 0.78 THEN 1.0::DOUBLE WHEN cos >= 0.60 THEN 0.5::DOUBLE ELSE 0.0::DOUBLE END AS coverage FROM b""")
 def _(t: Tables):
     x = doc_terms(t)
     pages = x.select(F.col("doc_id").alias("page"), "term", F.col("n").cast("double").alias("weight"))
     refs = x.groupBy(F.col("source").alias("subtopic"), "term").agg(F.sum("n").cast("double").alias("weight"))
-    return ops.subtopic_coverage(pages, refs)
+    return ops.subtopic_coverage(pages, refs).withColumn("similarity", F.round("similarity", 6))
 
 
-@query("content_term_density", "D39")
+_STOP = "(" + ", ".join(f"'{w}'" for w in text.STOPWORDS) + ")"
+
+
+@query("content_term_density", "D39", r"""
+WITH w AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '([\p{L}\p{N}]+)', 1)) AS term FROM documents), f AS (SELECT *, replace(strip_accents(term), 'ß', 'ss') AS f FROM w),
+k AS (SELECT doc_id, term, count(*) AS n FROM f WHERE f NOT IN """ + _STOP + r""" AND length(regexp_replace(f, '[^\p{L}]', '', 'g')) >= 2 AND length(regexp_replace(f, '[^\p{N}]', '', 'g')) < length(regexp_replace(f, '[^\p{L}]', '', 'g')) GROUP BY 1, 2)
+SELECT doc_id, term, n::BIGINT AS n, round(n * 100.0 / sum(n) OVER (PARTITION BY doc_id), 6)::DOUBLE AS density FROM k""")
 def _(t: Tables):
-    return ops.reference_terms(t.documents)
+    return ops.reference_terms(t.documents).withColumn("density", F.round("density", 6))
 
 
 @query("information_gain_scores", "L19", """
