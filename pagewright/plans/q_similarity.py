@@ -42,9 +42,21 @@ def _(t: Tables):
     return ops.exact_groups(t.documents, ["lang"])
 
 
-@query("duplicate_groups", "L3", cte(**_NEAR).replace("WITH ", "WITH RECURSIVE ", 1).rstrip() + """,
-x AS (SELECT "left" AS a, "right" AS b FROM p UNION SELECT "right", "left" FROM p), r(node, seen) AS (SELECT a, a FROM x UNION SELECT r.node, x.b FROM r JOIN x ON x.a = r.seen), c AS (SELECT node, min(seen) AS component FROM r GROUP BY 1)
-SELECT component, count(DISTINCT node)::BIGINT AS members, max(distance)::INTEGER AS widest FROM c JOIN p ON p."left" = c.node OR p."right" = c.node GROUP BY 1""")
+_MEMBERS = cte(**_NEAR).replace("WITH ", "WITH RECURSIVE ", 1).rstrip() + """,
+x AS (SELECT "left" AS a, "right" AS b FROM p UNION SELECT "right", "left" FROM p), r(node, seen) AS (SELECT a, a FROM x UNION SELECT r.node, x.b FROM r JOIN x ON x.a = r.seen), c AS (SELECT node, min(seen) AS component FROM r GROUP BY 1),
+e AS (SELECT doc_id, min(doc_id) OVER w AS node, count(*) OVER w AS copies FROM documents WINDOW w AS (PARTITION BY lang, sha256(lower(text)))),
+m AS (SELECT doc_id, coalesce(component, node) AS component FROM e LEFT JOIN c USING (node) WHERE copies > 1 OR component IS NOT NULL)
+"""
+
+
+@query("duplicate_members", "L3 L17", _MEMBERS + "SELECT doc_id, component FROM m")
+def _(t: Tables):
+    docs = t.documents.select("lang", "doc_id", "text")
+    return ops.duplicate_members(docs, ops.near_duplicates(docs, ["lang"]), ["lang"])
+
+
+@query("duplicate_groups", "L3", _MEMBERS + """
+SELECT component, count(DISTINCT m.doc_id)::BIGINT AS members, coalesce(max(distance), 0)::INTEGER AS widest FROM m LEFT JOIN p ON p."left" = m.doc_id GROUP BY 1""")
 def _(t: Tables):
     return ops.duplicate_groups(t.documents.select("lang", "doc_id", "text"), ["lang"])
 
