@@ -345,6 +345,33 @@ def entity_nodes(triples: DataFrame) -> DataFrame:
     )
 
 
+#: What a structured-data type should state: types, any of these properties, finding, severity.
+PROFILE_RULES = (
+    ("product", "name", "product-name-missing", "warning"), ("product", "offers review aggregaterating", "product-offer-review-missing", "warning"),
+    ("breadcrumblist", "itemlistelement", "breadcrumb-items-missing", "warning"), ("article newsarticle blogposting", "headline", "article-headline-recommended", "info"),
+    ("organization website webpage localbusiness", "name", "schema-name-missing", "warning"), ("faqpage", "mainentity", "faq-main-entity-missing", "warning"),
+    ("question", "name", "question-name-missing", "warning"), ("event", "name", "event-name-missing", "warning"), ("recipe", "name", "recipe-name-missing", "warning"),
+    ("videoobject", "name", "video-name-missing", "warning"), ("review", "reviewbody", "review-body-missing", "info"), ("person author", "name", "person-name-missing", "warning"),
+    ("imageobject", "contenturl url", "image-url-missing", "warning"),
+)
+
+
+def profile_findings(triples: DataFrame) -> DataFrame:
+    """(keys, page, decl, path, code, severity): properties that a node's type asks for and the node lacks or leaves empty.
+
+    Types may be full addresses; a node with several types of one rule has its finding once. The rules meet the nodes by
+    type, so a node is copied once for each of its types.
+    """
+    keys = [*keys_of(triples, ("site_id", "run_id", "page_id")), "page", "decl", "path"]
+    kind = F.lower(F.regexp_extract("value", r"([^/#:]+)$", 1))
+    types = triples.where("property = '@type'").select(*keys, kind.alias("type")).distinct()
+    stated = triples.where("value IS NULL OR trim(value) <> ''").groupBy(*keys).agg(F.collect_set(F.lower("property")).alias("stated"))
+    rows = [(t, wanted.split(), code, severity) for names, wanted, code, severity in PROFILE_RULES for t in names.split()]
+    rules = triples.sparkSession.createDataFrame(rows, "type string, wanted array<string>, code string, severity string")
+    met = types.join(rules, "type").join(stated, keys, "left")
+    return met.where(~F.coalesce(F.arrays_overlap("wanted", "stated"), F.lit(False))).select(*keys, "code", "severity").distinct()
+
+
 def entity_registry(nodes: DataFrame) -> DataFrame:
     """Nodes of one id merged across pages."""
     return nodes.where("id IS NOT NULL AND others > 0").groupBy(*keys_of(nodes), "id").agg(

@@ -8,6 +8,7 @@ from pagewright.functions import status, urls
 from pagewright.operators import pages as ops
 from pagewright.plans.inputs import EDGES_SQL, LINKS_SQL, PAGES_SQL, crawl_pages, cte, page_links, supply_edges
 from pagewright.plans.registry import Tables, query
+from pagewright.sources import html, jsonld
 
 # Independent statement of the comparison key and the index state in SQL.
 _KEYED = """
@@ -498,3 +499,42 @@ def _(t: Tables):
     topics = t.customer.select(k.alias("topic"), F.when(k % 3 == 0, "published").when(k % 3 == 1, "planned").otherwise("needs-update").alias("lifecycle"), F.date_add(F.lit("2024-01-01").cast("date"), (k % 20).cast("int")).alias("planned"))
     pages = _alternates(t)[0]
     return ops.topic_assignments(topics.join(used, "topic", "left"), pages, "2024-01-10").select("topic", "mapped", "stale", F.array_join("codes", ",").alias("codes"))
+
+
+def _with_json_ld(t: Tables):
+    """The given pages with a script written into each from its number: whole, a graph, malformed, and a list."""
+    k, n = F.col("page_id"), F.col("page_id").cast("string")
+    body = (
+        F.when(k % 4 == 0, F.concat(F.lit('{"@type":"Product","name":"P'), n, F.lit('","offers":{"@type":"Offer","price":'), n, F.lit("}}")))
+        .when(k % 4 == 1, F.concat(F.lit('{"@graph":[{"@type":["Article","https://schema.org/NewsArticle"],"@id":"#a'), n, F.lit('","author":{"@id":"/team#x"}},{"@type":"Organization","@id":"/team#x"}]}')))
+        .when(k % 4 == 2, '{"@type": "Event",').otherwise('[{"@type":"FAQPage","mainEntity":[{"@type":"Question"},{"@type":"Question","name":"q"}]},{"@type":"Product","name":" "}]')
+    )
+    script = F.concat(F.lit('<script type="application/ld+json">'), body, F.lit("</script>"))
+    return html.with_nodes(t.pages.select("page_id", F.concat(F.lit("https://p.example/"), n).alias("url"), F.concat(script, "html").alias("html")))
+
+
+@query("json_ld_facts", "P10", """
+SELECT page_id, path, property, value FROM pages, LATERAL (SELECT * FROM (VALUES
+ (0, '$', '@type', 'Product'), (0, '$', 'name', 'P' || page_id), (0, '$', 'offers', NULL), (0, '$.offers', '@type', 'Offer'), (0, '$.offers', 'price', '' || page_id),
+ (1, '$', '@graph', '#a' || page_id), (1, '$', '@graph', '/team#x'), (1, '$.@graph[0]', '@type', 'Article'), (1, '$.@graph[0]', '@type', 'https://schema.org/NewsArticle'), (1, '$.@graph[0]', '@id', '#a' || page_id),
+ (1, '$.@graph[0]', 'author', '/team#x'), (1, '$.@graph[1]', '@type', 'Organization'), (1, '$.@graph[1]', '@id', '/team#x'), (1, '$.@graph[0].author', '@id', '/team#x'),
+ (3, '$[0]', '@type', 'FAQPage'), (3, '$[0]', 'mainEntity', NULL), (3, '$[0]', 'mainEntity', NULL), (3, '$[1]', '@type', 'Product'), (3, '$[1]', 'name', ' '),
+ (3, '$[0].mainEntity[0]', '@type', 'Question'), (3, '$[0].mainEntity[1]', '@type', 'Question'), (3, '$[0].mainEntity[1]', 'name', 'q')) v(k, path, property, value) WHERE k = page_id % 4)""")
+def _(t: Tables):
+    return jsonld.json_ld(_with_json_ld(t)).select("page_id", "path", "property", "value")
+
+
+@query("profile_findings", "P11", """
+SELECT page_id, path, code, severity FROM pages JOIN (VALUES
+ (1, '$.@graph[0]', 'article-headline-recommended', 'info'), (1, '$.@graph[1]', 'schema-name-missing', 'warning'), (3, '$[0].mainEntity[0]', 'question-name-missing', 'warning'),
+ (3, '$[1]', 'product-name-missing', 'warning'), (3, '$[1]', 'product-offer-review-missing', 'warning')) v(k, path, code, severity) ON k = page_id % 4""")
+def _(t: Tables):
+    return ops.profile_findings(jsonld.json_ld(_with_json_ld(t))).select("page_id", "path", "code", "severity")
+
+
+@query("page_entities", "P10 D29 K14", """
+SELECT 'https://p.example/' || page_id AS page, 'https://p.example/team#x' AS id, 2::BIGINT AS nodes, 'organization' AS types FROM pages WHERE page_id % 4 = 1
+UNION ALL SELECT 'https://p.example/' || page_id, 'https://p.example/' || page_id || '#a' || page_id, 1, 'article,https://schema.org/newsarticle' FROM pages WHERE page_id % 4 = 1""")
+def _(t: Tables):
+    nodes = ops.entity_nodes(jsonld.json_ld(_with_json_ld(t))).where("id IS NOT NULL")
+    return nodes.groupBy("page", "id").agg(F.count("*").alias("nodes"), F.array_join(F.array_sort(F.array_distinct(F.flatten(F.collect_list("types")))), ",").alias("types"))
