@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, functions as F
 
 from pagewright.functions import text
-from pagewright.session import cut_lineage
+from pagewright.session import cut_lineage, release
 
 # Weight of a link by the zone it stands in. Zones that are not listed count 1 and are reported.
 ZONE_WEIGHTS = {"above_fold": 1.0, "below_fold": 0.75, "widget": 0.35, "nav_breadcrumb": 0.25, "sidebar_footer": 0.05}
@@ -95,7 +95,8 @@ def page_rank(nodes: DataFrame, edges: DataFrame, rules: RankRules = RankRules()
     rank = cut_lineage(rank.select("site_id", "node", "parts", "n", "rank"))
     limit, done = F.least(F.lit(rules.tolerance), 0.01 / _c("n")), 0
     for done in range(1, rules.max_iterations + 1):
-        rank = cut_lineage(_rank_step(rank, flow, rules.damping))
+        last, rank = rank, cut_lineage(_rank_step(rank, flow, rules.damping))
+        release(last)
         if done % rules.rounds_per_check == 0 and rank.where(_c("change") > limit).isEmpty():
             break
     flow.unpersist()
@@ -158,7 +159,8 @@ def components(nodes: DataFrame, pairs: DataFrame, max_rounds: int = 60) -> Data
     edges = cut_lineage(edges)
     mark = _fingerprint(edges)
     for _ in range(max_rounds):
-        edges = cut_lineage(_small_star(_large_star(edges)))
+        last, edges = edges, cut_lineage(_small_star(_large_star(edges)))
+        release(last)
         now = _fingerprint(edges)
         if now == mark:
             break
