@@ -49,7 +49,7 @@ m AS (SELECT doc_id, coalesce(component, node) AS component FROM e LEFT JOIN c U
 """
 
 
-@query("duplicate_members", "L3 L17", _MEMBERS + "SELECT doc_id, component FROM m")
+@query("duplicate_members", "L3", _MEMBERS + "SELECT doc_id, component FROM m")
 def _(t: Tables):
     docs = t.documents.select("lang", "doc_id", "text")
     return ops.duplicate_members(docs, ops.near_duplicates(docs, ["lang"]), ["lang"])

@@ -25,9 +25,14 @@ def once_per_line(lines: DataFrame, keys: list[str], at: str, late: str = "1 day
     return lines.withWatermark(at, late).dropDuplicatesWithinWatermark(keys)
 
 
-def first_seen(urls: DataFrame, late: str = "1 day") -> DataFrame:
-    """First row of each (project, url); state is kept until the watermark passes."""
-    return urls.withWatermark("at", late).dropDuplicatesWithinWatermark(["project", "url"])
+def first_seen(urls: DataFrame, registry: DataFrame, late: str = "1 day") -> DataFrame:
+    """Rows of each (project, url) that the registry table doesn't hold, once.
+
+    What was seen stays in the registry, which the caller appends the output to and which is read anew for every batch, so
+    an address never counts as first again. Only repeats that come before they are registered need state, kept for ``late``.
+    """
+    new = urls.join(registry.select("project", "url").distinct(), ["project", "url"], "left_anti")
+    return new.withWatermark("at", late).dropDuplicatesWithinWatermark(["project", "url"])
 
 
 def alerts_with_cooldown(alerts: DataFrame, cooldown: str = "7 days") -> DataFrame:

@@ -15,3 +15,15 @@ def test_daily_counts_equal_batch(spark, tmp_path):
     want = logs.parse_lines(spark.read.text(src)).where("family IS NOT NULL").count()
     assert spark.read.schema("at timestamp, path string, family string, status int").parquet(out).count() == want > 0
     assert ingest.daily_bot_counts(ingest.log_stream(spark, src)).isStreaming
+
+
+def test_first_seen_equals_the_batch(spark, tmp_path):
+    schema = "project string, url string, at timestamp"
+    rows = [("p", f"/{i % 7}", f"2024-01-0{1 + i % 5} 10:00:00") for i in range(40)]
+    frame = spark.createDataFrame(rows, "project string, url string, at string").selectExpr("project", "url", "CAST(at AS timestamp) AS at")
+    frame.coalesce(1).write.parquet(f"{tmp_path}/in")
+    registry = spark.createDataFrame([("p", "/3"), ("q", "/1")], "project string, url string")
+    stream = ingest.first_seen(spark.readStream.schema(schema).parquet(f"{tmp_path}/in"), registry)
+    ingest.run_available(stream, f"{tmp_path}/out", f"{tmp_path}/state")
+    got = sorted(r.url for r in spark.read.parquet(f"{tmp_path}/out").collect())
+    assert got == sorted({r[1] for r in rows} - {"/3"})
