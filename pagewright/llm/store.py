@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import os
+import uuid
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
-from pagewright.session import cut_lineage
+from pagewright.session import ensure_checkpoint_dir
 
 
 def reach_workers(spark: SparkSession) -> None:
@@ -27,7 +28,11 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 def written(df: DataFrame) -> DataFrame:
     """The rows of ``df`` as a table in the shared folder: computed once, kept when executors go."""
-    return cut_lineage(df)
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/table-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def forget(df: DataFrame) -> None:
