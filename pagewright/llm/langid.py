@@ -6,12 +6,12 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from pagewright.llm import words
 from pagewright.llm.store import written
 
-#: Bound of the fit: about so many labelled documents of each language, a sample by hash of the text.
+#: Bound of the fit: so many labelled texts of each language, copies of a text being one; the first by hash.
 LABELLED = 1_000
 BINS = 4_096
 UNKNOWN = "und"
@@ -104,13 +104,20 @@ def fit(x: np.ndarray, language: np.ndarray, languages: list[str], rounds: int =
 
 
 def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", labelled: int = LABELLED) -> Model:
-    """A model from the rows of ``docs`` with a text and a language. Rows without either are left out; none give an empty model."""
+    """A model from the rows of ``docs`` with a text and a language. Rows without either are left out; none give an empty model.
+
+    Every language with a row takes part. Copies of a text under a language are learnt once.
+    """
     known = docs.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text")).filter("lang IS NOT NULL AND text IS NOT NULL")
-    many = {r.lang: r.n for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    named = known.withColumn("h", F.xxhash64("text"))
+    texts = written(named.groupBy("lang", "h").agg(F.count("*").alias("n")).select("lang", "h"))
+    many = {r.lang: r.n for r in texts.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not many:
         return Model([], np.zeros((0, 0)), np.zeros((BINS, 0)), np.zeros(0), np.zeros(0))
-    parts = docs.sparkSession.createDataFrame([(k, int(min(1.0, labelled / n) * (1 << 30))) for k, n in many.items()], "lang string, part long")
-    chosen = known.join(F.broadcast(parts), "lang").filter(F.xxhash64("text").bitwiseAND(F.lit((1 << 30) - 1)) < F.col("part")).select("lang", "text")
+    first = Window.partitionBy("lang").orderBy("h")
+    kept = written(texts.withColumn("rank", F.row_number().over(first)).filter(F.col("rank") <= labelled).select("lang", "h"))
+    copies = named.join(F.broadcast(kept), ["lang", "h"]).groupBy("lang", "h").agg(F.min("text").alias("text"))
+    chosen = copies.select("lang", "text")
 
     def extract(batches: Iterator) -> Iterator:
         import pyarrow as pa

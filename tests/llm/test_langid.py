@@ -55,3 +55,19 @@ def test_query_on_given_table(spark):
     truth = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "lang")
     held = rows.join(truth, "doc_id").filter("held_out AND lang IS NOT NULL").selectExpr("avg(CAST(lang = lang_pred AS INT)) AS right").first()
     assert held.right >= 0.9
+
+
+def test_languages_of_few_texts_with_many_copies_stay(docs):
+    rows = corpus(40)[:2] * 300 + corpus(8)[2:8]
+    model = langid.train(docs(rows), labelled=2)
+    assert model.languages == ["l0", "l1", "l2", "l3"]
+
+
+def test_copies_do_not_fill_the_sample(docs, monkeypatch):
+    seen = []
+    fit = langid.fit
+    monkeypatch.setattr(langid, "fit", lambda x, language, languages: seen.append(np.bincount(language).tolist()) or fit(x, language, languages))
+    rows = corpus(40)
+    langid.train(docs(rows[:1] * 500 + rows), labelled=5)
+    langid.train(docs(rows[:1] * 500 + rows[:3]), labelled=5)
+    assert seen == [[5] * 4, [1] * 3]
