@@ -161,17 +161,36 @@ def _link_back(x: np.ndarray, links: np.ndarray, most: int, to: np.ndarray, by:
         links[node[a], : packed.shape[1]] = packed
 
 
+def probes(x: np.ndarray, floor: float, many: int, seed: int = 2) -> np.ndarray:
+    """Queries that have a link in ``x`` for certain: ``many`` of its rows, then the same moved until they are just above the floor."""
+    own = x[np.unique(np.linspace(0, len(x) - 1, min(many, len(x))).astype(np.int64))]
+    away = np.random.default_rng(seed).normal(size=own.shape)
+    away -= (away * own).sum(axis=1, keepdims=True) * own
+    away /= np.maximum(np.linalg.norm(away, axis=1, keepdims=True), 1e-9)
+    c = floor + 0.1 * (1 - floor)
+    return np.concatenate([own, c * own + np.sqrt(max(0.0, 1 - c * c)) * away]).astype(np.float32)
+
+
 def near(graph: Graph, q: np.ndarray, floor: float, beam: int = 64, audit: int = 64, recall: float = 0.98) -> tuple[np.ndarray, np.ndarray]:
     """(query, node) of all pairs found with a cosine of at least ``floor``.
 
     A query whose beam holds nothing below the floor is searched again with twice the beam, or over all nodes when that is
-    cheaper. Then a sample of queries is compared with all nodes; below ``recall`` everything is searched with a wider beam.
+    cheaper. Then a sample of queries, and :func:`probes`, are compared with all nodes; where the sample, the nodes or the moved
+    nodes are below ``recall``, everything is searched with a wider beam. So the audit has links to find where no query has any.
     """
     n = len(graph.x)
     if not n or not len(q):
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     sample = np.unique(np.linspace(0, len(q) - 1, min(audit, len(q))).astype(np.int64))
-    truth = [np.flatnonzero(row >= floor) for row in q[sample] @ graph.x.T]
+    asked, extra = len(q), probes(graph.x, floor, audit)
+    q = np.concatenate([q, extra])
+    nodes_of, moved = np.split(asked + np.arange(len(extra)), 2)
+
+    def truth(group: np.ndarray) -> np.ndarray:
+        i, t = np.nonzero(q[group] @ graph.x.T >= floor)
+        return group[i] * n + t
+
+    audits = [truth(group) for group in (sample, nodes_of, moved)]
     least = floor - 0.4
     while True:
         queries, nodes = [], []
@@ -192,8 +211,7 @@ def near(graph: Graph, q: np.ndarray, floor: float, beam: int = 64, audit: int =
             rest, width = rest[full], 2 * width
         query, node = np.concatenate(queries), np.concatenate(nodes)
         keys = np.sort(query * n + node)
-        want = np.concatenate([i * n + t for i, t in zip(sample, truth)])
-        held = np.isin(want, keys, assume_unique=True).sum() if len(want) else 0
-        if held >= recall * len(want) or 4 * beam >= n:
-            return query, node
+        if 4 * beam >= n or all(np.isin(want, keys, assume_unique=True).sum() >= recall * len(want) for want in audits):
+            real = query < asked
+            return query[real], node[real]
         beam, least = 2 * beam, -2.0

@@ -56,3 +56,21 @@ def test_equals_brute_force(spark, shard):
 
 def test_empty_table(spark):
     assert embeddings.near_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
+
+
+def test_audit_sees_a_bad_graph_where_the_sample_has_no_links():
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(4000, 24)).astype(np.float32)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    graph = hnsw.build(x)
+    graph.links[0][rng.random(len(x)) < 0.7] = -1  # most nodes lead nowhere
+    y = rng.normal(size=(2000, 24)).astype(np.float32)
+    y /= np.linalg.norm(y, axis=1, keepdims=True)
+    sample = np.unique(np.linspace(0, len(y) - 1, 64).astype(np.int64))
+    twins = np.setdiff1d(np.arange(len(y)), sample)[:500]
+    y[twins] = x[:500]
+    assert not (y[sample] @ x.T >= 0.93).any()
+    a, b = hnsw.near(graph, y, 0.93)
+    want = {(int(i), int(j)) for i, j in zip(*np.nonzero(y @ x.T >= 0.93))}
+    got = set(zip(a.tolist(), b.tolist()))
+    assert got <= want and len(got) >= 0.98 * len(want)
