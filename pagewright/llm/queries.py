@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from pagewright.llm import chat, decontamination, embeddings, langid, licences, lm, packing, pii, simhash, toxicity
+from pagewright.llm import chat, decontamination, embeddings, exact, langid, licences, lm, negatives, packing, pii, simhash, toxicity, whitening
 from pagewright.llm.store import table
 
 Runner = Callable[[SparkSession, str], DataFrame]
@@ -95,6 +95,19 @@ def op10_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.near_groups(table(spark, folder, "documents")).withColumnRenamed("id", "doc_id")
 
 
+def op11_exact(spark: SparkSession, folder: str) -> DataFrame:
+    return exact.exact_groups(table(spark, folder, "documents"), largest=True).withColumnRenamed("id", "doc_id")
+
+
+def op12_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.hard_negatives(table(spark, folder, "embeddings"), F.col("id") % 50 == 0, label_col=label)
+
+
+def op13_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    return whitening.whitened(table(spark, folder, "embeddings")).withColumnRenamed("id", "vec_id")
+
+
 QUERIES: dict[str, Runner] = {
     "op1_packing": op1_packing,
     "op2_language": op2_language,
@@ -106,5 +119,8 @@ QUERIES: dict[str, Runner] = {
     "op8_decontamination": op8_decontamination,
     "op9_licences": op9_licences,
     "op10_simhash": op10_simhash,
+    "op11_exact": op11_exact,
+    "op12_negatives": op12_negatives,
+    "op13_whitening": op13_whitening,
 }
-ORACLES: dict[str, str] = {"op4_chat": chat.SWAPPED_SQL}
+ORACLES: dict[str, str] = {"op4_chat": chat.SWAPPED_SQL, "op11_exact": exact.LARGEST_SQL, "op12_negatives": negatives.ASKED_SQL}
