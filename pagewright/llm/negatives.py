@@ -55,54 +55,65 @@ def _kth(values: np.ndarray, k: int) -> np.ndarray:
     return np.partition(values, values.shape[1] - k, axis=1)[:, values.shape[1] - k]
 
 
-def best_within(asked: tuple, rows: tuple, allowed: np.ndarray, lo: np.ndarray, hi: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query, row, score) of the k best allowed rows of each query whose score lies in lo..hi; ties by least row id.
+def best_within(asked: tuple, rows: tuple, allowed: np.ndarray, lo: np.ndarray, hi: np.ndarray, k: int, worth: list[bool]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(query, band, row, score) of the k best allowed rows of each query and band: scores from lo to hi, ties by least row id.
 
-    ``asked``: (vectors, levels); ``rows``: (vectors, levels, ids). A row leaves as soon as its bounds miss lo..hi, or lie below
-    the k-th best of the lower bounds that are sure to be in it.
+    ``asked``: (vectors, levels); ``rows``: (vectors, levels, ids); ``lo`` and ``hi``: a column for each band, lo > hi where a query
+    has fewer. A row leaves as soon as its bounds miss every band, or lie below the k-th best of the lower bounds that are sure to
+    be in it. ``worth`` says for each level whether it is tried, and forgets those that leave four fifths of the pairs or more.
     """
     (qa, la), (qb, lb, ids) = asked, rows
     i, j, alive = np.arange(len(qa)), np.arange(len(qb)), allowed
-    for (ma, da), (mb, db) in zip(la, lb):
-        if not alive.any():
-            break
+    for level, ((ma, da), (mb, db)) in enumerate(zip(la, lb)):
+        if not worth[level] or not alive.any():
+            continue
         some = alive.any(axis=1), alive.any(axis=0)
         i, j, alive = i[some[0]], j[some[1]], alive[np.ix_(*some)]
         middle, wide = ma[i] @ mb[j].T, da[i] @ db[j].T
         low, high = middle - wide, middle + wide
-        first, last = lo[i, None], hi[i, None]
-        sure = alive & (low >= first) & (high <= last)
-        least = np.maximum(_kth(np.where(sure, low, -np.inf), k)[:, None], first)
-        alive &= (high >= least) & (low <= last)
-    x, y = np.nonzero(alive)
-    a, b = i[x], j[y]
-    if 8 * len(a) > alive.size:
-        score = exact_scores(qa[i], qb[j])[x, y]
+        fits = np.zeros_like(alive)
+        for first, last in zip(lo[i].T[:, :, None], hi[i].T[:, :, None]):
+            sure = alive & (low >= first) & (high <= last)
+            least = np.maximum(_kth(np.where(sure, low, -np.inf), k)[:, None], first)
+            fits |= (high >= least) & (low <= last)
+        before = alive.sum()
+        alive = alive & fits
+        worth[level] = bool(alive.sum() < 0.8 * before)
+    if 8 * alive.sum() > alive.size:
+        score = exact_scores(qa[i], qb[j])
+        x, y = np.nonzero(alive & (score >= lo[i].min(axis=1)[:, None]) & (score <= hi[i].max(axis=1)[:, None]))
+        score = score[x, y]
     else:
-        score = np.concatenate([np.einsum("ij,ij->i", qa[a[s : s + 65536]], qb[b[s : s + 65536]]) for s in range(0, max(len(a), 1), 65536)])
-    fits = (score >= lo[a]) & (score <= hi[a])
-    a, b, score = a[fits], b[fits], score[fits]
+        x, y = np.nonzero(alive)
+        score = np.concatenate([np.einsum("ij,ij->i", qa[i[x[s : s + 65536]]], qb[j[y[s : s + 65536]]]) for s in range(0, max(len(x), 1), 65536)])
+    a, b = i[x], j[y]
     order = np.lexsort((ids[b], -score, a))
     a, b, score = a[order], b[order], score[order]
-    rank = np.arange(len(a)) - np.searchsorted(a, a)
-    return a[rank < k], b[rank < k], score[rank < k]
+    ends, found = np.searchsorted(a, np.arange(len(qa) + 1)), []
+    for q in np.unique(a):
+        own = slice(ends[q], ends[q + 1])
+        for band, at in enumerate(np.searchsorted(-score[own], -hi[q])):
+            best = np.arange(ends[q] + at, min(ends[q] + at + k, ends[q + 1]))
+            best = best[score[best] >= lo[q, band]]
+            found.append((np.full(len(best), q), np.full(len(best), band), b[best], score[best]))
+    return tuple(np.concatenate(x) for x in zip(*found)) if found else tuple(np.zeros(0, np.int64) for _ in range(4))
 
 
 def _labels(*lists) -> list[np.ndarray]:
-    """Numbers for the labels of several Arrow lists, alike in all of them."""
+    """Numbers for the labels of several Arrow arrays, alike in all of them."""
     import pyarrow as pa
 
-    codes = pa.chunked_array([x.values if hasattr(x, "values") else x for x in lists]).combine_chunks().dictionary_encode().indices.to_numpy(zero_copy_only=False)
-    return np.split(codes, np.cumsum([len(x.values if hasattr(x, "values") else x) for x in lists])[:-1])
+    codes = pa.chunked_array(lists).combine_chunks().dictionary_encode().indices.to_numpy(zero_copy_only=False)
+    return np.split(codes, np.cumsum([len(x) for x in lists])[:-1])
 
 
 def _packed(rows: DataFrame, size: int) -> DataFrame:
-    """Blocks of about ``size`` rows of equal dimension, dealt by hash: (dim, block, ids, labels, lows, highs, q, levels)."""
+    """Blocks of about ``size`` rows of equal dimension, dealt by hash: (dim, block, ids, labels, bands, lows, highs, q, levels)."""
     counts = {r["dim"]: r["n"] for r in rows.groupBy("dim").agg(F.count("*").alias("n")).collect()}
     parts = F.create_map(*[F.lit(x) for d, n in counts.items() for x in (d, -(-n // size))]) if counts else F.create_map(F.lit(0), F.lit(1))
-    dealt = rows.withColumn("block", F.pmod(F.xxhash64("id", "lo", "hi"), parts[F.col("dim")]).cast("int"))
+    dealt = rows.withColumn("block", F.pmod(F.xxhash64("id"), parts[F.col("dim")]).cast("int"))
     label = rows.schema["label"].dataType.simpleString()
-    schema = StructType.fromDDL(f"dim int, block int, ids array<long>, labels array<{label}>, lows array<long>, highs array<long>, q binary, levels array<binary>")
+    schema = StructType.fromDDL(f"dim int, block int, ids array<long>, labels array<{label}>, bands array<int>, lows array<long>, highs array<long>, q binary, levels array<binary>")
     from pyspark.sql.pandas.types import to_arrow_schema
 
     kind = to_arrow_schema(schema)
@@ -110,20 +121,22 @@ def _packed(rows: DataFrame, size: int) -> DataFrame:
     def pack(table):
         import pyarrow as pa
 
-        table = table.combine_chunks().sort_by([("id", "ascending"), ("lo", "ascending")])
+        table = table.combine_chunks().sort_by("id")
         dim = table.column("dim")[0].as_py()
-        q = pa.concat_arrays(table.column("q").chunks).flatten().to_numpy(zero_copy_only=False).astype(np.int64).reshape(table.num_rows, dim)
+        flat = lambda name: pa.concat_arrays(table.column(name).chunks).flatten()
+        q = flat("q").to_numpy(zero_copy_only=False).astype(np.int64).reshape(table.num_rows, dim)
         parts = [part.tobytes() for level in summaries(q) for part in level] if dim else []
-        lists = {to: [table.column(k).to_pylist()] for k, to in (("id", "ids"), ("label", "labels"), ("lo", "lows"), ("hi", "highs"))}
-        return pa.table({"dim": [dim], "block": [table.column("block")[0].as_py()], **lists, "q": [q.tobytes()], "levels": [parts]}, schema=kind)
+        bands = [len(x) for x in table.column("lo").to_pylist()]
+        lists = {"ids": table.column("id").to_pylist(), "labels": table.column("label").to_pylist(), "bands": bands, "lows": flat("lo").to_pylist(), "highs": flat("hi").to_pylist()}
+        return pa.table({"dim": [dim], "block": [table.column("block")[0].as_py()], **{k: [v] for k, v in lists.items()}, "q": [q.tobytes()], "levels": [parts]}, schema=kind)
 
     total = sum(-(-n // size) for n in counts.values())
     return written(dealt.repartition(max(1, min(total * 2, 20_000)), "dim", "block").groupBy("dim", "block").applyInArrow(pack, schema))
 
 
 def _best(rows: DataFrame, asked: DataFrame, k: int, same: bool) -> DataFrame:
-    """(id, lo, hi, row, score): the k best rows of equal (or other) label for each query, of each unit of blocks merged."""
-    left = asked.select("dim", F.col("block").alias("a"), *[F.col(c).alias(f"a_{c}") for c in ("ids", "labels", "lows", "highs", "q", "levels")])
+    """(id, lo, hi, row, score, rank): the k best rows of equal (or other) label for each query and band, of all units of blocks."""
+    left = asked.select("dim", F.col("block").alias("a"), *[F.col(c).alias(f"a_{c}") for c in ("ids", "labels", "bands", "lows", "highs", "q", "levels")])
     right = rows.select("dim", F.col("block").alias("b"), *[F.col(c).alias(f"b_{c}") for c in ("ids", "labels", "q", "levels")])
     units = left.select("dim", "a").join(right.select("dim", "b"), "dim")
     work = units.join(left, ["dim", "a"]).join(right, ["dim", "b"])
@@ -141,15 +154,28 @@ def _best(rows: DataFrame, asked: DataFrame, k: int, same: bool) -> DataFrame:
         dim = r.column("dim")[0].as_py()
         own, qa, la = side(r, "a", dim)
         ids, qb, lb = side(r, "b", dim)
-        mine, theirs = _labels(r.column("a_labels")[0], r.column("b_labels")[0])
-        lo, hi = [r.column(c)[0].values.to_numpy(zero_copy_only=False) for c in ("a_lows", "a_highs")]
-        found = []
-        for s in range(0, len(own), AT_ONCE):
-            at = slice(s, s + AT_ONCE)
-            alike = mine[at, None] == theirs[None]
-            allowed = (alike & (own[at, None] != ids[None])) if same else ~alike
-            a, b, score = best_within((qa[at], [(m[at], d[at]) for m, d in la]), (qb, lb, ids), allowed, lo[at], hi[at], k)
-            found.append((own[at][a], lo[at][a], hi[at][a], ids[b], score))
+        mine, theirs = _labels(r.column("a_labels")[0].values, r.column("b_labels")[0].values)
+        bands, lows, highs = [r.column(c)[0].values.to_numpy(zero_copy_only=False) for c in ("a_bands", "a_lows", "a_highs")]
+        # a column for each band; a query with fewer has bands that hold nothing
+        lo, hi = np.ones((len(own), bands.max()), np.int64), np.zeros((len(own), bands.max()), np.int64)
+        has = np.arange(bands.max()) < bands[:, None]
+        lo[has], hi[has] = lows, highs
+        worth, found = [True] * len(la), [[np.zeros(0, np.int64)] * 5]
+
+        def ask(some: np.ndarray, among: np.ndarray) -> None:
+            """The best of some rows for some queries."""
+            rows = qb[among], [(m[among], d[among]) for m, d in lb], ids[among]
+            for s in range(0, len(some), AT_ONCE):
+                at = some[s : s + AT_ONCE]
+                allowed = own[at, None] != ids[None, among] if same else mine[at, None] != theirs[None, among]
+                a, band, b, score = best_within((qa[at], [(m[at], d[at]) for m, d in la]), rows, allowed, lo[at], hi[at], k, worth)
+                found.append([own[at][a], lo[at][a, band], hi[at][a, band], ids[among][b], score])
+
+        if same:
+            for label in np.unique(mine):
+                ask(np.flatnonzero(mine == label), np.flatnonzero(theirs == label))
+        else:
+            ask(np.arange(len(own)), np.arange(len(ids)))
         return pa.table([pa.array(np.concatenate(x), pa.int64()) for x in zip(*found)], names=schema.names)
 
     wide = work.repartition(max(8, min(20_000, 2 * units.count())), "dim", "a", "b")
@@ -187,7 +213,7 @@ def hard_negatives(vectors: DataFrame, anchor: Column, scale: int = 256, positiv
     """
     label = F.col(label_col) if isinstance(label_col, str) else label_col
     kept = written(quantised(vectors, scale, id_col, vector_col, label))
-    free = [F.lit(-(1 << 62)).alias("lo"), F.lit(1 << 62).alias("hi")]
+    free = [F.array(F.lit(x)).alias(name) for name, x in (("lo", -(1 << 62)), ("hi", 1 << 62))]
     blocks = _packed(kept.select("*", *free), block)
     asking = kept.filter(anchor)
     pairs = written(_best(blocks, _packed(asking.select("*", *free), anchors), positives, True).select(F.col("id").alias("anchor_id"), F.col("row").alias("positive_id"), F.col("score").alias("positive_score")))
@@ -195,8 +221,8 @@ def hard_negatives(vectors: DataFrame, anchor: Column, scale: int = 256, positiv
     lo = F.expr(f"(positive_score * {least} + pmod(-positive_score * {least}, 100)) div 100")
     hi = F.expr(f"(positive_score * {most} - pmod(positive_score * {most}, 100)) div 100")
     banded = pairs.withColumn("lo", lo).withColumn("hi", hi)
-    bands = banded.filter("lo <= hi").select(F.col("anchor_id").alias("id"), "lo", "hi").distinct()
-    found = _best(blocks, _packed(asking.join(bands, "id"), anchors), negatives, False)
+    bands = banded.filter("lo <= hi").groupBy(F.col("anchor_id").alias("id")).agg(F.sort_array(F.collect_set(F.struct("lo", "hi"))).alias("bands"))
+    found = _best(blocks, _packed(asking.join(bands, "id").select("id", "label", "q", "dim", "bands.lo", "bands.hi"), anchors), negatives, False)
     met = banded.join(found.withColumnRenamed("id", "anchor_id"), ["anchor_id", "lo", "hi"])
     return met.select("anchor_id", "positive_id", F.col("rank").cast("int").alias("rank"), F.col("row").alias("negative_id"), "positive_score", F.col("score").alias("negative_score"))
 
@@ -205,8 +231,8 @@ def hard_negatives(vectors: DataFrame, anchor: Column, scale: int = 256, positiv
 #: The negatives of the embeddings table as the query asks for them, in DuckDB's SQL: all scores, then the ranks.
 ASKED_SQL = """
 WITH v AS (
-  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, x -> floor(256 * x::DOUBLE)) AS q
-  FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS q
+  FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
 s AS (
   SELECT a.vec_id AS anchor_id, b.vec_id AS id, a.label = b.label AS alike, list_inner_product(a.q, b.q)::BIGINT AS score
   FROM v a JOIN v b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id),

@@ -77,8 +77,8 @@ def test_rows_leave_before_exact_scoring(monkeypatch):
     scored = []
     real = np.einsum
     monkeypatch.setattr(negatives.np, "einsum", lambda f, x, y: (scored.append(len(x)), real(f, x, y))[1])
-    free = np.full(20, -(1 << 62)), np.full(20, 1 << 62)
-    q, r, s = negatives.best_within((a, negatives.summaries(a)), (b, negatives.summaries(b), np.arange(3000)), np.ones((20, 3000), bool), *free, 5)
+    free = np.full((20, 1), -(1 << 62)), np.full((20, 1), 1 << 62)
+    q, _, r, s = negatives.best_within((a, negatives.summaries(a)), (b, negatives.summaries(b), np.arange(3000)), np.ones((20, 3000), bool), *free, 5, [True] * 3)
     want = a @ b.T
     for i in range(20):
         assert sorted(zip(-s[q == i], r[q == i])) == sorted(zip(-want[i], range(3000)))[:5]
@@ -88,12 +88,16 @@ def test_rows_leave_before_exact_scoring(monkeypatch):
 def test_scores_of_random_vectors_match_random_bands():
     rng = random.Random(2)
     x = np.array([[rng.randint(-50, 50) for _ in range(10)] for _ in range(200)])
-    lo = np.array([rng.randint(-2000, 0) for _ in range(200)])
-    hi = lo + 4000
+    lo = np.array([[rng.randint(-2000, 0), rng.randint(-9000, 0)] for _ in range(200)])
+    hi = lo + [4000, 9000]
+    hi[::3, 1] = lo[::3, 1] - 1
     levels = negatives.summaries(x)
     allowed = np.array([[i != j for j in range(200)] for i in range(200)])
-    q, r, s = negatives.best_within((x, levels), (x, levels, np.arange(200)), allowed, lo, hi, 3)
-    full = x @ x.T
-    for i in range(200):
-        want = sorted((-full[i, j], j) for j in range(200) if i != j and lo[i] <= full[i, j] <= hi[i])[:3]
-        assert sorted(zip(-s[q == i], r[q == i])) == want
+    for worth in ([True, True], [False, False]):
+        q, band, r, s = negatives.best_within((x, levels), (x, levels, np.arange(200)), allowed, lo, hi, 3, worth)
+        full = x @ x.T
+        for i in range(200):
+            for c in range(2):
+                want = sorted((-full[i, j], j) for j in range(200) if i != j and lo[i, c] <= full[i, j] <= hi[i, c])[:3]
+                at = (q == i) & (band == c)
+                assert sorted(zip(-s[at], r[at])) == want
