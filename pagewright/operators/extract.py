@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from dataclasses import dataclass
 
-from pagewright.functions import text, urls
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+
+from pagewright.functions import selectors, text, urls
 from pagewright.sources import html
 
 parse = html.with_nodes
@@ -296,33 +298,68 @@ def regex_extractions(pages: DataFrame, definitions: list[tuple[str, str]], body
     return rows.select(*_keys(pages), "x.definition", "x.nr", "x.value")
 
 
-def selector_extractions(pages: DataFrame, definitions: list[tuple[str, str, str]]) -> DataFrame:
-    """User-defined extraction by ``tag``, ``tag.class``, ``tag#id`` or ``tag[attribute]``; result is text or an attribute."""
-
-    def hits(name: str, selector: str, result: str) -> Column:
-        import re
-
-        tag, mark, word, attribute = re.fullmatch(r"([a-z0-9]*)(?:([.#])([\w-]+))?(?:\[([\w-]+)\])?", selector).groups()
-
-        def match(n: Column) -> Column:
-            ok = n["tag"] != "#text"
-            if tag:
-                ok = ok & (n["tag"] == tag)
-            if mark == ".":
-                ok = ok & F.array_contains(F.split(F.coalesce(html.attr(n, "class"), F.lit("")), r"\s+"), word)
-            if mark == "#":
-                ok = ok & (html.attr(n, "id") == word).eqNullSafe(True)
-            if attribute:
-                ok = ok & html.attr(n, attribute).isNotNull()
-            return ok
-
-        value = (lambda n: n["text"]) if result == "text" else (lambda n: html.attr(n, result))
-        return F.transform(
-            F.filter("nodes", match), lambda n, i: F.struct(F.lit(name).alias("definition"), i.alias("nr"), value(n).alias("value"))
-        )
+@dataclass(frozen=True)
+class Search:
+    """A user's extraction: by css, xpath or regex, of text or an attribute."""
+
+    id: str
+    kind: str
+    query: str
+    result: str = "text"
+    attribute: str | None = None
+
+
+def _values(search: Search, body: str | None) -> tuple[Column | None, str | None]:
+    """(array of what a search finds, None) or (None, why it can't run)."""
+    kind = search.kind.strip().lower()
+    if kind == "regex":
+        if body is None:
+            return None, "a pattern needs the page text"
+        try:
+            pattern = SparkSession.active().sparkContext._jvm.java.util.regex.Pattern.compile(search.query.strip())
+        except Exception as err:  # the pattern's own message
+            return None, f"not a pattern: {str(getattr(err, 'java_exception', err)).splitlines()[0]}"
+        return F.regexp_extract_all(F.col(body), F.lit(search.query.strip()), F.lit(min(1, pattern.matcher("").groupCount()))), None
+    if kind not in ("css", "xpath") or search.result not in ("text", "attribute"):
+        return None, f"{kind} searches for {search.result} are not known"
+    try:
+        paths = selectors.css(search.query) if kind == "css" else selectors.xpath(search.query)
+    except selectors.SelectorError as err:
+        return None, str(err)
+    ends = paths[0].ends
+    attribute = ends[1:] if ends.startswith("@") else (search.attribute or "").strip().lower() if search.result == "attribute" else None
+    shown = (lambda n: html.attr(n, attribute)) if attribute is not None else lambda n: F.regexp_replace(selectors.text_of(n, F.col("nodes")), r"^\s+|\s+$", "")
+    return F.transform(selectors.selected_by_any(paths, F.col("nodes")), shown), None
+
+
+def custom_extractions(pages: DataFrame, searches: list[Search], most: int = 5, longest: int = 1000, body: str = "html") -> DataFrame:
+    """(page keys, id, values, error, truncated): one row for each page and search.
+
+    Values are the first ``most`` that aren't blank, cut to ``longest`` letters, which ``truncated`` tells. A search that can't be
+    read has an error and no values, and doesn't keep the others from running. Selectors run as expressions over the node array
+    of :func:`parse`, patterns over the page text in ``body``.
+    """
+    empty = F.array().cast("array<string>")
+
+    def row(search: Search) -> Column:
+        found, error = _values(search, body if body in pages.columns else None)
+        if error is not None:
+            return F.struct(F.lit(search.id).alias("id"), empty.alias("values"), F.lit(error).alias("error"), F.lit(False).alias("truncated"))
+        kept = F.filter(found, lambda v: v.isNotNull() & v.rlike(r"\S"))
+        return urls.let(F.coalesce(kept, empty), lambda v: F.struct(
+            F.lit(search.id).alias("id"), F.transform(F.slice(v, 1, most), lambda x: F.substring(x, 1, longest)).alias("values"), F.lit(None).cast("string").alias("error"),
+            ((F.size(v) > most) | F.exists(F.slice(v, 1, most), lambda x: F.length(x) > longest)).alias("truncated"),
+        ))
+
+    rows = pages.select(*_keys(pages), F.explode(F.array(*[row(s) for s in searches])).alias("x"))
+    return rows.select(*_keys(pages), "x.*")
 
-    rows = pages.select(*_keys(pages), F.explode(F.concat(*[hits(*d) for d in definitions])).alias("x"))
-    return rows.select(*_keys(pages), "x.definition", "x.nr", "x.value")
+
+def selector_extractions(pages: DataFrame, definitions: list[tuple[str, str, str]]) -> DataFrame:
+    """One row for each value that CSS selectors find; the result is text or the name of an attribute. A bad selector is a row with an error."""
+    searches = [Search(name, "css", query, "text" if result == "text" else "attribute", result) for name, query, result in definitions]
+    rows = custom_extractions(pages, searches, most=2**31 - 1, longest=2**31 - 1)
+    return rows.select(*_keys(pages), F.col("id").alias("definition"), F.posexplode_outer("values").alias("nr", "value"), "error").where("value IS NOT NULL OR error IS NOT NULL")
 
 
 def page_text(pages: DataFrame) -> DataFrame:

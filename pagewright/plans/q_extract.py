@@ -117,7 +117,29 @@ def _(t: Tables):
 SELECT page_id, 'ad' AS definition, CAST(0 AS INTEGER) AS nr, 'ad' AS value FROM pages WHERE html LIKE '%<div class="ad">%'
 UNION ALL SELECT page_id, 'lang', CAST(0 AS INTEGER), regexp_extract(html, '<html lang="([^"]*)"', 1) FROM pages""")
 def _(t: Tables):
-    return extract.selector_extractions(_pages(t), [("ad", "div.ad", "class"), ("lang", "html[lang]", "lang")])
+    return extract.selector_extractions(_pages(t), [("ad", "div.ad", "class"), ("lang", "html[lang]", "lang")]).drop("error")
+
+
+@query("custom_search_results", "P21 J1", cte(l=LINKS_SQL) + """
+, a AS (SELECT page_id, list(href ORDER BY pos) FILTER (href LIKE '/a%') AS a, max(anchor) FILTER (pos = 2) AS second, max(anchor) FILTER (pos = 3) AS third, max(href) FILTER (pos = 1) AS head FROM l GROUP BY 1)
+  SELECT page_id, 'a-links' AS id, array_to_string(coalesce(a, [])[1:5], '|') AS found, NULL::VARCHAR AS error, len(coalesce(a, [])) > 5 AS truncated FROM pages LEFT JOIN a USING (page_id)
+  UNION ALL SELECT page_id, 'second', coalesce(second, ''), NULL, false FROM pages LEFT JOIN a USING (page_id)
+  UNION ALL SELECT page_id, 'beside', coalesce(third, ''), NULL, false FROM pages LEFT JOIN a USING (page_id)
+  UNION ALL SELECT page_id, 'head', coalesce(head, ''), NULL, false FROM pages LEFT JOIN a USING (page_id)
+  UNION ALL SELECT page_id, 'lang', regexp_extract(html, '<html lang="([^"]*)"', 1), NULL, false FROM pages
+  UNION ALL SELECT page_id, 'open', '', 'a step is empty', false FROM pages
+  UNION ALL SELECT page_id, 'axis', '', $$can't read the step 'parent::div'$$, false FROM pages""")
+def _(t: Tables):
+    rows = extract.custom_extractions(_pages(t), [
+        extract.Search("a-links", "css", "ul > li a[href^='/a']", "attribute", "href"),
+        extract.Search("second", "xpath", "//nav/ul/li[2]/a/text()"),
+        extract.Search("beside", "css", "li:first-child + li + li > a"),
+        extract.Search("head", "xpath", "//li[position()=1]/a[@href]/@href"),
+        extract.Search("lang", "css", "html[lang]:not([class]), body.none", "attribute", "lang"),
+        extract.Search("open", "css", "ul >"),
+        extract.Search("axis", "xpath", "//li/parent::div"),
+    ])
+    return rows.select("page_id", "id", F.array_join("values", "|").alias("found"), "error", "truncated")
 
 
 @query("markup_findings", "P22", """

@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -29,15 +27,6 @@ def local_session(cores: int | str = 8, app: str = "pagewright", partitions: int
     return spark
 
 
-def reach_workers(spark: SparkSession) -> None:
-    """Let a local master's Python workers find this package wherever the driver was started; clusters get it with --py-files."""
-    if spark.sparkContext.master.startswith("local"):
-        root = str(Path(__file__).resolve().parents[1])
-        known = spark.sparkContext.environment.get("PYTHONPATH", "")
-        if root not in known.split(os.pathsep):
-            spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(filter(None, [root, known]))
-
-
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Use the shared folder named by ``spark.checkpoint.dir``.
 

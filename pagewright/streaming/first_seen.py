@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 from datetime import timedelta
 
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Row, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from pagewright.session import reach_workers
+# Tasks get the processor with the job, so executors need no installed copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 #: How long an address counts as new.
 WINDOW = timedelta(hours=24)
@@ -70,7 +73,6 @@ def first_seen_stream(urls: DataFrame, projects: DataFrame, window: timedelta =
     ``projects`` is a table of each project's first run. Its addresses are never new, wherever the stream is started again.
     State is dealt by project and address, so a project of any size is spread. Needs the RocksDB state store.
     """
-    reach_workers(urls.sparkSession)
     rows = _registered(urls.withWatermark("at", late), projects).select("project", "url", "at", F.unix_micros("at").alias("at_us"), F.unix_micros("started").alias("started_us"))
     found = rows.groupBy("project", "url").transformWithState(FirstSeen(window, lifetime), _MICROS, "append", "eventTime")
     return found.select("project", "url", F.timestamp_micros("at").alias("at"), F.timestamp_micros("first_at").alias("first_at"), "is_new")
