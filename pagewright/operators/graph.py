@@ -18,7 +18,7 @@ class RankRules:
     damping: float = 0.85
     tolerance: float = 1e-6
     max_iterations: int = 150
-    rounds_per_check: int = 5
+    held_back: float = 0.001
     part_edges: int = 1_000_000
     similarity_floor: float = 0.05
     under_linked_share: float = 0.5
@@ -64,56 +64,76 @@ def similarity_weights(edges: DataFrame, floor: float = 0.05) -> DataFrame:
 def page_rank(nodes: DataFrame, edges: DataFrame, rules: RankRules = RankRules(), start: DataFrame | None = None) -> DataFrame:
     """(site_id, node, rank, iterations, residual, converged): weighted link rank of every node, per site, summing to 1.
 
-    A site has converged when no rank changes by more than the tolerance or a hundredth of an even share, whichever is
-    less; the loop ends when all have, or after ``max_iterations`` with the mark false.
+    Dangling mass and jumps are both spread evenly, so the rank is, up to its sum, the sum of an even share and of what
+    followed links pass on of it, again and again. Only what arrived in the last round is passed on, and a page whose arrivals
+    are below ``held_back`` of the limit keeps them until they add up: rounds get smaller as sites settle. The limit is the tolerance
+    or a hundredth of an even share, whichever is less. A site has converged when all its pages hold less than the limit; the
+    loop ends when no page sends, or after ``max_iterations``. With ``start``, ranks of an earlier graph, only differences to
+    them are passed on.
 
-    ``nodes(site_id, node)``, ``edges(site_id, source, target, weight)``; dangling mass is spread evenly. The edges of
-    a source are cut into parts of bounded size, so a page that links everywhere is many tasks; ranks are summed by
-    target before they move. Every round writes the scores once, as they are read three times by the next one; they are
-    compared every few rounds.
+    ``nodes(site_id, node)``, ``edges(site_id, source, target, weight)``. The edges of a source are cut into parts of bounded
+    size, so a page that links everywhere is many tasks; what is passed on is summed by target before it moves.
     """
     known = nodes.select("site_id", "node").distinct()
     merged = edges.groupBy("site_id", "source", "target").agg(F.sum("weight").alias("weight"))
-    totals = merged.groupBy("site_id", "source").agg(F.sum("weight").alias("total"), F.count("*").alias("degree"))
+    totals = merged.groupBy("site_id", "source").agg(F.sum("weight").alias("total"), F.ceil(F.count("*") / rules.part_edges).cast("int").alias("parts"))
     sizes = known.groupBy("site_id").agg(F.count("*").alias("n"))
-    parts = F.ceil(_c("degree") / rules.part_edges).cast("int")
+    limit = F.least(F.lit(rules.tolerance), 0.01 / _c("n"))
     table = cut_lineage(
-        known.join(totals.withColumnRenamed("source", "node").select("site_id", "node", "degree", parts.alias("parts")), ["site_id", "node"], "left")
-        .join(sizes, "site_id").withColumn("parts", F.coalesce("parts", F.lit(0)))
+        known.join(totals.select("site_id", _c("source").alias("node"), "parts"), ["site_id", "node"], "left").join(sizes, "site_id")
+        .select("site_id", "node", F.coalesce("parts", F.lit(0)).alias("parts"), "n", limit.alias("bound"))
     )
-    moved = merged.join(totals.withColumn("parts", parts), ["site_id", "source"]).select(
-        "site_id", _c("source").alias("node"), F.pmod(F.xxhash64("target"), _c("parts")).cast("int").alias("part"), "target", (_c("weight") / _c("total")).alias("share")
-    )
-    flow = moved.repartition("site_id", "node", "part").persist()
-    uniform = 1.0 / _c("n")
+    part = F.pmod(F.xxhash64("target"), _c("parts")).cast("int").alias("part")
+    share = (rules.damping * _c("weight") / _c("total")).alias("share")
+    into = table.select("site_id", _c("node").alias("target"), _c("parts").alias("next_parts"), "bound")
+    flow = merged.join(totals, ["site_id", "source"]).select("site_id", _c("source").alias("node"), part, "target", share).join(into, ["site_id", "target"])
+    flow = flow.repartition("site_id", "node", "part").persist()
+    even = table.select("site_id", "node", "parts", "bound", (1.0 / _c("n")).alias("q"))
     if start is None:
-        rank = table.withColumn("rank", uniform)
+        held, sent = cut_lineage(even), []
     else:
-        given = table.join(start.select("site_id", "node", _c("rank").alias("given")), ["site_id", "node"], "left").withColumn("rank", F.coalesce("given", uniform)).drop("given")
-        sums = given.groupBy("site_id").agg(F.sum("rank").alias("s"))
-        rank = given.join(sums, "site_id").withColumn("rank", F.when(_c("s") > 0, _c("rank") / _c("s")).otherwise(uniform)).drop("s")
-    rank = cut_lineage(rank.select("site_id", "node", "parts", "n", "rank"))
-    limit, done = F.least(F.lit(rules.tolerance), 0.01 / _c("n")), 0
-    for done in range(1, rules.max_iterations + 1):
-        last, rank = rank, cut_lineage(_rank_step(rank, flow, rules.damping))
-        release(last)
-        if done % rules.rounds_per_check == 0 and rank.where(_c("change") > limit).isEmpty():
+        # The sum of all passes on from a rank r is c r, if c = 1 + damping * c * (share of r on pages with links).
+        given = table.join(start.select("site_id", "node", _c("rank").alias("given")), ["site_id", "node"], "left").withColumn("given", F.coalesce("given", 1.0 / _c("n")))
+        linked = F.sum(F.when(_c("parts") > 0, _c("given")).otherwise(0.0)) / F.sum("given")
+        scale = given.groupBy("site_id").agg((1 / (1 - rules.damping * linked) / F.sum("given")).alias("c"))
+        first = cut_lineage(given.join(scale, "site_id").select("site_id", "node", "parts", "bound", (_c("given") * _c("c")).alias("q")))
+        sent = [first.select("site_id", "node", "q")]
+        away = first.withColumn("q", -_c("q"))
+        held = cut_lineage(_gathered(_passed(first, flow).unionByName(away).unionByName(even)))
+    done, least = 0, _c("bound") * rules.held_back
+    while done < rules.max_iterations:
+        moving = held.where(F.abs("q") > least)
+        if moving.isEmpty():
             break
+        done += 1
+        sent.append(moving.select("site_id", "node", "q"))
+        held = cut_lineage(_gathered(_passed(moving, flow).unionByName(held.where(F.abs("q") <= least))))
+        if len(sent) > 12:
+            sent = [cut_lineage(_summed(sent))]
     flow.unpersist()
-    total = rank.groupBy("site_id").agg(F.sum("rank").alias("s"), F.max("change").alias("residual"), F.max(_c("change") > limit).alias("moving"))
-    return rank.join(total, "site_id").select(
-        "site_id", "node", (_c("rank") / _c("s")).alias("rank"), F.lit(done).alias("iterations"), "residual", (~_c("moving")).alias("converged")
+    settled = held.groupBy("site_id").agg(F.max(F.abs("q")).alias("residual"), F.max(F.abs("q") > _c("bound")).alias("moving"))
+    rank = cut_lineage(_summed([*sent, held.select("site_id", "node", "q")]))
+    total = rank.groupBy("site_id").agg(F.sum("q").alias("s"))
+    return known.join(rank, ["site_id", "node"]).join(total, "site_id").join(settled, "site_id", "left").select(
+        "site_id", "node", (_c("q") / _c("s")).alias("rank"), F.lit(done).alias("iterations"), F.coalesce("residual", F.lit(0.0)).alias("residual"), (~F.coalesce("moving", F.lit(False))).alias("converged")
     )
 
 
-def _rank_step(rank: DataFrame, flow: DataFrame, damping: float) -> DataFrame:
-    sources = rank.where("parts > 0").select("site_id", "node", "rank", F.explode(F.sequence(F.lit(0), _c("parts") - 1)).alias("part"))
-    arrived = flow.join(sources, ["site_id", "node", "part"]).groupBy("site_id", _c("target").alias("node")).agg(F.sum(_c("rank") * _c("share")).alias("flow"))
-    loose = rank.groupBy("site_id").agg(F.sum(F.when(_c("parts") == 0, _c("rank")).otherwise(0.0)).alias("loose"))
-    value = (1 - damping) / _c("n") + damping * _c("loose") / _c("n") + damping * F.coalesce("flow", F.lit(0.0))
-    return rank.join(arrived, ["site_id", "node"], "left").join(loose, "site_id").select(
-        "site_id", "node", "parts", "n", value.alias("rank"), F.abs(value - _c("rank")).alias("change")
-    )
+def _passed(moving: DataFrame, flow: DataFrame) -> DataFrame:
+    """What pages with links pass on to each target."""
+    sources = moving.where("parts > 0").select("site_id", "node", "q", F.explode(F.sequence(F.lit(0), _c("parts") - 1)).alias("part"))
+    return flow.join(sources, ["site_id", "node", "part"]).select("site_id", _c("target").alias("node"), _c("next_parts").alias("parts"), "bound", (_c("q") * _c("share")).alias("q"))
+
+
+def _gathered(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("site_id", "node").agg(F.max("parts").alias("parts"), F.max("bound").alias("bound"), F.sum("q").alias("q"))
+
+
+def _summed(parts: list[DataFrame]) -> DataFrame:
+    rows = parts[0]
+    for more in parts[1:]:
+        rows = rows.unionByName(more)
+    return rows.groupBy("site_id", "node").agg(F.sum("q").alias("q"))
 
 
 def link_rank_report(nodes: DataFrame, edges: DataFrame, rules: RankRules = RankRules(), start: DataFrame | None = None) -> DataFrame:

@@ -84,6 +84,36 @@ def test_components_and_rank_sum(spark):
     assert abs(sum(rank.values()) - 1) < 1e-9 and rank["b"] > rank["d"]
 
 
+def test_ranks_settle_where_plain_iteration_does(spark):
+    rng = random.Random(6)
+    edges = {(a, b): rng.random() + 0.1 for a, b in ((rng.randrange(40), rng.randrange(60)) for _ in range(150)) if a != b}
+    later = {k: w for k, w in edges.items() if k[0] != 3} | {(59, 0): 2.0}
+
+    def plain(edges):
+        out = {a: sum(w for (s, _), w in edges.items() if s == a) for a, _ in edges}
+        rank = [1 / 60] * 60
+        for _ in range(400):
+            loose = sum(r for i, r in enumerate(rank) if i not in out)
+            new = [0.15 / 60 + 0.85 * loose / 60] * 60
+            for (a, b), w in edges.items():
+                new[b] += 0.85 * rank[a] * w / out[a]
+            rank = new
+        return rank
+
+    nodes = spark.createDataFrame([(s, i) for s in "xy" for i in range(60)], "site_id string, node long")
+    frame = lambda e: spark.createDataFrame([(s, a, b, w) for s in "xy" for (a, b), w in e.items()], "site_id string, source long, target long, weight double")
+    rules = graph.RankRules(tolerance=1e-9, part_edges=2)
+    first = graph.page_rank(nodes, frame(edges), rules).collect()
+    assert all(r.converged and abs(r["rank"] - plain(edges)[r.node]) < 1e-9 for r in first) and len(first) == 120
+    start = spark.createDataFrame([(r.site_id, r.node, r["rank"]) for r in first], "site_id string, node long, rank double")
+    again = graph.page_rank(nodes, frame(edges), rules, start).collect()
+    assert all(r.iterations <= 1 and abs(r["rank"] - plain(edges)[r.node]) < 1e-8 for r in again)
+    moved = graph.page_rank(nodes, frame(later), rules, start).collect()
+    assert all(r.converged and abs(r["rank"] - plain(later)[r.node]) < 1e-9 for r in moved)
+    cut = graph.page_rank(nodes, frame(edges), graph.RankRules(max_iterations=2)).collect()
+    assert not any(r.converged for r in cut) and {r.iterations for r in cut} == {2}
+
+
 def test_average_linkage_matches_greedy(spark):
     rng = random.Random(11)
     n, floor = 14, 0.25
