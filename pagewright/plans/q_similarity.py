@@ -86,6 +86,18 @@ def _(t: Tables):
     return ops.weighted_jaccard_pairs(_weights(t), ["lang"], 0.3).withColumn("similarity", F.round("similarity", 6))
 
 
+_CW = {**_W, "w": "SELECT t.lang, doc_id, term, ln(1 + docs / df) AS w FROM t JOIN n USING (lang) JOIN d USING (lang, term) WHERE docs < 10 OR df <= docs * 0.25"}
+
+
+@query("topic_edges_below_ceiling", "L5 G4", cte(**_CW, v="SELECT w.* FROM w JOIN o USING (lang, doc_id)",
+ x="SELECT a.lang, a.doc_id AS l, b.doc_id AS r, sum(a.w) AS sw, count(*) AS n FROM v a JOIN v b ON a.lang = b.lang AND a.term = b.term AND a.doc_id < b.doc_id GROUP BY 1, 2, 3") + """
+SELECT x.lang, l AS "left", r AS "right", round(sw / (a.total + b.total - sw), 6) AS similarity, n::INTEGER AS shared FROM x JOIN o a ON a.doc_id = l AND a.lang = x.lang JOIN o b ON b.doc_id = r AND b.lang = x.lang WHERE sw / (a.total + b.total - sw) >= 0.16 AND n >= 2""")
+def _(t: Tables):
+    # The lower floor, without the terms that a quarter of a language's documents have.
+    terms = doc_terms(t).select("lang", F.col("doc_id").alias("doc"), "term")
+    return ops.weighted_jaccard_pairs(ops.term_weights(terms, ["lang"], ceiling=0.25), ["lang"], 0.16).withColumn("similarity", F.round("similarity", 6))
+
+
 @query("average_linkage_topics", "L6")
 def _(t: Tables):
     pairs = cut_lineage(ops.weighted_jaccard_pairs(_weights(t), ["lang"], 0.3))
