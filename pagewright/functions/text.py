@@ -201,11 +201,13 @@ REFERENCE_PATTERNS = (
     ("pmcid", r"(?i)\b(PMC[0-9]{4,9})\b"),
     ("pmid", r"(?i)\bPMID\s*:?[\s#]*([0-9]{1,9})\b"),
     ("url", r"(?i)(https?://[^\s)\]>]+)"),
+    ("numeric", r"\[([0-9]{1,3})\]"),
+    ("author-year", r"\(([A-ZÀ-Ž][\wÀ-ž'-]+(?:\s+et\s+al\.)?[,; ]+[0-9]{4})\)"),
 )
 
 
 def references(text: Column) -> Column:
-    """``kind:key`` strings of DOI, PMCID, PMID and URL mentions, distinct and sorted."""
+    """``kind:key`` strings of DOI, PMCID, PMID, URL, numbered and author-and-year mentions, distinct and sorted."""
 
     def keys(kind: str, pattern: str) -> Column:
         found = F.regexp_extract_all(text, F.lit(pattern), F.lit(1))

@@ -166,7 +166,7 @@ def _(t: Tables):
 
 
 @query("term_gaps", "G7", cte(**_T, o="SELECT site, page, term FROM t WHERE page % 2 = 0", c="SELECT site, page, term FROM t WHERE page % 2 = 1", m="SELECT site, term, count(*) AS df FROM o GROUP BY 1, 2", n="SELECT site, count(DISTINCT page) AS n FROM o GROUP BY 1", k="SELECT DISTINCT site, term FROM c") +
-"SELECT site, term, 'competitor-term' AS code, 0.0::DOUBLE AS coverage FROM k ANTI JOIN m USING (site, term) UNION ALL SELECT site, term, 'thin-subtopic', round(df / n, 6) FROM k JOIN m USING (site, term) JOIN n USING (site) WHERE df / n < 0.15")
+"SELECT k.site, k.term, 'competitor-term' AS code, 0.0::DOUBLE AS coverage FROM k LEFT JOIN m USING (site, term) WHERE m.df IS NULL UNION ALL SELECT site, term, 'thin-subtopic', round(df / n, 6) FROM k JOIN m USING (site, term) JOIN n USING (site) WHERE df / n < 0.15")
 def _(t: Tables):
     terms = _terms(t)
     return ops.term_gaps(terms.where("page % 2 = 0"), terms.where("page % 2 = 1")).withColumn("coverage", F.round("coverage", 6))
@@ -359,9 +359,9 @@ def _(t: Tables):
     return scores.divergence(x.where("(doc_id div 20) % 2 = 0"), x.where("(doc_id div 20) % 2 = 1"), ["source"]).withColumn("divergence", F.round("divergence", 6))
 
 
-@query("cannibalization_index", "D34", "WITH g AS (SELECT c_nationkey AS site, c_mktsegment, count(*) AS n FROM customer WHERE c_custkey % 3 = 0 GROUP BY 1, 2), e AS (SELECT c_nationkey AS site, count(*) AS e FROM customer GROUP BY 1), x AS (SELECT site, sum(n - 1) AS x FROM g GROUP BY 1) SELECT site, round(coalesce(x, 0) * 100 / e, 6) AS cannibal_index FROM e LEFT JOIN x USING (site)")
+@query("cannibalization_index", "D34", "WITH g AS (SELECT c_nationkey AS site, c_mktsegment, count(*) AS n FROM customer GROUP BY 1, 2), e AS (SELECT c_nationkey AS site, count(*) AS e FROM customer GROUP BY 1), x AS (SELECT site, sum(n - 1) AS x FROM g GROUP BY 1) SELECT site, round(coalesce(x, 0) * 100 / e, 6) AS cannibal_index FROM e LEFT JOIN x USING (site)")
 def _(t: Tables):
-    groups = t.customer.where("c_custkey % 3 = 0").groupBy(F.col("c_nationkey").alias("site"), "c_mktsegment").agg(F.count("*").alias("members"))
+    groups = t.customer.groupBy(F.col("c_nationkey").alias("site"), "c_mktsegment").agg(F.count("*").alias("members"))
     eligible = t.customer.groupBy(F.col("c_nationkey").alias("site")).agg(F.count("*").alias("eligible"))
     return scores.cannibal_index(groups, eligible, ["site"]).withColumn("cannibal_index", F.round("cannibal_index", 6))
 

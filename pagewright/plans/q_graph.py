@@ -14,13 +14,13 @@ _RULES = ops.RankRules(tolerance=1e-10)
 
 
 def _rank_sql(edges: str, p: str = "", nodes: str = "SELECT site_id, source AS node FROM e{p} UNION SELECT site_id, target FROM e{p}") -> dict[str, str]:
-    """Ranks as the sum of 200 passes along the links, made to sum to 1."""
+    """Ranks as the sum of 100 passes along the links, made to sum to 1."""
     return {
         f"e{p}": edges, f"w{p}": f"SELECT site_id, source, target, sum(weight) AS weight FROM e{p} GROUP BY ALL",
         f"nodes{p}": nodes.format(p=p), f"n{p}": f"SELECT site_id, count(*) AS n FROM nodes{p} GROUP BY 1",
         f"sh{p}": f"SELECT site_id, source, target, weight / sum(weight) OVER (PARTITION BY site_id, source) AS share FROM w{p}",
         f"t{p}(site_id, node, k, v)": f"SELECT site_id, node, 0, 1.0::DOUBLE / n FROM nodes{p} JOIN n{p} USING (site_id) UNION ALL "
-        f"SELECT s.site_id, s.target, k + 1, sum(0.85 * v * share) FROM t{p} t JOIN sh{p} s ON s.site_id = t.site_id AND s.source = t.node WHERE k < 200 GROUP BY s.site_id, s.target, k",
+        f"SELECT s.site_id, s.target, k + 1, sum(0.85 * v * share) FROM t{p} t JOIN sh{p} s ON s.site_id = t.site_id AND s.source = t.node WHERE k < 100 GROUP BY s.site_id, s.target, k",
         f"r{p}": f"SELECT site_id, node, x / sum(x) OVER (PARTITION BY site_id) AS rank FROM (SELECT site_id, node, sum(v) AS x FROM t{p} GROUP BY 1, 2)",
     }
 
@@ -109,7 +109,7 @@ def _(t: Tables):
 
 
 _CTX = """SELECT c.conv_id, c.turn, list_distinct(regexp_extract_all(lower(c.text || ' ' || n.text), '([\\p{L}\\p{N}]+)', 1)) AS w, list_distinct(regexp_extract_all(lower(b.text), '([\\p{L}\\p{N}]+)', 1)) AS k
-FROM conversations c JOIN conversations n ON n.conv_id = c.conv_id AND n.turn = c.turn + 1 JOIN benchmark b ON b.item_id = c.conv_id % 40"""
+FROM conversations c JOIN conversations n ON n.conv_id = c.conv_id AND n.turn = c.turn + 1 JOIN benchmark b ON b.item_id = c.conv_id % (SELECT count(*) FROM benchmark)"""
 
 
 @query("link_context_similarity", "K4", cte(x=_CTX) + "SELECT conv_id, turn, round(len(list_intersect(w, k)) / sqrt(len(w) * len(k)), 6) AS context_similarity FROM x WHERE len(w) > 0 AND len(k) > 0")
@@ -119,20 +119,19 @@ def _(t: Tables):
     c = t.conversations.select("conv_id", "turn", F.col("text").alias("before"))
     nxt = t.conversations.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("anchor"))
     topic = t.benchmark.select("item_id", F.array_distinct(text.words(F.col("text"))).alias("target_terms"))
-    rows = c.join(nxt, ["conv_id", "turn"]).join(topic, F.col("conv_id") % 40 == F.col("item_id")).withColumn("after", F.lit(None).cast("string"))
+    rows = c.join(nxt, ["conv_id", "turn"]).join(topic, F.col("conv_id") % t.benchmark.agg(F.count("*")).scalar() == F.col("item_id")).withColumn("after", F.lit(None).cast("string"))
     return ops.context_similarity(rows).select("conv_id", "turn", F.round("context_similarity", 6).alias("context_similarity"))
 
 
-_PAIRS = "SELECT DISTINCT o_custkey AS a, (o_custkey * 7 + o_orderkey % 3) % 4000 AS b FROM orders WHERE o_orderkey % 9 = o_custkey % 9"
+_PAIRS = "SELECT DISTINCT o_custkey AS a, (o_custkey * 7 + o_orderkey % 3) % 4000 AS b FROM orders"
 
 
-@query("connected_groups", "K7", """
-WITH RECURSIVE x AS (SELECT a, b FROM (""" + _PAIRS + """) UNION SELECT b, a FROM (""" + _PAIRS + """)), nodes AS (SELECT DISTINCT a AS node FROM x),
-r(node, seen) AS (SELECT node, node FROM nodes UNION SELECT r.node, x.b FROM r JOIN x ON x.a = r.seen)
+@query("connected_groups", "K7", _loops(x=f"SELECT a, b FROM ({_PAIRS}) UNION SELECT b, a FROM ({_PAIRS})", **{"r(node, k, seen)": """SELECT DISTINCT a, 0, a FROM x
+  UNION ALL SELECT node, k + 1, min(least(seen, coalesce(other, seen))) FROM (SELECT r.node, r.k, r.seen, o.seen AS other FROM r LEFT JOIN x ON x.a = r.node LEFT JOIN r o ON o.node = x.b) WHERE k < 60 GROUP BY node, k"""}) + """
 SELECT node, min(seen) AS component FROM r GROUP BY 1""")
 def _(t: Tables):
     a = F.col("o_custkey")
-    pairs = t.orders.where(F.col("o_orderkey") % 9 == a % 9).select(a.alias("a"), ((a * 7 + F.col("o_orderkey") % 3) % 4000).alias("b")).distinct()
+    pairs = t.orders.select(a.alias("a"), ((a * 7 + F.col("o_orderkey") % 3) % 4000).alias("b")).distinct()
     nodes = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node")))
     return ops.components(nodes, pairs)
 

@@ -232,16 +232,16 @@ def _(t: Tables):
 
 
 @query("top_set_changes", "G2", """
-WITH b AS (SELECT DISTINCT l_suppkey AS q, l_partkey % 150 AS u FROM lineitem WHERE l_linenumber = 3), a AS (SELECT DISTINCT l_suppkey AS q, l_partkey % 150 AS u FROM lineitem WHERE l_linenumber = 4), f AS (SELECT coalesce(a.q, b.q) AS query, a.u IS NULL AS gone, b.u IS NULL AS fresh FROM a FULL JOIN b ON a.q = b.q AND a.u = b.u)
+WITH b AS (SELECT DISTINCT l_suppkey AS q, l_partkey % 150 AS u FROM lineitem WHERE l_linenumber % 2 = 1), a AS (SELECT DISTINCT l_suppkey AS q, l_partkey % 150 AS u FROM lineitem WHERE l_linenumber % 2 = 0), f AS (SELECT coalesce(a.q, b.q) AS query, a.u IS NULL AS gone, b.u IS NULL AS fresh FROM a FULL JOIN b ON a.q = b.q AND a.u = b.u)
 SELECT query, count(*) FILTER (WHERE fresh)::BIGINT AS added, count(*) FILTER (WHERE gone)::BIGINT AS removed FROM f GROUP BY 1""")
 def _(t: Tables):
-    row = lambda n: t.lineitem.where(F.col("l_linenumber") == n).select(F.col("l_suppkey").alias("query"), (F.col("l_partkey") % 150).alias("url"))
-    return ops.set_change(row(3), row(4), ["query"], "url")
+    row = lambda n: t.lineitem.where(F.col("l_linenumber") % 2 == n).select(F.col("l_suppkey").alias("query"), (F.col("l_partkey") % 150).alias("url"))
+    return ops.set_change(row(1), row(0), ["query"], "url")
 
 
 @query("entity_changes", "G3", """
-WITH w AS (SELECT source, doc_id, unnest(regexp_extract_all(text, '([\\p{L}]{5,})', 1)) AS entity FROM documents), b AS (SELECT source, replace(strip_accents(lower(entity)), 'ß', 'ss') AS k, max(entity) AS entity FROM w WHERE doc_id % 2 = 0 GROUP BY 1, 2), a AS (SELECT source, replace(strip_accents(lower(entity)), 'ß', 'ss') AS k, max(entity) AS entity FROM w WHERE doc_id % 2 = 1 GROUP BY 1, 2)
-SELECT source, entity, 'new' AS code FROM a WHERE (source, k) NOT IN (SELECT (source, k) FROM b) UNION ALL SELECT source, entity, 'lost' FROM b WHERE (source, k) NOT IN (SELECT (source, k) FROM a)""")
+WITH w AS MATERIALIZED (SELECT source, doc_id, unnest(regexp_extract_all(text, '([\\p{L}]{5,})', 1)) AS entity FROM documents), b AS MATERIALIZED (SELECT source, replace(strip_accents(lower(entity)), 'ß', 'ss') AS k, max(entity) AS entity FROM w WHERE doc_id % 2 = 0 GROUP BY 1, 2), a AS MATERIALIZED (SELECT source, replace(strip_accents(lower(entity)), 'ß', 'ss') AS k, max(entity) AS entity FROM w WHERE doc_id % 2 = 1 GROUP BY 1, 2)
+SELECT a.source, a.entity, 'new' AS code FROM a LEFT JOIN b USING (source, k) WHERE b.entity IS NULL UNION ALL SELECT b.source, b.entity, 'lost' FROM b LEFT JOIN a USING (source, k) WHERE a.entity IS NULL""")
 def _(t: Tables):
     w = t.documents.select("source", "doc_id", F.explode(F.regexp_extract_all("text", F.lit(r"([\p{L}]{5,})"), F.lit(1))).alias("entity"))
     return ops.entity_changes(w.where("doc_id % 2 = 0"), w.where("doc_id % 2 = 1"), ["source"])

@@ -45,42 +45,90 @@ def _(t: Tables):
 
 
 def _claim_docs(t: Tables):
+    """Every document with a claim, or none, written after its text."""
     d = F.col("doc_id")
-    lead = F.concat(F.lit("A trial found "), d % 90, F.lit(" percent."), F.when(d % 3 == 0, F.concat(F.lit(" See https://r.example/"), d % 20, F.lit("."))).when(d % 3 == 1, F.lit(" Nothing more.")).otherwise(F.concat(F.lit(" Data PMID: "), d % 30 + 1, F.lit(" agree."))))
-    return t.documents.select("doc_id", lead.alias("text"))
-
-
-@query("claim_citations", "C29", """
-WITH c AS (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'url:https://r.example/' || (doc_id % 20) WHEN 2 THEN 'pmid:' || (doc_id % 30 + 1) END AS ref FROM documents), s AS (SELECT 'url:https://r.example/' || n AS ref, n % 2 = 0 AS ok FROM generate_series(0, 14) g(n))
-SELECT doc_id, 0::INTEGER AS pos, CASE WHEN c.ref IS NULL THEN 'unmatched' ELSE 'adjacent-sentence' END AS relation, (c.ref IS NOT NULL)::BIGINT AS refs, (s.ok IS NOT NULL)::BIGINT AS known, s.ok AS supported FROM c LEFT JOIN s USING (ref)""")
+    end = (
+        F.when(d % 6 == 0, F.concat(F.lit(". A study of 40 patients (Smith et al., 2019) agrees with ["), d % 12, F.lit("].")))
+        .when(d % 6 == 1, F.concat(F.lit(". The dose was 12 mg. See https://r.example/"), d % 20, F.lit(".")))
+        .when(d % 6 == 2, ". Risk fell by 30 %. Nothing more.").when(d % 6 == 3, ". Research agrees. PMID: 77 says so.")
+        .when(d % 6 == 4, F.concat(F.lit(". Badania trwały 5 lat. Dane PMID: "), d % 30 + 1, F.lit(" są.")))
+        .otherwise(".")
+    )
+    return t.documents.select("doc_id", F.concat("text", end).alias("text"))
+
+
+_CLAIM_TEXTS = """SELECT doc_id, text || CASE doc_id % 6 WHEN 0 THEN '. A study of 40 patients (Smith et al., 2019) agrees with [' || (doc_id % 12) || '].'
+  WHEN 1 THEN '. The dose was 12 mg. See https://r.example/' || (doc_id % 20) || '.' WHEN 2 THEN '. Risk fell by 30 %. Nothing more.' WHEN 3 THEN '. Research agrees. PMID: 77 says so.'
+  WHEN 4 THEN '. Badania trwały 5 lat. Dane PMID: ' || (doc_id % 30 + 1) || ' są.' ELSE '.' END AS x FROM documents"""
+_STRIP = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+_REFS = r"""list_sort(list_distinct(list_concat(list_concat(
+  list_transform(regexp_extract_all({0}, '(?i)\\b(10\\.[0-9]{{4,9}}/[-._;()/:A-Z0-9]+)\\b', 1), lambda y: 'doi:' || lower(regexp_replace(y, '[.,;:]+$', ''))), list_transform(regexp_extract_all({0}, '(?i)\\b(PMC[0-9]{{4,9}})\\b', 1), lambda y: 'pmcid:' || lower(y))),
+  list_concat(list_concat(list_transform(regexp_extract_all({0}, '(?i)\\bPMID\\s*:?[\\s#]*([0-9]{{1,9}})\\b', 1), lambda y: 'pmid:' || y), list_transform(regexp_extract_all({0}, '(?i)(https?://[^\\s)\\]>]+)', 1), lambda y: 'url:' || lower(regexp_replace(y, '[.,;:]+$', '')))),
+  list_concat(list_transform(regexp_extract_all({0}, '\\[([0-9]{{1,3}})\\]', 1), lambda y: 'numeric:' || y), list_transform(regexp_extract_all({0}, '\\(([A-ZÀ-Ž][\\wÀ-ž''-]+(?:\\s+et\\s+al\\.)?[,; ]+[0-9]{{4}})\\)', 1), lambda y: 'author-year:' || lower(y)))))))""".replace("\\\\", "\\")
+
+
+@query("claim_citations", "C29 H26", cte(
+    x=_CLAIM_TEXTS,
+    s=f"SELECT doc_id, list_filter(list_transform(string_split(regexp_replace(x, '([.!?…。！？])\\s+', '\\1' || chr(1), 'g'), chr(1)), lambda y: trim(y, {_STRIP})), lambda y: y <> '') AS s FROM x",
+    e="SELECT doc_id, s, unnest(s) AS sentence, generate_subscripts(s, 1) AS i FROM s",
+    c=r"""SELECT * FROM e WHERE regexp_matches(sentence, '(?i)\b(?:study|studies|research|trial|patients?|risk|odds|caus(?:e|es|ed|al)|treatment|dose|mg|percent|%|badania|pacjent|ryzyko|dawka|skutek)\b|\d+(?:[.,]\d+)?\s*(?:%|mg|kg|lat|years?|dni|days?)')""",
+    r=f"SELECT doc_id, i, {_REFS.format('sentence')} AS own, list_distinct(list_concat({_REFS.format('coalesce(s[nullif(i - 1, 0)], chr(32))')}, {_REFS.format('coalesce(s[i + 1], chr(32))')})) AS near FROM c",
+    q="SELECT doc_id, i, CASE WHEN len(own) > 0 THEN 'same-sentence' WHEN len(near) > 0 THEN 'adjacent-sentence' ELSE 'unmatched' END AS relation, CASE WHEN len(own) > 0 THEN own ELSE near END AS refs FROM r",
+    k="SELECT 'url:https://r.example/' || s_suppkey AS ref, s_suppkey % 2 = 0 AS ok FROM supplier WHERE s_suppkey < 15 UNION ALL SELECT 'numeric:' || s_suppkey, s_suppkey % 4 = 1 FROM supplier WHERE s_suppkey < 9",
+) + """
+SELECT doc_id, (i - 1)::INTEGER AS pos, relation, len(refs)::BIGINT AS refs, count(k.ref)::BIGINT AS known, bool_or(k.ok) AS supported
+FROM (SELECT q.*, unnest(CASE WHEN len(refs) = 0 THEN [NULL] ELSE refs END) AS ref FROM q) u LEFT JOIN k USING (ref) GROUP BY doc_id, i, relation, len(refs)""")
 def _(t: Tables):
-    sources = t.supplier.where("s_suppkey < 15").select(F.concat(F.lit("url:https://r.example/"), "s_suppkey").alias("ref"), (F.col("s_suppkey") % 2 == 0).alias("supports"))
-    return ops.claims(_claim_docs(t), sources)
+    n = F.col("s_suppkey")
+    web = t.supplier.where(n < 15).select(F.concat(F.lit("url:https://r.example/"), n).alias("ref"), (n % 2 == 0).alias("supports"))
+    listed = t.supplier.where(n < 9).select(F.concat(F.lit("numeric:"), n).alias("ref"), (n % 4 == 1).alias("supports"))
+    return ops.claims(_claim_docs(t), web.union(listed))
 
 
 @query("claim_source_overlap", "L26", """
-WITH p AS (SELECT item_id, list_distinct(regexp_extract_all(lower(b.text), '([\\p{L}\\p{N}]+)', 1)) AS c, regexp_extract_all(lower(d.text), '([\\p{L}\\p{N}]+)', 1) AS s FROM benchmark b JOIN documents d ON d.doc_id % 40 = item_id), o AS (SELECT item_id, len(list_filter(c, lambda x: list_contains(s, x))) / len(c) AS v FROM p WHERE len(c) > 0)
+WITH p AS (SELECT item_id, list_distinct(regexp_extract_all(lower(b.text), '([\\p{L}\\p{N}]+)', 1)) AS c, regexp_extract_all(lower(d.text), '([\\p{L}\\p{N}]+)', 1) AS s FROM benchmark b JOIN documents d ON d.doc_id % (SELECT count(*) FROM benchmark) = item_id), o AS (SELECT item_id, len(list_filter(c, lambda x: list_contains(s, x))) / len(c) AS v FROM p WHERE len(c) > 0)
 SELECT item_id, CASE WHEN v >= 0.6 THEN 'supported' WHEN v >= 0.3 THEN 'partial' ELSE 'unsupported' END AS band, count(*)::BIGINT AS n FROM o GROUP BY 1, 2""")
 def _(t: Tables):
-    j = t.benchmark.select("item_id", F.col("text").alias("c")).join(t.documents.select((F.col("doc_id") % 40).alias("item_id"), F.col("text").alias("s")), "item_id")
+    j = t.benchmark.select("item_id", F.col("text").alias("c")).join(t.documents.select((F.col("doc_id") % t.benchmark.agg(F.count("*")).scalar()).alias("item_id"), F.col("text").alias("s")), "item_id")
     return j.select("item_id", ops.claim_overlap(F.col("c"), F.col("s"))[1].alias("band")).where("band IS NOT NULL").groupBy("item_id", "band").agg(F.count("*").alias("n"))
 
 
-@query("mention_stances", "H27 C31", """
-WITH p AS (SELECT doc_id, doc_id % 5 AS k FROM documents)
-SELECT doc_id, doc_id::INTEGER AS pos, k = 1 AS linked, CASE k WHEN 0 THEN 'neutral' WHEN 1 THEN 'critical' WHEN 2 THEN 'negated' ELSE 'quoted' END AS stance FROM p WHERE k < 4""")
+_NAMES = r"(^|[^\p{L}\p{N}])(la|C\+\+)($|[^\p{L}\p{N}])"
+_TOKEN = r"[^\p{L}\p{N}''’-]"
+_CUES = dict(
+    critical="|".join(ops.CRITICAL_STEMS[:-3]).replace("'", "''"), anywhere="|".join(ops.CRITICAL_STEMS[-3:]),
+    negated="|".join(w.replace("'", "['']") for w in ops.NEGATIONS).replace("['']", "[''’]"), unspaced=ops.NEGATIONS_UNSPACED,
+)
+
+
+@query("mention_stances", "H27 C31", cte(
+    x="SELECT doc_id, text || CASE doc_id % 5 WHEN 0 THEN chr(10) || 'C++ is a fraud de facto.' WHEN 1 THEN chr(10) || 'Staff of C++ said de.' WHEN 2 THEN chr(10) || 'It doesn''t need C++ de.' ELSE '' END AS x FROM documents",
+    p="SELECT doc_id, generate_subscripts(p, 1) - 1 AS pos, unnest(p) AS p FROM (SELECT doc_id, string_split_regex(x, '\\n+') AS p FROM x)".replace("\\\\", "\\"),
+    h=rf"SELECT * FROM p WHERE regexp_matches(p, '(?i){_NAMES}') AND regexp_matches(p, '(?i)(^|[^\p{{L}}\p{{N}}])(de)($|[^\p{{L}}\p{{N}}])')",
+    s="SELECT doc_id, pos, unnest(string_split(regexp_replace(p, '([.!?…。！？])\\s+', '\\1' || chr(1), 'g'), chr(1))) AS s FROM h".replace("\\\\", "\\"),
+    r=rf"""SELECT doc_id, pos, CASE WHEN regexp_matches(s, '(?i)(^|{_TOKEN})({_CUES['critical']})|{_CUES['anywhere']}') THEN 3
+  WHEN regexp_matches(s, '(?i)(^|{_TOKEN})({_CUES['negated']})($|{_TOKEN})|\p{{L}}n[''’]t($|{_TOKEN})') OR regexp_matches(s, '{_CUES['unspaced']}') THEN 2
+  WHEN regexp_matches(s, '(?i)\b(?:according to|said|says|claims?|allegedly)\b|według|zdaniem|twierdzi|podobno|\blaut\b|\bselon\b|\bsegún\b|\bsecondo\b|\bsegundo\b|по словам|据|によると|에 따르면')
+    OR regexp_matches(s, '(?i)["„“«「『][^"”»」』]*(?:la|C\+\+)[^"”»」』]*["”»」』]') THEN 1 ELSE 0 END AS r FROM s WHERE regexp_matches(s, '(?i){_NAMES}')""",
+) + "SELECT h.doc_id, h.pos::INTEGER AS pos, h.doc_id % 2 = 0 AS linked, ['neutral', 'quoted', 'negated', 'critical'][coalesce(max(r), 0) + 1] AS stance FROM h LEFT JOIN r USING (doc_id, pos) GROUP BY 1, 2")
 def _(t: Tables):
-    k = F.col("doc_id") % 5
-    body = F.when(k == 0, "Acme builds a rotor.").when(k == 1, "Good rotor. Acme is a scam with no rotor.").when(k == 2, "Acme does not sell a rotor.").when(k == 3, "According to staff Acme has the rotor.").otherwise("Acmeville has a rotor.")
-    return ops.cocitations(t.documents.select("doc_id", F.col("doc_id").cast("int").alias("pos"), body.alias("paragraph"), (k == 1).alias("linked")), ["Acme"], "rotor")
+    # Every line of every document that names la (or a name full of signs) next to de; the cues are the texts' own words.
+    d = F.col("doc_id")
+    more = F.when(d % 5 == 0, "\nC++ is a fraud de facto.").when(d % 5 == 1, "\nStaff of C++ said de.").when(d % 5 == 2, "\nIt doesn't need C++ de.").otherwise("")
+    rows = t.documents.select("doc_id", F.posexplode(F.split(F.concat("text", more), r"\n+")).alias("pos", "paragraph"), (d % 2 == 0).alias("linked"))
+    return ops.cocitations(rows, ["la", "C++"], "de")
 
 
 @query("anchor_contexts", "C30", """
-SELECT p_partkey AS link, CASE WHEN p_partkey >= 1500 THEN 'source-missing' WHEN p_partkey % 3 = 0 THEN 'located' WHEN p_partkey % 3 = 1 THEN 'ambiguous' ELSE 'not-found' END AS state, CASE WHEN p_partkey < 1500 AND p_partkey % 3 = 0 THEN 'read Blue (x) now' END AS excerpt FROM part""")
+WITH l AS (SELECT doc_id AS link, CASE WHEN doc_id % 7 = 0 THEN -1 ELSE doc_id END AS source, CASE WHEN doc_id % 5 = 0 THEN 'qqzz \\E(' ELSE ' ' || lower(substr(text, 21, 4 + (doc_id % 16)::INTEGER)) || ' ' END AS anchor FROM documents),
+j AS (SELECT link, d.text, lower(d.text) AS low, trim(anchor) AS a, lower(trim(anchor)) AS needle FROM l LEFT JOIN documents d ON d.doc_id = l.source),
+h AS (SELECT *, CASE WHEN text IS NULL THEN 'source-missing' WHEN needle = '' THEN 'not-found' WHEN (length(low) - length(replace(low, needle, ''))) // length(needle) = 1 THEN 'located' WHEN (length(low) - length(replace(low, needle, ''))) // length(needle) > 1 THEN 'ambiguous' ELSE 'not-found' END AS state FROM j)
+SELECT link, state, CASE WHEN state = 'located' THEN substr(text, greatest(strpos(low, needle) - 40, 1), length(a) + 80) END AS excerpt FROM h""".replace("\\\\", "\\"))
 def _(t: Tables):
-    k = F.col("c_custkey")
-    docs = t.customer.select(k.alias("source"), F.when(k % 3 == 0, "read Blue (x) now").when(k % 3 == 1, "blue (x) and BLUE (X)").otherwise("nothing").alias("text"))
-    return ops.anchor_context(t.part.select(F.col("p_partkey").alias("link"), F.col("p_partkey").alias("source"), F.lit(" blue (X) ").alias("anchor")), docs)
+    d = F.col("doc_id")
+    anchor = F.when(d % 5 == 0, "qqzz \\E(").otherwise(F.concat(F.lit(" "), F.lower(F.substring("text", F.lit(21), (4 + d % 16).cast("int"))), F.lit(" ")))
+    links = t.documents.select(d.alias("link"), F.when(d % 7 == 0, -1).otherwise(d).alias("source"), anchor.alias("anchor"))
+    return ops.anchor_context(links, t.documents.select(d.alias("source"), "text"))
 
 
 @query("phrase_evidence", "H17", """
@@ -89,13 +137,16 @@ def _(t: Tables):
     return ops.phrase_evidence(t.documents, "of the", {"body": "text"}).select("doc_id", "in_body")
 
 
-@query("evidence_densities", "H25", """
-WITH d AS (SELECT c_custkey, c_custkey % 4 AS q, c_custkey % 3 AS f, 500 + c_custkey % 4000 AS w FROM customer)
-SELECT c_custkey, round(least(1, (1 + 0.5 * q) / greatest(1, w / 1000) / 3), 6) AS evidence, round(f / 3, 6) AS first_hand FROM d""")
+@query("evidence_densities", "H25", r"""
+WITH x AS (SELECT doc_id, len(string_split(text, ' ')) AS w, text || '. doi 10.1234/ab ' || repeat('12 kg, ', (doc_id % 4)::INTEGER) || repeat('We tested it. ', (doc_id % 3)::INTEGER) || CASE WHEN doc_id % 5 = 0 THEN 'for €30 and 4,5 zł, so' ELSE '' END AS x FROM documents),
+c AS (SELECT doc_id, w, len(regexp_extract_all(x, '(?i)\b10\.\d{4,9}/[^\s"<>]+')) + len(regexp_extract_all(x, '(?i)\bPMID:?\s*\d{4,9}\b')) AS refs,
+  len(regexp_extract_all(x, '(?:^|[^\p{L}\p{N}.,/])\d+(?:[.,]\d+)?\s?(?:%|°[CF]|k?g|mg|km|cm|mm|m|ms|min|h|kWh|W|MB|GB|px|zł|PLN|EUR|USD|[$€£])(?:$|[^\p{L}\p{N}])')) + len(regexp_extract_all(x, '[$€£]\s?\d+(?:[.,]\d+)?(?:$|[^\p{L}\p{N}])')) AS q,
+  len(regexp_extract_all(x, '(?i)\b(?:we|i)\s+(?:tested|measured|ran|benchmarked|interviewed|surveyed|built)\b')) + len(regexp_extract_all(x, '(?i)\b(?:przetestowa|zmierzy|sprawdzi|zbadali|przeprowadzi)')) + len(regexp_extract_all(x, '(?i)\bin our (?:test|study|experiment|survey)s?\b')) AS f FROM x)
+SELECT doc_id, round(least(1, (refs + 0.5 * q) / greatest(1, w / 1000) / 3), 6) AS evidence, round(least(1, f / 3), 6) AS first_hand FROM c""")
 def _(t: Tables):
-    c = F.col("c_custkey")
-    body = F.concat(F.lit("doi 10.1234/ab "), F.repeat(F.lit("12 kg, "), (c % 4).cast("int")), F.repeat(F.lit("we tested it. "), (c % 3).cast("int")))
-    return t.customer.select("c_custkey", F.round(ops.evidence_density(body, 500 + c % 4000), 6).alias("evidence"), F.round(ops.first_hand(body), 6).alias("first_hand"))
+    d = F.col("doc_id")
+    body = F.concat("text", F.lit(". doi 10.1234/ab "), F.repeat(F.lit("12 kg, "), (d % 4).cast("int")), F.repeat(F.lit("We tested it. "), (d % 3).cast("int")), F.when(d % 5 == 0, "for €30 and 4,5 zł, so").otherwise(""))
+    return t.documents.select("doc_id", F.round(ops.evidence_density(body, F.size(F.split("text", " "))), 6).alias("evidence"), F.round(ops.first_hand(body), 6).alias("first_hand"))
 
 
 @query("entity_candidates", "H31", r"""
