@@ -58,52 +58,6 @@ def _word_pattern(words: tuple[str, ...]) -> str:
     return rf"(?iu)(?<!{_EDGE})(?:" + "|".join(re.escape(w).replace("'", "['’]") for w in words) + rf")(?!{_EDGE})"
 
 
-def _words(c: Column) -> Column:
-    return F.filter(F.split(c, r"\s+"), lambda w: w != "")
-
-
-def chunks(docs: DataFrame, target: int = 180, limit: int = 250, overlap: int = 30, key: str = "doc_id", body: str = "text") -> DataFrame:
-    """Sentence windows of about ``target`` words, never above ``limit`` unless one sentence is, with repeated tail words.
-
-    Windows depend on the ones before them, so they are folded along the sentences inside each row; rows stay parallel.
-    """
-    sents = F.transform(text.sentences(_c(body)), lambda s: F.struct(s.alias("s"), F.size(_words(s)).alias("n")))
-    empty = F.array().cast("array<string>")
-
-    def step(acc: Column, x: Column) -> Column:
-        full = (acc["n"] > acc["carry"]) & ((acc["n"] >= target) | (acc["n"] + x["n"] > limit))
-        tail = F.array_join(F.slice(_words(F.array_join(acc["cur"], " ")), F.greatest(acc["n"] - overlap + 1, F.lit(1)), F.lit(overlap)), " ")
-        kept = F.least(acc["n"], F.lit(overlap))
-        return F.when(full, F.struct(
-            F.concat(acc["out"], F.array(F.array_join(acc["cur"], " "))).alias("out"), F.array(tail, x["s"]).alias("cur"), (kept + x["n"]).alias("n"), kept.alias("carry"),
-        )).otherwise(F.struct(acc["out"].alias("out"), F.concat(acc["cur"], F.array(x["s"])).alias("cur"), (acc["n"] + x["n"]).alias("n"), acc["carry"].alias("carry")))
-
-    start = F.struct(empty.alias("out"), empty.alias("cur"), F.lit(0).alias("n"), F.lit(0).alias("carry"))
-    done = F.aggregate(sents, start, step, lambda a: F.when(a["n"] > a["carry"], F.concat(a["out"], F.array(F.array_join(a["cur"], " ")))).otherwise(a["out"]))
-    rows = docs.select(key, *[c for c in ("lang",) if c in docs.columns], F.posexplode(done).alias("pos", "chunk"))
-    return rows.withColumn("words", F.size(_words(_c("chunk"))))
-
-
-def chunk_scores(rows: DataFrame, key: str = "doc_id") -> DataFrame:
-    """0-100 per passage: .40 stands alone, .35 facts, .25 answers first; with issue codes."""
-    first = F.get(text.sentences(_c("chunk")), F.lit(0))
-    leading = F.lower(F.regexp_extract(first, r"^\W*([\p{L}']+)", 1))
-    dangling = leading.isin("it", "this", "that", "these", "those", "they", "he", "she", "such", "il", "elle", "ce", "cela", "es", "er", "sie", "dies")
-    facts = F.regexp_count("chunk", F.lit(r"\b[0-9]+(?:[.,][0-9]+)?\b"))
-    alone = F.when(dangling, 0.4).otherwise(1.0)
-    dense = F.least(F.lit(1.0), facts / F.greatest(_c("words") / 100.0, F.lit(1.0)) / 3.0)
-    answer = F.when(F.size(_words(first)) <= 30, 1.0).otherwise(0.5)
-    score = F.floor((0.40 * alone + 0.35 * dense + 0.25 * answer) * 1000 + 0.5) / 10
-    codes = F.array_compact(F.array(F.when(dangling, "leading-pronoun"), F.when(facts == 0, "no-facts"), F.when(F.size(_words(first)) > 30, "long-lead")))
-    return rows.select(key, "pos", "words", score.alias("score"), codes.alias("codes"))
-
-
-def page_readiness(scored: DataFrame, extractability: DataFrame, key: str = "doc_id") -> DataFrame:
-    """.80 mean passage score and .20 extractability of each page."""
-    per = scored.groupBy(key).agg(F.avg("score").alias("mean"), F.count("*").alias("chunks"))
-    return per.join(extractability, key, "left").select(key, "chunks", (F.floor((0.8 * _c("mean") + 0.2 * F.coalesce("extractability", _c("mean"))) * 10 + 0.5) / 10).alias("readiness"))
-
-
 def weak_passages(scored: DataFrame, below: float = 50, limit: int = 5, key: str = "doc_id") -> DataFrame:
     return shapes.top_k(scored.where(_c("score") < below), [key], limit, _c("score"), _c("pos"))
 

@@ -290,7 +290,7 @@ INTENT_WORDS = {
 }
 
 
-#: What speaks for an intent: (intent, feature, enough of it, weight, feature without which it doesn't count).
+# What speaks for an intent: (intent, feature, enough of it, weight, feature without which it doesn't count).
 INTENT_SIGNS = (
     ("definitional", "definitional_heading", 1, 0.8, None), ("definitional", "long_text", 1, 0.2, "definitional_heading"),
     ("how-to", "how-to_heading", 1, 0.5, None), ("how-to", "ordered_lists", 1, 0.5, None),

@@ -462,6 +462,20 @@ def _(t: Tables):
     return scores.structure_alignment(_formats(t), {"tables": 3.0, "lists": 2.0, "videos": 1.0}).select("query", "page", "score")
 
 
-@query("page_micro_intents", "H29")
+_HEAD = "lower(trim(regexp_replace(replace(replace(replace(regexp_extract(html, '<{0}>([^<]*)</{0}>', 1), '&amp;', '&'), '&copy;', '©'), '&middot;', '·'), '\\s+', ' ', 'g')))".replace("\\\\", "\\")
+
+
+def _has(intent: str) -> str:
+    return f"(CASE WHEN regexp_matches(t, '{scores.INTENT_WORDS[intent].replace(chr(39), chr(39) * 2)}') THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END)"
+
+
+@query("page_micro_intents", "H29", rf"""
+WITH b AS (SELECT page_id, {_HEAD.format('title')} || ' ' || {_HEAD.format('h1')} AS t, len(list_filter(regexp_split_to_array(trim(regexp_replace(regexp_extract(html, '<article>(.*)</article>', 1, 's'), '<[^>]*>', ' ', 'g')), '\s+'), lambda x: x <> '')) AS words FROM pages),
+h AS (SELECT page_id, words, {_has('definitional')} AS d, {_has('how-to')} AS h, {_has('troubleshooting')} AS r, {_has('comparison')} AS c, {_has('curated-list')} AS l FROM b),
+s AS (SELECT page_id, list_sort([struct_pack(s := 0.8 * d + CASE WHEN d > 0 AND words >= 300 THEN 0.2 ELSE 0.0 END, o := 0, n := 'definitional'), struct_pack(s := 0.5 * h, o := -1, n := 'how-to'), struct_pack(s := 0.7 * r, o := -2, n := 'troubleshooting'),
+  struct_pack(s := 0.5 * c, o := -3, n := 'comparison'), struct_pack(s := 0.6 * l + 0.1, o := -4, n := 'curated-list')], 'DESC') AS k FROM h),
+x AS (SELECT page_id, k[1] AS top, list_transform(list_filter(k[2:], lambda y: y.s >= 0.3 AND y.s >= k[1].s * 0.8), lambda y: y.n) AS rivals FROM s)
+SELECT page_id, CASE WHEN top.s >= 0.3 THEN top.n END AS intent, CASE WHEN top.s >= 0.3 THEN array_to_string(rivals, ',') END AS mixed, round(top.s, 4) AS score,
+  CASE WHEN top.s >= 0.3 THEN floor(top.s * CASE WHEN len(rivals) > 0 THEN 0.8 ELSE 1 END * 100 + 0.5) / 100 ELSE 0.0 END AS confidence FROM x""")
 def _(t: Tables):
     return scores.micro_intents(extract.page_features(extract.parse(t.pages)))

@@ -63,7 +63,12 @@ def _(t: Tables):
     return ex.choose_control(every, _series(t)).select("exp", "control", F.round("r2", 6).alias("r2"))
 
 
-@query("impact_backtest", "O4")
+_TRIED = "w0 AS (" + _ROWS + "), w AS (SELECT exp * 100 + o AS exp, date, x, y, date >= start - o AS post FROM w0, (VALUES (14), (21)) v(o) WHERE NOT post)"
+
+
+@query("impact_backtest", "O4", _IMPACT.replace(f"w AS ({_ROWS})", _TRIED).split("\nSELECT exp, n::BIGINT")[0] + """
+, g AS (SELECT exp // 100 AS exp, est - t * sd > 0 OR est + t * sd < 0 AS wrong FROM y WHERE len(a1) + len(a2) = 0)
+SELECT e.exp, count(wrong)::BIGINT AS runs, count(*) FILTER (wrong)::BIGINT AS false_positives, CASE WHEN count(wrong) = 0 THEN 'not-estimable' WHEN count(*) FILTER (wrong) > 0 THEN 'failed' ELSE 'passed' END AS status FROM e LEFT JOIN g USING (exp) GROUP BY 1""")
 def _(t: Tables):
     rows = ex.align_series(_experiments(t), _series(t), _RULES)
     return ex.backtest(rows, _experiments(t).select("exp", "start"), rules=_RULES)

@@ -5,25 +5,58 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from pagewright.functions import text
-from pagewright.operators import passages as ops, scores, similarity
+from pagewright.operators import extract, passages as ops, readiness, scores, similarity
 from pagewright.plans.inputs import TERMS_SQL, cte, doc_terms
+from pagewright.plans.q_similarity import _NEAR
 from pagewright.plans.registry import Tables, query
 
 
+def _lines(t: Tables):
+    """Documents as one section each, their lines as paragraphs, the first words as heading."""
+    return t.documents.select("doc_id", "lang", F.lit(0).alias("section"), F.substring("text", 1, 24).alias("heading"), F.lit(2).alias("level"), F.filter(F.split("text", r"\n"), lambda p: p != "").alias("paragraphs"))
+
+
+@query("passage_windows", "L21", r"""
+WITH RECURSIVE p AS (SELECT doc_id, list_filter(string_split(text, chr(10)), lambda x: x <> '') AS p FROM documents),
+n AS (SELECT doc_id, unnest(p) AS x, generate_subscripts(p, 1) AS i FROM p),
+s AS MATERIALIZED (SELECT doc_id, i, len(regexp_extract_all(regexp_replace(x, '[\p{P}\p{S}]', ' ', 'g'), '[^\s\x0B]+')) AS n FROM n),
+f(doc_id, i, w, total, last, back) AS (
+  SELECT doc_id, i, 0, n, n, 0 FROM s WHERE i = 1
+  UNION ALL SELECT s.doc_id, s.i, CASE WHEN total + n > 300 THEN w + 1 ELSE w END, CASE WHEN total + n > 300 THEN n + CASE WHEN last <= 60 THEN last ELSE 0 END ELSE total + n END, n,
+    CASE WHEN total + n > 300 AND last <= 60 THEN 1 ELSE 0 END FROM f JOIN s ON s.doc_id = f.doc_id AND s.i = f.i + 1)
+SELECT doc_id, w::INTEGER AS "window", (max(i) - min(i) + 1 + max(back))::INTEGER AS paragraphs, arg_max(total, i)::INTEGER AS tokens FROM f GROUP BY doc_id, w""")
+def _(t: Tables):
+    return readiness.section_windows(_lines(t)).select("doc_id", "window", F.size("paragraphs").alias("paragraphs"), "tokens")
+
+
 @query("passage_chunks", "L21")
 def _(t: Tables):
-    return ops.chunks(t.documents)
+    return readiness.sentence_windows(_lines(t)).drop("paragraphs")
 
 
 @query("passage_scores", "L22")
 def _(t: Tables):
-    return ops.chunk_scores(ops.chunks(t.documents)).withColumn("codes", F.array_join("codes", ","))
+    rows = readiness.window_scores(readiness.sentence_windows(_lines(t)), readiness.rules_table(t.spark))
+    return rows.withColumn("codes", F.array_join("codes", ",")).withColumn("fact_density", F.round("fact_density", 9))
+
+
+@query("page_readiness", "L23 F10")
+def _(t: Tables):
+    # Sections of the pages' own markup: windows are scored, structure counts a fifth.
+    from pagewright.session import cut_lineage
+
+    sections = cut_lineage(extract.sections(extract.parse(t.pages)))
+    lang = F.regexp_extract("html", r'<html lang="([a-z]+)', 1).alias("lang")
+    windows = readiness.sentence_windows(sections.join(t.pages.select("page_id", lang), "page_id"))
+    scored = readiness.window_scores(windows, readiness.rules_table(t.spark))
+    return readiness.page_scores(scored, readiness.extractability(sections)).withColumn("weak_windows", F.size("weak_windows")).withColumn("extractability", F.round("extractability", 6))
 
 
-@query("page_readiness", "L23")
+@query("page_extractability", "L23", """
+WITH h AS (SELECT page_id, html LIKE '%<table%' AS tables, len(regexp_extract_all(html, '<h[23][ >]')) AS outline FROM pages)
+SELECT page_id, round(0.3 * tables::INT + 0.2 * least(1, outline / 4), 6)::DOUBLE AS extractability FROM h""")
 def _(t: Tables):
-    extract = t.documents.select("doc_id", (F.col("n_chars") % 101).cast("double").alias("extractability"))
-    return ops.page_readiness(ops.chunk_scores(ops.chunks(t.documents)), extract)
+    return readiness.extractability(extract.sections(extract.parse(t.pages))).withColumn("extractability", F.round("extractability", 6))
 
 
 _PS = "SELECT l_orderkey AS doc_id, l_linenumber AS pos, l_quantity * 2 AS score FROM lineitem"
@@ -190,11 +223,16 @@ def _(t: Tables):
     return ops.centroid_shift(a, b).withColumn("shift", F.round("shift", 6))
 
 
-@query("passage_zones", "L18")
+@query("passage_zones", "L18", """
+WITH e AS (SELECT vec_id AS id, label, embedding::DOUBLE[] AS v FROM embeddings), n AS (SELECT a.id, max(round(list_cosine_similarity(a.v, b.v), 9)) AS nearest FROM e a JOIN e b ON a.id % 5 = 0 AND b.id % 5 <> 0 GROUP BY 1),
+u AS (SELECT label, list_transform(v, lambda x: x / sqrt(list_inner_product(v, v))) AS u FROM e WHERE id % 5 <> 0), c AS (SELECT label, d, avg(u[d]) AS x FROM u, generate_series(1, 64) g(d) GROUP BY 1, 2), z AS (SELECT label, list(x ORDER BY d) AS c FROM c GROUP BY 1),
+t AS (SELECT e.label AS query, e.id, list_cosine_similarity(v, c) AS topic, coalesce(nearest, 0) AS nearest FROM e JOIN z USING (label) LEFT JOIN n USING (id) WHERE e.id % 5 = 0)
+SELECT query, id, round(topic, 6) AS topic, round(nearest, 6) AS nearest, CASE WHEN nearest >= 0.82 THEN 'echo' WHEN topic >= 0.48 THEN 'gain' WHEN nearest < 0.6 THEN 'drift' ELSE 'neutral' END AS zone FROM t""")
 def _(t: Tables):
     v = t.embeddings.select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"), F.col("label").alias("query"))
     own, other = v.where("id % 5 = 0"), v.where("id % 5 <> 0")
-    return ops.passage_zones(own, similarity.vector_top_k(own, other, 1), scores.centroids(other, ["query"]))
+    rows = ops.passage_zones(own, similarity.vector_top_k(own, other, 1), scores.centroids(other, ["query"]))
+    return rows.withColumn("topic", F.round("topic", 6)).withColumn("nearest", F.round("nearest", 6))
 
 
 @query("subtopic_coverage", "L16", cte(x=TERMS_SQL, r="SELECT source AS subtopic, term, sum(n)::DOUBLE AS rw FROM x GROUP BY 1, 2", np="SELECT doc_id AS page, sqrt(sum(n * n)) AS np FROM x GROUP BY 1", nr="SELECT subtopic, sqrt(sum(rw * rw)) AS nr FROM r GROUP BY 1",
@@ -266,7 +304,12 @@ def _(t: Tables):
     return ops.link_injections(opp, _best(t)).select("source", "target", "rank", "section")
 
 
-@query("candidate_page_pairs", "L17")
+@query("candidate_page_pairs", "L17", cte(**_NEAR, i="SELECT DISTINCT doc_id, coalesce(lang, '~') AS lang, unnest(regexp_extract_all(lower(text), '([\\p{L}\\p{N}]+)', 1)) AS term FROM documents",
+    k_="SELECT min(doc_id) AS doc_id FROM (SELECT doc_id, string_agg(lang || chr(31) || term, chr(30) ORDER BY lang, term) AS items FROM i GROUP BY 1) GROUP BY items", n_="SELECT i.* FROM i JOIN k_ USING (doc_id)",
+    h_="SELECT a.doc_id AS l, b.doc_id AS r FROM n_ a JOIN n_ b ON a.lang = b.lang AND a.term = b.term AND a.doc_id < b.doc_id GROUP BY 1, 2 HAVING count(*) >= 6",
+    d_="SELECT doc_id, min(doc_id) OVER (PARTITION BY sha256(lower(text))) AS first FROM documents",
+    every="""SELECT first AS l, doc_id AS r, 'same-content' AS basis FROM d_ WHERE doc_id <> first UNION ALL SELECT "left", "right", 'fingerprint' FROM p UNION ALL SELECT l, r, 'topic-term' FROM h_""")
+    + "SELECT l AS \"left\", r AS \"right\", string_agg(DISTINCT basis, ',' ORDER BY basis) AS basis FROM every GROUP BY 1, 2")
 def _(t: Tables):
     d = t.documents.select("lang", "doc_id", "text")
     pages = d.select(F.col("doc_id").alias("page"), F.sha2(F.lower("text"), 256).alias("content_hash"))

@@ -148,13 +148,6 @@ def test_near_hash_pairs_complete(spark):
     assert got == want
 
 
-def test_chunks_keep_every_sentence(spark):
-    body = " ".join(f"Sentence {i} has exactly six words." for i in range(100))
-    rows = passages.chunks(spark.createDataFrame([(1, body)], "doc_id long, text string"), target=60, limit=80, overlap=10).orderBy("pos").collect()
-    assert len(rows) > 5 and all(r.words <= 80 for r in rows)
-    assert all(any(f"Sentence {i} " in r.chunk for r in rows) for i in range(100))
-
-
 def test_replace_run_keeps_other_runs(spark, tmp_path):
     path = str(tmp_path / "pages")
     frame = lambda run, n: spark.range(n).select(F.lit("s").alias("site_id"), F.lit(run).alias("run_id"), F.col("id").alias("page_id"))
