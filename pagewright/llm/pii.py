@@ -10,7 +10,8 @@ from dataclasses import dataclass, field
 import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
-from pagewright.llm import crf
+from pagewright.llm import crf, words
+from pagewright.llm.store import fresh
 
 #: Kinds in their order; the first four have patterns, all are labels of the field.
 KINDS = ("email", "ip", "card", "phone", "secret")
@@ -301,8 +302,12 @@ def find(model: Field, text_col: str = "text", redact: bool = False) -> Column:
     """
 
     def batches(text) -> list:
-        texts = [t or "" for t in text.to_pylist()]
-        return [x for at in range(0, len(texts), 500) for x in zip(texts[at : at + 500], find_all(texts[at : at + 500], model))]
+        found = []
+        for first, n in words.cuts(text, 1 << 20):
+            texts = [t or "" for t in text.slice(first, n).to_pylist()]
+            found += zip(texts, find_all(texts, model))
+        words.give_back()
+        return found
 
     @F.arrow_udf(SPANS)
     def spans(text):
@@ -321,8 +326,18 @@ def find(model: Field, text_col: str = "text", redact: bool = False) -> Column:
 
 
 def redact(docs: DataFrame, model: Field, text_col: str = "text", size_col: str = "n_chars") -> DataFrame:
-    """All rows of ``docs`` with personal data in the text replaced by its kind, and the number of letters brought up to date."""
-    new = "_text_without_personal_data"
-    size = F.when(F.col(new).eqNullSafe(F.col(f"`{text_col}`")), F.col(f"`{size_col}`")).otherwise(F.length(new)).cast(docs.schema[size_col].dataType)
+    """All rows of ``docs`` with personal data in the text replaced by its kind, and the number of letters brought up to date.
+
+    Null texts stay null, empty ones empty; texts of any length are read whole; repeated rows stay. Other columns are kept, and a
+    column for the number of letters isn't needed. No rows give no rows.
+    """
+    new = fresh(docs, "_text_without_personal_data")
     changed = docs.withColumn(new, find(model, text_col, redact=True))
-    return changed.select(*[F.col(new).alias(c) if c == text_col else size.alias(c) if c == size_col else F.col(f"`{c}`") for c in docs.columns])
+
+    def shown(c: str) -> Column:
+        if c == size_col:
+            same = F.col(new).eqNullSafe(F.col(f"`{text_col}`"))
+            return F.when(same, F.col(f"`{c}`")).otherwise(F.length(new)).cast(docs.schema[c].dataType).alias(c)
+        return F.col(new).alias(c) if c == text_col else F.col(f"`{c}`")
+
+    return changed.select(*[shown(c) for c in docs.columns])

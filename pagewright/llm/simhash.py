@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from pagewright.llm import words
 from pagewright.llm.components import components
-from pagewright.llm.store import widened, written
+from pagewright.llm.store import fresh, widened, written
 
 SEED = 42
 SHINGLE = 3
@@ -51,7 +51,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        for batch in batches:
+        for batch in words.slices(batches, 1):
             fp = fingerprints_of(words.raw_texts(batch.column(1)), shingle)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp.view(np.int64))], names=["id", "fp"])
 
@@ -115,7 +115,7 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Where ids repeat or are all null, the row with the least hash of its columns stays; of rows alike in all columns one
     stays. Null, empty and wordless texts are copies of each other.
     """
-    place = "_place_of_row"
+    place = fresh(docs, "_place_of_row")
     by = F.col(f"`{id_col}`")
     placed = docs.withColumn(place, F.struct(by.isNull().alias("x"), by.alias("y"), F.xxhash64(*[F.col(f"`{c}`").cast("string") for c in docs.columns]).alias("z")))
     groups = near_groups(placed, place, text_col, distance)

@@ -44,6 +44,13 @@ def forget(df: DataFrame) -> None:
         path.getFileSystem(conf).delete(path, True)
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` doesn't have."""
+    while name in df.columns:
+        name += "_"
+    return name
+
+
 def widened(df: DataFrame, ddl: str) -> StructType:
     """The schema of ``df`` with further columns."""
     return StructType(df.schema.fields + StructType.fromDDL(ddl).fields)

@@ -39,7 +39,7 @@ class Words:
         return np.repeat(np.arange(len(self.first) - 1), self.counts)
 
 
-def groups(texts: list[bytes] | list[str], most: int = 1 << 21) -> Iterator[tuple[int, int]]:
+def groups(texts: list[bytes] | list[str], most: int = 1 << 18) -> Iterator[tuple[int, int]]:
     """Ranges of texts with at most ``most`` bytes or letters together; a longer text stands alone."""
     begin = size = 0
     for i, text in enumerate(texts):
@@ -105,6 +105,37 @@ def shingle_hashes(h: np.ndarray, size: int) -> np.ndarray:
     return mix(out)
 
 
+def cuts(column, most: int = 1 << 22) -> Iterator[tuple[int, int]]:
+    """(first, number) of runs of an Arrow text column that hold about ``most`` bytes; a longer text ends its run."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    sizes = pc.fill_null(pc.binary_length(column.cast(pa.binary())), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 64
+    part = np.cumsum(sizes) // most
+    begin = np.flatnonzero(np.append(True, part[1:] != part[:-1])) if len(part) else np.zeros(0, np.int64)
+    yield from zip(begin.tolist(), np.diff(np.append(begin, len(part))).tolist())
+
+
+def slices(batches: Iterator, column: int) -> Iterator:
+    """Arrow batches cut into parts of a few MB of text each, so that few texts at a time become Python objects."""
+    for batch in batches:
+        for first, n in cuts(batch.column(column)):
+            yield batch.slice(first, n)
+        give_back()
+
+
+def give_back() -> None:
+    """Return memory that this worker has freed to the machine, as executors run several workers."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def raw_texts(column) -> list[bytes]:
     """An Arrow text column as UTF-8 bytes; null is empty."""
     import pyarrow as pa
