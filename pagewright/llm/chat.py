@@ -81,19 +81,20 @@ def preferences(chosen: DataFrame, rejected: DataFrame, template: Template = Tem
 def swapped_answers(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", answer: str = "assistant") -> tuple[DataFrame, DataFrame]:
     """(chosen, rejected) turns made from conversations alone, one pair each.
 
-    Chosen is a conversation up to its last answer. Rejected is the same with the last answer of the conversation whose number
-    is next in that place, and without one where there is none. A conversation without an answer is both, whole.
+    Chosen is a whole conversation. Rejected is the same with the last answer of the conversation whose number is next in the
+    place of its own last answer, and without one where there is none; turns after it stand on both sides. A conversation without
+    an answer is both.
     """
     rows = turns.select(F.col(conv_col).alias("pair_id"), F.col(turn_col).alias("turn"), F.col(role_col).alias("role"), F.col(text_col).alias("text"))
     answers = rows.filter((F.col("role") == answer) & F.col("turn").isNotNull() & F.col("pair_id").isNotNull())
     last = answers.groupBy("pair_id").agg(F.max(F.struct("turn", "text")).alias("last"))
     ends = last.select("pair_id", F.col("last.turn").alias("end"))
     known = rows.join(ends, "pair_id", "left")
-    chosen = known.filter("end IS NULL OR turn IS NULL OR turn <= end").drop("end")
-    opening = known.filter("end IS NULL OR turn IS NULL OR turn < end").drop("end")
+    is_last = F.coalesce((F.col("role") == answer) & (F.col("turn") == F.col("end")), F.lit(False))
+    chosen, kept = known.drop("end"), known.filter(~is_last).drop("end")
     other = last.select((F.col("pair_id") - 1).alias("pair_id"), F.col("last.text").alias("text"))
     swapped = ends.join(other, "pair_id").select("pair_id", F.col("end").alias("turn"), F.lit(answer).alias("role"), "text")
-    return chosen, opening.union(swapped)
+    return chosen, kept.union(swapped)
 
 
 #: The pairs of swapped answers over the conversations table, formatted, in DuckDB's SQL.
@@ -101,8 +102,8 @@ SWAPPED_SQL = r"""
 WITH answers AS (SELECT conv_id, max(struct_pack(turn := turn, text := text)) AS a FROM conversations WHERE role = 'assistant' AND turn IS NOT NULL AND conv_id IS NOT NULL GROUP BY 1),
 known AS (SELECT c.conv_id, c.turn, c.role, c.text, a.a.turn AS ending FROM conversations c LEFT JOIN answers a USING (conv_id) WHERE c.conv_id IS NOT NULL),
 sides AS (
-  SELECT conv_id AS pair_id, turn, role, text, 'c' AS side FROM known WHERE ending IS NULL OR turn IS NULL OR turn <= ending
-  UNION ALL SELECT conv_id, turn, role, text, 'r' FROM known WHERE ending IS NULL OR turn IS NULL OR turn < ending
+  SELECT conv_id AS pair_id, turn, role, text, 'c' AS side FROM known
+  UNION ALL SELECT conv_id, turn, role, text, 'r' FROM known WHERE NOT coalesce(role = 'assistant' AND turn = ending, false)
   UNION ALL SELECT a.conv_id, a.a.turn, 'assistant', b.a.text, 'r' FROM answers a JOIN answers b ON b.conv_id = a.conv_id + 1),
 said AS (SELECT pair_id, coalesce(turn, -9223372036854775808) AS turn, side, role, text, '<|im_start|>' || replace(coalesce(role, ''), '<|', '< |') || chr(10) AS head,
   replace(coalesce(text, ''), '<|', '< |') || '<|im_end|>' || chr(10) AS body FROM sides),

@@ -79,3 +79,17 @@ def test_query_equals_sql(spark, tmp_path, odd):
     want = con.sql(ORACLES["op4_chat"])
     assert got.columns == want.columns
     assert sorted(map(tuple, got.collect())) == sorted(want.fetchall())
+
+
+def test_every_turn_stands_on_the_chosen_side(spark):
+    rng = random.Random(3)
+    rows = [(c, t, rng.choice(["user", "assistant", None]), f"{c}-{t}") for c in range(40) for t in range(rng.randint(1, 6))]
+    frame = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = {r.pair_id: r for r in chat.preferences(*chat.swapped_answers(frame)).collect()}
+    for c in range(40):
+        own = [r for r in rows if r[0] == c]
+        whole = got[c].prompt + got[c].chosen
+        assert got[c].n_prompt + got[c].n_chosen == len(own) and all(f"{c}-{t}" in whole for _, t, _, _ in own)
+        answers = [t for _, t, role, _ in own if role == "assistant"]
+        for _, t, _, _ in own:  # the other side lacks the last answer alone
+            assert (f"{c}-{t}" in got[c].prompt + got[c].rejected) == (not answers or t != max(answers))
