@@ -7,6 +7,7 @@ priority. Of overlapping finds the one inside another of at least its priority i
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from dataclasses import dataclass
 
 import numpy as np
@@ -191,15 +192,40 @@ class Scanner:
         if not any(g in text for g in self.gates):
             return []
         held = {k for k in self.keywords if k in text}
-        kept: list[tuple[Rule, int, int]] = []
         found = [(r, *m.span()) for r in self.rules if held.issuperset(r.keywords) for m in r.pattern.finditer(text)]
         found.sort(key=lambda f: (-f[0].priority, f[1] - f[2], -len(f[0].label)))  # of equal ones the more special name first
+        starts = sorted({a for _, a, _ in found})
+        kept, own, base = [], Reach(starts), {}
         for rule, a, b in found:
-            if rule.base or not any(x <= a and b <= y for other, x, y in kept if not other.base or other.label == rule.label):
-                kept.append((rule, a, b))
+            if not rule.base and (own.covers(a, b) or rule.label in base and base[rule.label].covers(a, b)):
+                continue
+            kept.append((rule, a, b))
+            (base.setdefault(rule.label, Reach(starts)) if rule.base else own).add(a, b)
         return sorted(kept, key=lambda f: (f[1], f[2]))
 
 
+class Reach:
+    """How far intervals reach that start at or before a place: sums over halves of the starts, so each step takes their logarithm."""
+
+    def __init__(self, starts: list[int]):
+        self.starts, self.most = starts, [-1] * (len(starts) + 1)
+
+    def add(self, a: int, b: int) -> None:
+        i = bisect_left(self.starts, a) + 1
+        while i < len(self.most):
+            self.most[i] = max(self.most[i], b)
+            i += i & -i
+
+    def covers(self, a: int, b: int) -> bool:
+        """Whether an interval that was added holds a..b."""
+        i = bisect_left(self.starts, a) + 1
+        while i:
+            if self.most[i] >= b:
+                return True
+            i -= i & -i
+        return False
+
+
 #: Words that most licence lines hold: one of each rule's keywords is among them, where that can be.
 _COMMON = (b"licen", b"spdx", b"copyright", b"reserved", b"public", b"cc", b"licenses")
 
@@ -224,14 +250,20 @@ def scan(texts: list[bytes]) -> list[tuple[int, list[dict]]]:
 
 
 def find(text_col: str = "text") -> Column:
-    """A column of the number of words of a whole text and its licence finds in order; null and empty texts have none."""
+    """A column of the number of words of a whole text and its licence finds in order; null and empty texts have none.
+
+    Finds inside a find of the same or a higher priority are left out; of finds in the same place the longer label stays, and what
+    a phrase of the base finds always stays. Time grows with the text's length and its number of finds times its logarithm. Each
+    row is judged by itself, repeated ones too; no rows give no rows.
+    """
 
     @F.arrow_udf(FOUND)
     def found(text):
         import pyarrow as pa
 
         kind = pa.list_(pa.struct([("label", pa.string()), ("rule", pa.string()), ("start", pa.int64()), ("n", pa.int64()), ("weight", pa.float64()), ("base", pa.bool_())]))
-        rows = scan(words.raw_texts(text))
+        rows = [r for a, n in words.cuts(text) for r in scan(words.raw_texts(text.slice(a, n)))]
+        words.give_back()
         return pa.StructArray.from_arrays([pa.array([n for n, _ in rows], pa.int64()), pa.array([x for _, x in rows], kind)], names=["n_words", "finds"])
 
     return found(F.col(f"`{text_col}`").cast("string"))

@@ -44,3 +44,28 @@ def test_equals_brute_force(docs):
     for r in docs(rows).selectExpr("*", "1 AS finds", "2 AS n_words").select("text", licences.find().alias("f")).collect():
         assert (r.f.n_words, sorted((x.start, x.label) for x in r.f.finds if x.base)) == brute(r.text)
     assert docs([]).select(licences.find()).count() == 0
+
+
+def test_containment_equals_comparing_all(monkeypatch):
+    """What stays is what comparing each find with all kept ones leaves; a text of many finds takes no time."""
+    import random
+    import time
+
+    from pagewright.llm import licences
+
+    rng = random.Random(5)
+    scanner = licences.Scanner()
+    words = ["licensed under", "mit", "license", "apache", "2.0", "cc by", "sa 4.0", "gpl", "v3", "all rights reserved", "general public license", "or later", "version 2", "spdx-license-identifier:", "bsd", "3-clause", "x"]
+    for _ in range(60):
+        text = " ".join(rng.choices(words, k=60)).encode()
+        held = {k for k in scanner.keywords if k in text}
+        found = [(r, *m.span()) for r in scanner.rules if held.issuperset(r.keywords) for m in r.pattern.finditer(text)]
+        found.sort(key=lambda f: (-f[0].priority, f[1] - f[2], -len(f[0].label)))
+        kept = []
+        for rule, a, b in found:
+            if rule.base or not any(x <= a and b <= y for other, x, y in kept if not other.base or other.label == rule.label):
+                kept.append((rule, a, b))
+        assert scanner.finds(text) == sorted(kept, key=lambda f: (f[1], f[2]))
+    long = " ".join(rng.choices(words, k=60_000)).encode()
+    begin = time.time()
+    assert len(scanner.finds(long)) > 1000 and time.time() - begin < 20
