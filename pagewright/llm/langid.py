@@ -11,8 +11,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from pagewright.llm import words
 from pagewright.llm.store import written
 
-#: Bound of the fit: so many labelled texts of each language, copies of a text being one; the first by hash.
-LABELLED = 1_000
+#: Bound of the fit: about so many labelled texts of each language, and of all together; copies of a text are one.
+LABELLED, TOTAL = 1_000, 20_000
 BINS = 4_096
 UNKNOWN = "und"
 
@@ -111,18 +111,23 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", label
     known = docs.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text")).filter("lang IS NOT NULL AND text IS NOT NULL")
     named = known.withColumn("h", F.xxhash64("text"))
     texts = written(named.groupBy("lang", "h").agg(F.count("*").alias("n")).select("lang", "h"))
-    many = {r.lang: r.n for r in texts.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    if not many:
+    many = written(texts.groupBy("lang").agg(F.count("*").alias("n"), F.min("h").alias("least")))
+    languages = many.count()
+    if not languages:
         return Model([], np.zeros((0, 0)), np.zeros((BINS, 0)), np.zeros(0), np.zeros(0))
+    # a share of about twice as many texts of each language as it may keep is ranked, so no language fills a task
+    each = max(1, min(labelled, TOTAL // languages))
+    part = F.pmod(F.xxhash64("h"), F.lit(1 << 30)) < F.lit(float(1 << 30)) * (2 * each + 64) / F.col("n")
+    some = texts.join(F.broadcast(many), "lang").filter(part | (F.col("h") == F.col("least")))
     first = Window.partitionBy("lang").orderBy("h")
-    kept = written(texts.withColumn("rank", F.row_number().over(first)).filter(F.col("rank") <= labelled).select("lang", "h"))
+    kept = written(some.withColumn("rank", F.row_number().over(first)).filter(F.col("rank") <= each).select("lang", "h"))
     copies = named.join(F.broadcast(kept), ["lang", "h"]).groupBy("lang", "h").agg(F.min("text").alias("text"))
     chosen = copies.select("lang", "text")
 
     def extract(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        for batch in batches:
+        for batch in words.slices(batches, 1):
             x = features(words.raw_texts(batch.column(1))).astype(np.float16)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r.tobytes() for r in x], pa.binary())], names=["lang", "x"])
 
@@ -142,7 +147,11 @@ def predict(model: Model, text_col: str = "text") -> Column:
     def decoded(text):
         import pyarrow as pa
 
-        lang, score, close = model.decode(words.raw_texts(text))
+        parts = [model.decode(words.raw_texts(text.slice(a, n))) for a, n in words.cuts(text)]
+        lang = [x for part in parts for x in part[0]]
+        score = np.concatenate([np.zeros(0), *[part[1] for part in parts]])
+        close = np.concatenate([np.zeros(0, bool), *[part[2] for part in parts]])
+        words.give_back()
         return pa.StructArray.from_arrays([pa.array(lang, pa.string()), pa.array(score), pa.array(close)], names=["lang", "score", "ambiguous"])
 
     text = F.col(f"`{text_col}`").cast("string")
