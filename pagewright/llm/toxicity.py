@@ -15,9 +15,8 @@ from pagewright.llm.store import widened, written
 LABELLED = 20_000
 MARKERS = 2_048
 GRADES = 3
-#: A marker's share of the toxic texts lies so many standard deviations, and times, above its share of the clean ones.
+#: A marker's share of the toxic texts lies so many standard deviations above its share of the clean ones; the weights do the rest.
 SURE = 6
-LIFT = 25
 #: Besides whole words, beginnings of so many bytes can be markers: they hold for forms that no labelled row has.
 BEGINNINGS = (4, 5, 6)
 
@@ -107,7 +106,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     Markers are words, or beginnings of words, that stand in far more of the toxic than of the clean labelled documents. Copies of a
     text, told by a sketch, are counted once. Grades follow the labels: 0 is clean; toxic ones
-    are graded 1 to 3 by how many of their words have markers, in thirds. Labels that are null are left out; a
+    are graded 1 to 3 by how many of their words have markers, in thirds. Texts of any length are read whole. Labels that are null are left out; a
     document with two labels counts as toxic. Without toxic or without clean rows, or without markers, nothing is toxic.
     """
     known = labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg((F.max(label_col) > 0).cast("int").alias("y"))
@@ -122,7 +121,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         """The least hash of five words in a row: copies of a text mostly share it."""
         import pyarrow as pa
 
-        for batch in batches:
+        for batch in words.slices(batches, 2):
             found = words.raw_texts(batch.column(2))
             least = np.zeros(len(found), np.int64)
             for lo, hi in words.groups(found):
@@ -143,7 +142,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         """How many toxic and how many clean texts hold each term; the row without a term counts texts."""
         import pyarrow as pa
 
-        for batch in batches:
+        for batch in words.slices(batches, 2):
             found, y = words.raw_texts(batch.column(2)), batch.column(1).to_numpy(zero_copy_only=False).astype(np.int64)
             for lo, hi in words.groups(found):
                 w = words.find(found[lo:hi], words.ALNUM)
@@ -168,7 +167,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     toxic, clean = sizes.a, sizes.b
     pooled = (F.col("a") + F.col("b")) / (toxic + clean)
     gap = F.col("a") / toxic - F.col("b") / clean
-    strong = stands.withColumn("z", F.try_divide(gap, F.sqrt(pooled * (1 - pooled) * (1 / toxic + 1 / clean)))).filter((F.col("z") >= SURE) & (F.col("a") / toxic >= LIFT * F.col("b") / clean))
+    strong = stands.withColumn("z", F.try_divide(gap, F.sqrt(pooled * (1 - pooled) * (1 / toxic + 1 / clean)))).filter(F.col("z") >= SURE)
     chosen = np.array(sorted(r.h & (1 << 64) - 1 for r in strong.filter("h IS NOT NULL").orderBy(F.desc("z"), "h").limit(markers).collect()), np.uint64)
     if not len(chosen):
         return Model()
@@ -177,7 +176,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         """The sampled texts that hold markers, as numbers."""
         import pyarrow as pa
 
-        for batch in batches:
+        for batch in words.slices(batches, 2):
             found = words.raw_texts(batch.column(2))
             for lo, hi in words.groups(found):
                 w = words.find(found[lo:hi], words.ALNUM)
@@ -207,7 +206,8 @@ def severity(model: Model, text_col: str = "text"):
     def score(text):
         import pyarrow as pa
 
-        reach = model.reach(words.raw_texts(text))
+        reach = np.concatenate([np.zeros((0, len(model.thresholds))), *[model.reach(words.raw_texts(text.slice(a, n))) for a, n in words.cuts(text)]])
+        words.give_back()
         bounds = np.concatenate([np.ones((len(reach), 1)), reach, np.zeros((len(reach), 1))], axis=1)
         grade = np.argmax(bounds[:, :-1] - bounds[:, 1:], axis=1).astype(np.int32)
         return pa.StructArray.from_arrays([pa.array(reach.sum(axis=1)), pa.array(reach[:, 0]), pa.array(grade)], names=["severity", "p_toxic", "grade"])
