@@ -13,12 +13,12 @@ import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
 from pagewright.llm import words
-from pagewright.llm.store import widened, written
+from pagewright.llm.store import fresh, widened, written
 
 WINDOW = 10
 SHINGLE = 3
-#: Bits of the filter that is sent to the tasks; its size doesn't depend on the tables.
-FILTER_BITS = 24
+#: The filter that is sent to the tasks has 2 to this power bits for few and for very many shingles; between, about 256 bits for each.
+FILTER_BITS = (16, 26)
 
 
 def item_windows(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text", window: int = WINDOW, shingle: int = SHINGLE) -> DataFrame:
@@ -54,18 +54,23 @@ def item_windows(benchmark: DataFrame, id_col: str = "item_id", text_col: str =
 
 
 def _filter_of(shingles: DataFrame) -> tuple[list[int], np.ndarray]:
-    """The sizes of the shingles (k, h) and a bit for each hash: at most 2 ** (FILTER_BITS - 6) numbers come to the driver."""
-    sizes = sorted(r.k for r in shingles.select("k").distinct().collect())
-    place = F.col("h").bitwiseAND(F.lit((1 << FILTER_BITS) - 1))
+    """The sizes of the shingles (k, h) and a bit for each hash: at most 2 ** 20 numbers come to the driver.
+
+    Some places that hold no shingle pass the filter, more of them where the filter is at its largest; the join drops them.
+    """
+    many = {r.k: r.n for r in shingles.groupBy("k").agg(F.count("*").alias("n")).collect()}
+    sizes = sorted(many)
+    power = min(max((256 * sum(many.values())).bit_length(), FILTER_BITS[0]), FILTER_BITS[1])
+    place = F.col("h").bitwiseAND(F.lit((1 << power) - 1))
     set_bits = shingles.select(F.shiftright(place, 6).alias("w"), F.expr("shiftleft(1L, CAST(h & 63 AS INT))").alias("b")).groupBy("w").agg(F.bit_or("b").alias("b")).collect()
-    table = np.zeros(1 << (FILTER_BITS - 6), np.int64)
+    table = np.zeros(1 << (power - 6), np.int64)
     for r in set_bits:
         table[r.w] = r.b
     return sizes, table.view(np.uint8)
 
 
 def _held(h: np.ndarray, bits: np.ndarray) -> np.ndarray:
-    at = h & np.uint64((1 << FILTER_BITS) - 1)
+    at = h & np.uint64(8 * len(bits) - 1)
     return np.flatnonzero((bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1)
 
 
@@ -86,7 +91,7 @@ def shingle_counts(docs: DataFrame, shingles: DataFrame, text_col: str = "text")
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        for batch in batches:
+        for batch in words.slices(batches, 0):
             texts = words.raw_texts(batch.column(0))
             found = [np.zeros(0, np.uint64)]
             for lo, hi in words.groups(texts):
@@ -109,7 +114,7 @@ def prefix_hits(docs: DataFrame, prefixes: DataFrame, id_col: str = "doc_id", te
 
         row = TaskContext.get().partitionId() << 36
         kind = pa.list_(pa.struct([("h", pa.int64()), ("pos", pa.int32()), ("lo", pa.int32()), ("around", pa.string())]))
-        for batch in batches:
+        for batch in words.slices(batches, 1):
             texts = words.raw_texts(batch.column(1))
             counts = np.zeros(len(texts), np.int64)
             hits: list[list] = [[] for _ in texts]
@@ -176,7 +181,7 @@ def contamination(
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", **options) -> DataFrame:
     """The rows of ``docs`` whose text holds no window of an item; null and empty texts stay."""
-    digest = "_digest_of_text"
+    digest = fresh(docs, "_digest_of_text")
     marked = docs.withColumn(digest, F.sha2(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")), 256))
     found = contamination(marked, benchmark, digest, text_col, **options).filter("n_hit > 0").select(F.col("id").alias(digest)).distinct()
     return marked.join(found, digest, "left_anti").select(*[f"`{c}`" for c in docs.columns])
