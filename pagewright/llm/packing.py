@@ -55,14 +55,16 @@ class Encoder:
 
     def _learn(self, new: list[str]) -> None:
         """Encode parts that aren't known, on one line each; a line feed before a word is a token of its own."""
-        lines = [p for p in new if not p.isspace()]
-        ids = np.array(self._encode("\n".join(lines)), "<u4")
-        cuts = np.flatnonzero(ids == self.line[0])
-        if len(self.line) == 1 and len(cuts) == len(lines) - 1:
-            raw, a = ids.tobytes(), 0
-            for p, b in zip(lines, [*(4 * cuts).tolist(), 4 * len(ids)]):
-                self.known[p] = raw[a:b]
-                a = b + 4
+        words = [p for p in new if not p.isspace()]
+        groups = [words[i : i + 256] for i in range(0, len(words), 256)]
+        for lines, made in zip(groups, self.tokenizer.encode_batch_fast(["\n".join(g) for g in groups], add_special_tokens=False)):
+            ids = np.array(made.ids, "<u4")
+            cuts = np.flatnonzero(ids == self.line[0])
+            if len(self.line) == 1 and len(cuts) == len(lines) - 1:
+                raw, a = ids.tobytes(), 0
+                for p, b in zip(lines, [*(4 * cuts).tolist(), 4 * len(ids)]):
+                    self.known[p] = raw[a:b]
+                    a = b + 4
         for p in new:
             if p not in self.known:
                 self.known[p] = np.array(self._encode(p), "<u4").tobytes()
@@ -71,16 +73,19 @@ class Encoder:
         """The ids of whole texts as little-endian unsigned 32-bit numbers."""
         if len(self.known) > self.remember:
             self.known.clear()
-        parts = [_PARTS.findall(t) for t in texts]
-        new = list(set().union(*parts) - self.known.keys())
+        known, find = self.known, _PARTS.findall
+        parts = [find(t) for t in texts]
+        out = [list(map(known.get, own)) for own in parts]
+        lacking = [k for k, got in enumerate(out) if None in got]
+        new = list(dict.fromkeys(p for k in lacking for p, raw in zip(parts[k], out[k]) if raw is None))
         if new:
             self._learn(new)
-        known = self.known
-        out = [b"".join([known[p] for p in own]) for own in parts]
-        for p in new:
-            if len(p) > 64:
-                del known[p]
-        return out
+            for k in lacking:
+                out[k] = list(map(known.__getitem__, parts[k]))
+            for p in new:
+                if len(p) > 64:
+                    del known[p]
+        return [b"".join(got) for got in out]
 
 
 def pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end: int = END) -> DataFrame:
@@ -96,7 +101,7 @@ def pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
         import pyarrow as pa
 
         encoder = Encoder.of(tokenizer)
-        for batch in batches:
+        for batch in words.slices(batches, 1):
             texts = [x or "" for x in batch.column(1).to_pylist()]
             for lo, hi in words.groups(texts, 1 << 20):
                 rows: list[tuple] = []
