@@ -84,6 +84,23 @@ def test_components_and_rank_sum(spark):
     assert abs(sum(rank.values()) - 1) < 1e-9 and rank["b"] > rank["d"]
 
 
+def test_structural_impact_follows_a_known_level(spark):
+    """A level with a weekly pattern, raised by a known amount on each day after the change, and one that stays."""
+    from datetime import date, timedelta
+
+    from pagewright.operators import experiments
+
+    rng, rows = random.Random(1), []
+    for i in range(100):
+        d, post = date(2024, 1, 1) + timedelta(days=i), i >= 84
+        base = 200 + 15 * (d.weekday() - 3) + rng.gauss(0, 1)
+        rows += [("up", d, base + (6 if post else 0), post), ("same", d, base, post), ("short", d, base, i >= 10)]
+    got = {r.exp: r for r in experiments.structural_impact(spark.createDataFrame(rows, "exp string, date date, y double, post boolean")).collect()}
+    assert abs(got["up"].estimate - 16 * 6) < 25 and got["up"].lower > 0 and got["up"].probability > 0.95 and got["up"].days == 16
+    assert got["same"].lower < 0 < got["same"].upper and got["short"].estimate is None
+    assert abs((got["up"].estimate - got["same"].estimate) - 96) < 1e-6  # the same draws
+
+
 def test_ranks_settle_where_plain_iteration_does(spark):
     rng = random.Random(6)
     edges = {(a, b): rng.random() + 0.1 for a, b in ((rng.randrange(40), rng.randrange(60)) for _ in range(150)) if a != b}
