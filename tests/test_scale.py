@@ -3,7 +3,7 @@
 import random
 from itertools import combinations
 
-from pagewright.operators import similarity
+from pagewright.operators import graph, similarity
 
 
 def _plan(df) -> str:
@@ -29,3 +29,13 @@ def test_shared_item_pairs_count_without_moving_sets(spark):
             one[frozenset(sets[k])] = k
         want = {(a, b, len(sets[a] & sets[b])) for a, b in combinations(sorted(one.values()), 2) if len(sets[a] & sets[b]) >= least}
         assert {tuple(r) for r in found.collect()} == want
+
+
+def test_hub_verdicts_shuffle_no_pairs_of_hub_and_topic_document(spark):
+    areas = spark.createDataFrame([("a", 1, "h"), ("b", 1, "h"), ("c", 1, None), ("d", 1, None), ("e", 2, None), ("f", 1, "g"), ("i", 3, "k")], "doc string, section int, hub string")
+    links = spark.createDataFrame([("h", "a"), ("h", "b"), ("h", "d"), ("a", "h"), ("g", "f"), ("f", "g"), ("k", "i"), ("i", "k")], "source string, target string")
+    topics = spark.createDataFrame([("a", "t"), ("a", "u"), ("b", "t"), ("c", "t"), ("c", "u"), ("d", "t"), ("e", "t"), ("f", "w"), ("i", "z")], "doc string, topic string")
+    found = graph.hub_verdicts(areas, links, topics)
+    # The pairs that come out of the demand for a topic meet no links any more, which come with the demand.
+    assert "array_contains" in _plan(found)
+    assert sorted(map(tuple, found.collect()), key=str) == [("g", None, "area-healthy"), ("h", "b", "hub-missing-backlink"), ("h", "c", "hub-missing-member-link"), ("k", None, "area-healthy")]
