@@ -10,9 +10,10 @@ def _plan(df) -> str:
     return df._jdf.queryExecution().toString()
 
 
-def test_spread_signatures_are_not_broadcast(spark):
-    rows = spark.createDataFrame([(k, k * 7919) for k in range(50)], "id long, s long")
-    assert "Broadcast" not in _plan(similarity.near_hash_pairs(rows, [], 7, "id", "s"))
+def test_spread_signatures_are_not_broadcast(spark, tmp_path):
+    spark.range(50).selectExpr("id", "id * 7919 AS s").write.parquet(str(tmp_path / "rows"))
+    pairs = similarity.near_hash_pairs(spark.read.parquet(str(tmp_path / "rows")), [], 7, "id", "s")
+    assert "BroadcastExchange" not in _plan(pairs)
 
 
 def test_shared_item_pairs_count_without_moving_sets(spark):
