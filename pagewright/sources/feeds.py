@@ -61,8 +61,9 @@ def sitemap_locations(files: DataFrame) -> DataFrame:
     """(file, is_index, location) of landed sitemap files ``(file, text)``."""
     found = F.regexp_extract_all("text", F.lit(r"(?is)<loc\s*>\s*(.*?)\s*</loc>"), F.lit(1))
     plain = lambda u: F.trim(F.replace(F.regexp_replace(u, r"(?s)^<!\[CDATA\[(.*)\]\]>$", "$1"), F.lit("&amp;"), F.lit("&")))
-    rows = files.select("file", F.lower("text").contains("<sitemapindex").alias("is_index"), F.explode(F.transform(found, plain)).alias("location"))
-    return rows.where("location <> ''")
+    # What a file is, is told before its locations become rows: each row would read the whole text again.
+    per = files.select("file", F.lower("text").contains("<sitemapindex").alias("is_index"), F.transform(found, plain).alias("locations"))
+    return per.select("file", "is_index", F.explode("locations").alias("location")).where("location <> ''")
 
 
 def discovered_urls(files: DataFrame, seeds: DataFrame, host: str, path: str | None = None, subdomains: bool = False, allowed: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:

@@ -3,9 +3,10 @@
 import json
 import random
 
+import pyarrow as pa
 import pytest
 
-from pagewright.sources import feeds, runs
+from pagewright.sources import feeds, html, runs
 
 
 def payload(**fields):
@@ -94,3 +95,14 @@ def test_sitemaps_follow_any_graph_of_indexes(spark):
             if u.startswith("https://h.example/in/"):
                 want.setdefault(u, set()).add(n)
     assert {r.url: r.sitemaps for r in found.collect()} == {u: len(of) for u, of in want.items()}
+
+
+def test_what_a_sitemap_file_is_is_told_once_a_file(spark):
+    urls = "".join(f"<url><loc> https://m.example/{i} </loc></url>" for i in range(3))
+    files = spark.createDataFrame([("a", f"<urlset>{urls}</urlset>"), ("b", "<SitemapIndex><loc>x</loc></SitemapIndex>"), ("c", None)], "file string, text string")
+    got = feeds.sitemap_locations(files)
+    assert sorted((r.file, r.is_index, r.location) for r in got.collect()) == [*(("a", False, f"https://m.example/{i}") for i in range(3)), ("b", True, "x")]
+    # The plan prints the top first: texts are searched below the step that makes rows of them.
+    plan = got._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    line = lambda word: next(i for i, x in enumerate(plan) if word in x)
+    assert line("sitemapindex") > line("Generate")
