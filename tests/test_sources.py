@@ -106,3 +106,14 @@ def test_what_a_sitemap_file_is_is_told_once_a_file(spark):
     plan = got._jdf.queryExecution().optimizedPlan().toString().splitlines()
     line = lambda word: next(i for i, x in enumerate(plan) if word in x)
     assert line("sitemapindex") > line("Generate")
+
+
+def test_few_pages_at_a_time_become_nodes(spark, monkeypatch):
+    pages = ["<p>" + "x" * n + "</p>" for n in (10, 20, 5000, 1, 1)] + [None, ""]
+    monkeypatch.setattr(html, "_PART", 64)
+    parts = [p.to_pylist() for p in html._few(pa.array(pages))]
+    assert sum(parts, []) == pages and [len(p) for p in parts] == [2, 1, 4]
+    assert [*html._few(pa.array([], pa.string()))] == []
+    frame = spark.createDataFrame([(i, pages[i % 7]) for i in range(70)], "id int, html string").coalesce(1)
+    got = {r.id: r.n for r in html.with_nodes(frame).selectExpr("id", "transform(nodes, x -> x.text) AS n").collect()}
+    assert got == {i: None if pages[i % 7] is None else [] if not pages[i % 7] else [pages[i % 7][3:-4]] * 2 for i in range(70)}
