@@ -3,7 +3,11 @@
 import random
 from itertools import combinations
 
-from pagewright.operators import graph, similarity
+from pyspark.sql import functions as F
+
+from pagewright.functions import text as text_functions
+from pagewright.operators import focus, graph, similarity
+from pagewright.plans import catalog
 
 
 def _plan(df) -> str:
@@ -40,3 +44,25 @@ def test_hub_verdicts_shuffle_no_pairs_of_hub_and_topic_document(spark):
     # The pairs that come out of the demand for a topic meet no links any more, which come with the demand.
     assert "array_contains" in _plan(found)
     assert sorted(map(tuple, found.collect()), key=str) == [("g", None, "area-healthy"), ("h", "b", "hub-missing-backlink"), ("h", "c", "hub-missing-member-link"), ("k", None, "area-healthy")]
+
+
+def test_runs_of_words_are_counted_where_their_page_is(spark):
+    rows = [(1, "en", "Big Cities", "big cities the Big cities 4x4 grow"), (1, "en", "Big", "cities"), (2, "de", None, "Größe größe ÜBER x"), (None, None, "", "")]
+    pages = spark.createDataFrame(rows, "page int, lang string, title string, body string")
+    got = focus.zone_ngrams(pages, {"title": "title", "body": "body"}, longest=3)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(page#") == 1 and plan.count("Exchange") == 1
+    want = {(1, "big"): (7.0, 4), (1, "city"): (5.5, 4), (1, "big city"): (4.5, 3), (1, "grow"): (1.0, 1), (2, "groesse"): (2.0, 2), (2, "groesse groesse"): (1.0, 1), (2, "ueber"): (1.0, 1), (2, "groesse ueber"): (1.0, 1), (2, "groesse groesse ueber"): (1.0, 1)}
+    assert {(r.page, r.key): (r.tf, r["count"]) for r in got.collect()} == want
+
+
+def test_words_of_a_text_get_the_keys_that_each_gets_alone(spark):
+    odd = ["Straße", "Œuvre", "ĄĘ", "İstanbul", "cafés", "ΟΔΟΣ", "the", "a1", "12", "x9y8z", "ab", "b", "Cities", "Książkami", "ñandúes", "ǅungla", "२३ab", "\U0001d400\U0001d401", "ﬁn"]
+    rows = [(lang, text) for lang in ("de", "en-GB", "pl", None) for text in [" ".join(odd), "\n".join(reversed(odd)), "", "-- ", None, "the", *odd]]
+    frame = spark.createDataFrame(rows, "lang string, text string")
+    alone = F.transform(text_functions.words(F.col("text")), lambda w: F.when(~text_functions.is_noise(text_functions.fold(w)), text_functions.term_key(w, F.col("lang"))))
+    counts = lambda w: (F.regexp_count(w, F.lit(r"\p{L}")), F.regexp_count(w, F.lit(r"\p{N}")))
+    noise = lambda w: w.isin(*text_functions.STOPWORDS) | (counts(w)[0] < 2) | (counts(w)[1] >= counts(w)[0])
+    plain = F.transform(text_functions.words(F.col("text")), lambda w: noise(text_functions.fold(w)))
+    got = frame.select(F.coalesce(alone, F.array().cast("array<string>")).alias("a"), text_functions.word_keys(F.coalesce("text", F.lit("")), F.col("lang")).alias("b"), F.transform("b", lambda k: k.isNull()).alias("n"), F.coalesce(plain, F.array().cast("array<boolean>")).alias("m")).collect()
+    assert all(r.a == r.b and r.n == r.m for r in got) and sum(len(r.a) for r in got) > 200
