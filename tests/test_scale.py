@@ -66,3 +66,10 @@ def test_words_of_a_text_get_the_keys_that_each_gets_alone(spark):
     plain = F.transform(text_functions.words(F.col("text")), lambda w: noise(text_functions.fold(w)))
     got = frame.select(F.coalesce(alone, F.array().cast("array<string>")).alias("a"), text_functions.word_keys(F.coalesce("text", F.lit("")), F.col("lang")).alias("b"), F.transform("b", lambda k: k.isNull()).alias("n"), F.coalesce(plain, F.array().cast("array<boolean>")).alias("m")).collect()
     assert all(r.a == r.b and r.n == r.m for r in got) and sum(len(r.a) for r in got) > 200
+
+
+def test_term_vectors_take_texts_apart_once(spark):
+    # What the statistics, the sizes and the vectors read is written before.
+    for name in ("tfidf_vectors", "core_terms", "anchor_term_mass", "term_cooccurrence"):
+        plan = catalog.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+        assert "regexp_extract_all" not in plan, name
