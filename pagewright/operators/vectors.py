@@ -20,6 +20,8 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 PIVOTS, SAMPLE, ROWS = 64, 1024, 4096
 #: Angles are counted in steps of one in so many of a radian.
 _STEPS = 512
+#: Queries whose cosines a task holds at a time, and bytes of the vectors that they are compared with.
+_SLICE, _HELD = 512, 64 << 20
 
 
 def _c(name: str) -> Column:
@@ -139,6 +141,12 @@ def block_pairs(left: Blocks, right: Blocks, low: Column, high: float = 2.0, hal
 _KEYS = ["cell", "ring", "part", "cell2", "ring2", "part2"]
 
 
+def _ids(held) -> np.ndarray:
+    import pyarrow as pa
+
+    return held.values.to_numpy(zero_copy_only=False) if pa.types.is_integer(held.type.value_type) else np.array(held.as_py(), object)
+
+
 def _meet(left: Blocks, right: Blocks, pairs: DataFrame, fn: Callable, schema: StructType) -> DataFrame:
     """``fn(ids, matrix, ids, matrix, same block)`` of each pair of blocks; one pair at a time in a task."""
     same_set = left is right
@@ -153,7 +161,7 @@ def _meet(left: Blocks, right: Blocks, pairs: DataFrame, fn: Callable, schema: S
         kind = to_arrow_schema(schema)
         r = {k: table.column(k)[0] for k in table.column_names}
         dim = r["dim"].as_py()
-        ids = [np.array(r[k].as_py(), object) if not pa.types.is_integer(r[k].type.value_type) else r[k].values.to_numpy(zero_copy_only=False) for k in "ab"]
+        ids = [_ids(r[k]) for k in "ab"]
         m = [np.frombuffer(r[k].as_py(), np.float64).reshape(-1, dim) for k in "xy"]
         own = same_set and all(r[k] == r[k + "2"] for k in ("cell", "ring", "part"))
         return pa.table([pa.array(c, f.type) for c, f in zip(fn(ids[0], m[0], ids[1], m[1], own), kind)], schema=kind)
@@ -166,25 +174,101 @@ def _schema(vectors: DataFrame, first: str, second: str, score: str) -> StructTy
     return StructType([StructField(first, kind), StructField(second, kind), *StructType.fromDDL(f"{score} double").fields])
 
 
+def _first(rows: np.ndarray, ids: np.ndarray, score: np.ndarray, k: int) -> np.ndarray:
+    """Places of the k first of each row: the highest score, then the smaller id."""
+    order = np.lexsort((ids, -score, rows))
+    rows = rows[order]
+    return order[np.arange(len(rows)) - np.searchsorted(rows, rows) < k]
+
+
+def _nearest(own: np.ndarray, x: np.ndarray, ids: np.ndarray, y: np.ndarray, k: int, band: tuple[float, float] | None) -> tuple:
+    """(row, place in ``ids``, score) of the k best of each row of a slice, its own id left out; ids are sorted."""
+    take, score = min(k, len(ids)), x @ y.T
+    if band:
+        score = np.round(score, 9)
+        score[(score < band[0]) | (score > band[1])] = -np.inf
+    score[np.isnan(score)] = -np.inf
+    score[own[:, None] == ids[None, :]] = -np.inf
+    # Rounding never turns an order round, so what rounds to the k-th best or more is no further below it than a step.
+    least = np.partition(score, score.shape[1] - take, axis=1)[:, -take]
+    rows, cols = np.nonzero(score >= np.maximum(least - 2e-9, -4.0)[:, None])
+    score = np.round(score[rows, cols], 9)
+    keep = _first(rows, cols, score, take)
+    return rows[keep], cols[keep], score[keep]
+
+
 def _best(k: int, low: float, high: float) -> Callable:
+    band = (low, high) if low > -1.5 or high < 1.5 else None
+
     def best(own, x, ids, y, _):
-        score = np.round(x @ y.T, 9)
-        score[(score < low) | (score > high) | (own[:, None] == ids[None, :])] = -np.inf
-        take = min(k, score.shape[1])
-        order = np.argsort(-score, axis=1, kind="stable")[:, :take]  # ids are sorted, so ties go to the smaller
-        rows, cols = np.repeat(np.arange(len(own)), take), order.ravel()
-        keep = np.isfinite(score[rows, cols])
-        rows, cols = rows[keep], cols[keep]
-        return own[rows], ids[cols], score[rows, cols]
+        out = []
+        for at in range(0, len(own), _SLICE):
+            rows, cols, score = _nearest(own[at : at + _SLICE], x[at : at + _SLICE], ids, y, k, band)
+            out.append((own[at + rows], ids[cols], score))
+        return tuple(np.concatenate(c) for c in zip(*out))
 
     return best
 
 
+def _better(left: Blocks, right: Blocks, pairs: DataFrame, floors: DataFrame, k: int, schema: StructType) -> DataFrame:
+    """The k best of each query in the blocks that ``pairs`` name, as far as they reach its ``floors``.
+
+    A task holds a block of queries and so many blocks that they fit ``_HELD`` bytes, one after another; what is found raises the
+    floors. Single precision with its error bound says which cosines are worth working out in double precision.
+    """
+    widest = right.table.agg(F.max(_c("n").cast("long") * _c("dim"))).first()[0] or 1
+    many = max(1, _HELD // (8 * widest))
+    own = ["cell", "ring", "part", "bunch"]
+    nth = F.row_number().over(W.partitionBy("cell", "ring", "part").orderBy("cell2", "ring2", "part2"))
+    named = pairs.withColumn("bunch", F.floor((nth - 1) / many).cast("int"))
+    a = named.select(own).distinct().join(left.table.select("cell", "ring", "part", "dim", _c("ids").alias("a"), _c("m").alias("x")), own[:3]).join(floors, own[:3])
+    b = right.table.select(_c("cell").alias("cell2"), _c("ring").alias("ring2"), _c("part").alias("part2"), _c("ids").alias("b"), _c("m").alias("y"))
+    b = named.join(b, ["cell2", "ring2", "part2"]).select(*[_c(n).alias("_" + n) for n in own], "b", "y")
+
+    def run(queries, others):
+        import pyarrow as pa
+        from pyspark.sql.pandas.types import to_arrow_schema
+
+        kind = to_arrow_schema(schema)
+        if not queries.num_rows or not others.num_rows:
+            return kind.empty_table()
+        r = {n: queries.column(n)[0] for n in queries.column_names}
+        dim, mine, floor = r["dim"].as_py(), _ids(r["a"]), np.array(r["floors"].as_py(), np.float64)
+        x = np.frombuffer(r["x"].as_py(), np.float64).reshape(-1, dim)
+        x32, slack = x.astype(np.float32), (dim + 8) * 1.2e-7
+        at, ids, score = np.zeros(0, np.int64), mine[:0], np.zeros(0)
+        for i in range(others.num_rows):
+            theirs = _ids(others.column("b")[i])
+            y = np.frombuffer(others.column("y")[i].as_py(), np.float64).reshape(-1, dim)
+            y32, found = y.astype(np.float32).T, [(at, ids, score)]
+            for lo in range(0, len(mine), _SLICE):
+                some = slice(lo, lo + _SLICE)
+                near = x32[some] @ y32 >= (floor[some] - slack).astype(np.float32)[:, None]
+                if np.count_nonzero(near) * 16 > near.size:  # little is known of these queries yet
+                    rows, cols, s = _nearest(mine[some], x[some], theirs, y, k, None)
+                    found.append((rows + lo, theirs[cols], s))
+                    continue
+                rows, cols = np.nonzero(near)
+                other = mine[rows + lo] != theirs[cols]
+                rows, cols = rows[other] + lo, cols[other]
+                found.append((rows, theirs[cols], np.round(np.einsum("ij,ij->i", x[rows], y[cols]), 9)))
+            at, ids, score = (np.concatenate(c) for c in zip(*found))
+            reach = score >= floor[at]
+            at, ids, score = at[reach], ids[reach], score[reach]
+            keep = _first(at, ids, score, k)
+            at, ids, score = at[keep], ids[keep], score[keep]
+            full = np.flatnonzero(np.bincount(at, minlength=len(mine)) >= k)
+            floor[full] = score[np.searchsorted(at, full, side="right") - 1]
+        return pa.table([pa.array(c, f.type) for c, f in zip((mine[at], ids, score), kind)], schema=kind)
+
+    return a.groupBy(*own).cogroup(b.groupBy(*["_" + n for n in own])).applyInArrow(run, schema)
+
+
 def vector_top_k(queries: DataFrame, vectors: DataFrame, k: int, rows_per_block: int = ROWS) -> DataFrame:
     """(id, neighbour, score, rank): the k most similar vectors per query, itself left out, exact; ties go to the smaller id.
 
-    Queries first meet the blocks of their own cell. The k-th best found there is the least that a block of queries asks of
-    others; blocks that can't hold it are not read for it.
+    Queries first meet the blocks of their own cell. The k-th best found there is the least that a query asks of others, and the
+    least of a block's queries what the block asks; blocks that can't hold it are not read for it.
     """
     pivots = pivots_of(vectors)
     right = blocks(vectors, pivots, rows_per_block)
@@ -195,11 +279,13 @@ def vector_top_k(queries: DataFrame, vectors: DataFrame, k: int, rows_per_block:
     first = cut_lineage(own.select("cell", "ring", "part", _c("cell").alias("cell2"), "o.ring2", "o.part2"))
     found = cut_lineage(_meet(left, right, first, _best(k, -2.0, 2.0), schema))
     kth = found.groupBy("id").agg(F.count("*").alias("m"), F.min("score").alias("s"))
-    members = left.table.select("cell", "ring", "part", F.explode("ids").alias("id"))
-    floors = members.join(kth, "id", "left").groupBy("cell", "ring", "part").agg(F.min(F.when(_c("m") >= k, _c("s")).otherwise(-2.0)).alias("floor"))
-    names = left.names.join(floors, ["cell", "ring", "part"])
+    members = left.table.select("cell", "ring", "part", F.posexplode("ids").alias("at", "id"))
+    asked = F.struct("at", F.when(_c("m") >= k, _c("s")).otherwise(-2.0).alias("f"))
+    floors = members.join(kth, "id", "left").groupBy("cell", "ring", "part").agg(F.transform(F.array_sort(F.collect_list(asked)), lambda a: a["f"]).alias("floors"))
+    floors = cut_lineage(floors)
+    names = left.names.join(floors.select("cell", "ring", "part", F.array_min("floors").alias("floor")), ["cell", "ring", "part"])
     rest = block_pairs(left, right, _c("floor"), names=names).join(first, _KEYS, "left_anti")
-    more = _meet(left, right, cut_lineage(rest), _best(k, -2.0, 2.0), schema)
+    more = _better(left, right, cut_lineage(rest), floors, k, schema)
     return shapes.top_k(found.unionByName(more), ["id"], k, F.desc("score"), _c("neighbour"))
 
 

@@ -91,3 +91,18 @@ def test_no_vectors(spark):
     g = spark.createDataFrame([(1, None), (2, [])], "id long, v array<double>")
     for x in (f, g):
         assert ops.vector_top_k(x, x, 3).collect() == [] and ops.vector_pairs(x, 0.5).collect() == []
+
+
+@pytest.mark.parametrize("kind", ["random", "clustered"])
+def test_what_a_query_has_is_the_least_it_asks_of_other_blocks(spark, monkeypatch, kind):
+    x = made(kind, n=600)
+    x[20:60] = x[20]  # many equal scores
+    f = frame(spark, x)
+    rows, top_k = [], ops.shapes.top_k
+    monkeypatch.setattr(ops.shapes, "top_k", lambda df, *a: rows.append(df.count()) or top_k(df, *a))
+    got = sorted((r.id, r["rank"], r.neighbour, r.score) for r in ops.vector_top_k(f, f, 3, 25).collect())
+    assert rows[0] <= 2 * 3 * len(x)  # of its own block and of all others together
+    score = np.round(cosines(x), 9)
+    for i in range(len(x)):
+        best = sorted((-score[i, j], j) for j in range(len(x)) if j != i)[:3]
+        assert [(n, s) for _, _, n, s in got[3 * i : 3 * i + 3]] == [(j, pytest.approx(-s, abs=1e-9)) for s, j in best]
