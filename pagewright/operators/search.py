@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from pagewright.functions import numbers, urls
 from pagewright.operators import shapes
+from pagewright.session import cut_lineage
 
 
 def _c(name: str) -> Column:
@@ -200,9 +201,14 @@ def group_click_leaders(evidence: DataFrame) -> DataFrame:
 
 
 def dedupe_ranked(rows: DataFrame) -> DataFrame:
-    """Best rank per address and result list, renumbered by (rank, url)."""
-    keyed = rows.withColumn("url_key", urls.url_key(_c("url"), "snapshot"))
-    best = shapes.latest(keyed.where("url_key IS NOT NULL").select("list", "url_key", "rank", "url"), ["list", "url_key"], -_c("rank"), _c("url"))
+    """Best rank per address and result list, renumbered by (rank, url).
+
+    Spellings of a list shrink to their best rank before they are keyed. The best rows are written once: numbering reads them
+    twice, and a filter on a key that is still an expression would work it out again.
+    """
+    spelled = rows.groupBy("list", "url").agg(F.min("rank").alias("rank"))
+    keyed = spelled.withColumn("url_key", urls.url_key(_c("url"), "snapshot"))
+    best = cut_lineage(shapes.latest(keyed.select("list", "url_key", "rank", "url"), ["list", "url_key"], -_c("rank"), _c("url"))).where("url_key IS NOT NULL")
     return shapes.numbered(best, ["list"], F.floor(_c("rank") / 100), _c("rank"), _c("url_key"), name="position")
 
 

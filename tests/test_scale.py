@@ -6,7 +6,7 @@ from itertools import combinations
 from pyspark.sql import functions as F
 
 from pagewright.functions import text as text_functions
-from pagewright.operators import focus, graph, similarity
+from pagewright.operators import focus, graph, search, similarity
 from pagewright.plans import catalog
 
 
@@ -73,3 +73,12 @@ def test_term_vectors_take_texts_apart_once(spark):
     for name in ("tfidf_vectors", "core_terms", "anchor_term_mass", "term_cooccurrence"):
         plan = catalog.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
         assert "regexp_extract_all" not in plan, name
+
+
+def test_dedupe_ranked_keys_an_address_once(spark):
+    urls_of = ["https://www.r.example/a/?utm_source=x", "http://r.example/a", "http://r.example/b", "ftp:x", None]
+    rows = spark.createDataFrame([(n % 2, urls_of[i], r) for n in range(6) for i in range(5) for r in (7 + n, 3 + i + n, None)] + [(None, urls_of[1], 2)], "list long, url string, rank long")
+    found = search.dedupe_ranked(rows)
+    assert "regexp" not in _plan(found)
+    got = {(r.list, r.url_key, r["rank"], r.position) for r in found.where("list IS NOT NULL").collect()}
+    assert got == {(n, f"r.example/{k}", n + d, p) for n in (0, 1) for k, d, p in (("a", 3, 1), ("b", 5, 2))}
