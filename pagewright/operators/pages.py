@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from pagewright.functions import status, text, urls
+from pagewright.session import cut_lineage
 
 RUN = ["site_id", "run_id"]
 
@@ -321,11 +322,13 @@ def dangling_references(triples: DataFrame, pages: DataFrame) -> DataFrame:
     )
     base = lambda c: urls.url_key(F.regexp_replace(c, "#.*$", ""), "gate")
     crawled = pages.select(*keys_of(pages), base(_c("url")).alias("base")).distinct()
-    refs = triples.where(_c("property").isin(*relations)).select(*keys, "page", "property", "value", absolute.alias("target")).where(_c("target").rlike("#.+"))
-    return (
-        refs.withColumn("base", base(_c("target"))).join(crawled, [*[k for k in keys if k in pages.columns], "base"], "left_semi")
-        .join(declared, [*keys, "target"], "left_anti").select(*keys, "page", "property", "value").distinct()
-    )
+    # Written once, so that no filter or join works the addresses out again.
+    refs = cut_lineage(triples.where(_c("property").isin(*relations)).select(*keys, "page", "property", "value").distinct().withColumn("target", absolute))
+    # Many references name one target: each target is looked up once.
+    targets = refs.where(_c("target").rlike("#.+")).select(*keys, "target").distinct().withColumn("base", base(_c("target")))
+    missing = targets.join(crawled, [*[k for k in keys if k in pages.columns], "base"], "left_semi").join(declared, [*keys, "target"], "left_anti")
+    lost = missing.select(*[_c(k).alias("_" + k) for k in (*keys, "target")])
+    return refs.join(lost, [_c(k).eqNullSafe(_c("_" + k)) for k in (*keys, "target")], "left_semi").select(*keys, "page", "property", "value")
 
 
 def urls_with_fragment(base: Column, ref: Column) -> Column:

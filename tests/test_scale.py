@@ -6,7 +6,7 @@ from itertools import combinations
 from pyspark.sql import functions as F
 
 from pagewright.functions import text as text_functions
-from pagewright.operators import focus, graph, search, similarity
+from pagewright.operators import focus, graph, pages, search, similarity
 from pagewright.plans import catalog
 
 
@@ -82,3 +82,17 @@ def test_dedupe_ranked_keys_an_address_once(spark):
     assert "regexp" not in _plan(found)
     got = {(r.list, r.url_key, r["rank"], r.position) for r in found.where("list IS NOT NULL").collect()}
     assert got == {(n, f"r.example/{k}", n + d, p) for n in (0, 1) for k, d, p in (("a", 3, 1), ("b", 5, 2))}
+
+
+def test_dangling_references_look_up_a_target_once(spark):
+    page = lambda i: f"https://g.example/p/{i}"
+    refs = [("r1", page(i), 0, "$", "brand", page(i % 3) + "#b") for i in range(30)] * 2
+    refs += [("r1", page(1), 0, "$", "about", "#own"), ("r1", page(1), 0, "$", "brand", "https://else.example/#b"), ("r1", page(2), 0, "$", "brand", page(5)), (None, page(1), 0, "$", "brand", page(1) + "#b")]
+    nodes = [("r1", page(0), 0, "$.b", "@id", "#b"), ("r1", page(0), 0, "$.b", "name", "x"), ("r1", page(2), 0, "$.b", "@id", "#b")]
+    triples = spark.createDataFrame(refs + nodes, "run_id string, page string, decl int, path string, property string, value string")
+    crawled = spark.createDataFrame([("r1", page(i)) for i in range(3)] + [(None, page(1))], "run_id string, url string")
+    found = pages.dangling_references(triples, crawled)
+    last = _plan(found).split("Optimized Logical Plan")[1].split("Physical Plan")[0].split("Join Left")[1]  # what is returned comes from what was written
+    assert "regexp" not in last
+    want = {("r1", page(i), "brand", page(i % 3) + "#b") for i in range(30) if i % 3} | {("r1", page(1), "about", "#own")}
+    assert sorted(tuple(r) for r in found.collect()) == sorted(want)
