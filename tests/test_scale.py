@@ -1,12 +1,13 @@
 """What moves between tasks: nothing whole through the driver, no whole set with a pair."""
 
+import math
 import random
 from itertools import combinations
 
 from pyspark.sql import functions as F
 
 from pagewright.functions import text as text_functions
-from pagewright.operators import focus, graph, pages, search, similarity
+from pagewright.operators import focus, graph, pages, passages, search, similarity, sparse
 from pagewright.plans import catalog
 
 
@@ -96,3 +97,41 @@ def test_dangling_references_look_up_a_target_once(spark):
     assert "regexp" not in last
     want = {("r1", page(i), "brand", page(i % 3) + "#b") for i in range(30) if i % 3} | {("r1", page(1), "about", "#own")}
     assert sorted(tuple(r) for r in found.collect()) == sorted(want)
+
+
+def test_weighted_sets_meet_in_blocks_without_a_row_for_a_shared_term(spark, monkeypatch):
+    monkeypatch.setattr(sparse, "DOCS", 7)
+    monkeypatch.setattr(sparse, "_PLACES", 20)
+    monkeypatch.setattr(sparse, "_HITS", 15)
+    monkeypatch.setattr(sparse, "_SHARE", 0.2)
+    monkeypatch.setattr(similarity, "_GROUP", 10)
+    monkeypatch.setattr(similarity, "_GROUPS", 4)
+    rng = random.Random(3)
+    common, sets = [f"c{i}" for i in range(6)], {}
+    for lang in ("en", "de"):
+        for i in range(60):
+            sets[lang, f"{lang}{i:02}"] = {*rng.sample(common, rng.randrange(6)), *(f"w{rng.randrange(40)}" for _ in range(rng.randrange(1, 12)))}
+        sets[lang, f"{lang}98"] = set(sets[lang, f"{lang}07"])
+        sets[lang, f"{lang}99"] = sets[lang, f"{lang}07"] | {"more"}
+    rows = [(lang, doc, term) for (lang, doc), terms in sets.items() for term in terms]
+    terms = spark.createDataFrame(rows + rows[:9] + [(None, "x", "w1"), ("en", "x", None), ("en", None, "w2")], "lang string, doc string, term string")
+    weights = similarity.term_weights(terms, ["lang"]).localCheckpoint()
+    weight = {(r.lang, r.term): r.weight for r in weights.collect()}
+    for floor, least in ((0.3, 2), (0.16, 1)):
+        found = similarity.weighted_jaccard_pairs(weights, ["lang"], floor, least)
+        # Only names of blocks are joined; the blocks themselves meet in tasks.
+        plan = _plan(found)
+        assert "FlatMapGroupsInArrow" in plan and "array_intersect" not in plan
+        one = {}
+        for (lang, doc), held in sorted(sets.items(), reverse=True):
+            one[lang, frozenset(held)] = doc
+        want = {}
+        for (lang, a), (lang2, b) in combinations(sorted(one, key=lambda k: one[k]), 2):
+            total = lambda s, lang=lang: sum(weight[lang, t] for t in s)
+            if lang == lang2 and len(a & b) >= least and total(a & b) / total(a | b) >= floor:
+                want[lang, *sorted((one[lang, a], one[lang, b])), len(a & b)] = total(a & b) / total(a | b)
+        got = {(r.lang, r.left, r.right, r.shared): r.similarity for r in found.collect()}
+        assert got.keys() == want.keys() and len(got) > 10 and all(math.isclose(got[k], want[k]) for k in got)
+        both = {r[1:] for r in got if r[0] == "en"}
+    lone = similarity.weighted_jaccard_pairs(weights.where("lang = 'en'").drop("lang"), [], 0.16, 1)
+    assert {(r.left, r.right, r.shared) for r in lone.collect()} == both
