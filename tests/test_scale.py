@@ -135,3 +135,23 @@ def test_weighted_sets_meet_in_blocks_without_a_row_for_a_shared_term(spark, mon
         both = {r[1:] for r in got if r[0] == "en"}
     lone = similarity.weighted_jaccard_pairs(weights.where("lang = 'en'").drop("lang"), [], 0.16, 1)
     assert {(r.left, r.right, r.shared) for r in lone.collect()} == both
+
+
+def test_subtopics_meet_blocks_of_pages_and_not_terms(spark, monkeypatch):
+    monkeypatch.setattr(sparse, "DOCS", 5)
+    monkeypatch.setattr(sparse, "_PLACES", 9)
+    monkeypatch.setattr(sparse, "_HITS", 6)
+    rng = random.Random(8)
+    pages_of = {p: {f"t{rng.randrange(30)}": float(rng.randrange(1, 9)) for _ in range(rng.randrange(1, 12))} for p in range(23)}
+    topics = {s: {f"t{rng.randrange(40)}": float(rng.randrange(1, 5)) for _ in range(6)} for s in "abcd"} | {"e": {"none": 1.0}}
+    given = spark.createDataFrame([(p, t, w) for p, v in pages_of.items() for t, w in v.items()] + [(None, "t1", 2.0), (50, None, 3.0)], "page long, term string, weight double")
+    refs = spark.createDataFrame([(s, t, w) for s, v in topics.items() for t, w in v.items()] + [(None, "t2", 1.0)], "subtopic string, term string, weight double")
+    found = passages.subtopic_coverage(given, refs)
+    assert "FlatMapCoGroupsInArrow" in _plan(found)
+    length = lambda v: math.sqrt(sum(w * w for w in v.values()))
+    got = {r.subtopic: (r.page, round(r.similarity, 9), r.coverage) for r in found.collect() if r.subtopic}
+    for s, v in topics.items():
+        alike = {p: round(sum(w * v.get(t, 0) for t, w in u.items()) / length(u) / length(v), 9) for p, u in pages_of.items() if u.keys() & v.keys()}
+        page = min(alike, key=lambda p: (-alike[p], p), default=None)
+        cos = alike.get(page, 0.0)
+        assert got[s] == (page if cos >= 0.6 else None, cos, 1.0 if cos >= 0.78 else 0.5 if cos >= 0.6 else 0.0)
