@@ -144,7 +144,8 @@ def sentence_windows(sections: DataFrame, target: int = 180, most: int = 250, ca
         return pa.array((_sentence_windows([x or "" for x in p.as_py() or []], target, most, carried) for p in paragraphs), type=pa.list_(_ARROW_WINDOW))
 
     rest = [c for c in sections.columns if c != "paragraphs"]
-    rows = sections.withColumn("_w", cut("paragraphs")).select(*rest, F.posexplode("_w").alias("window", "w"))
+    # Called so, the planner doesn't cut a text twice, once to see whether it has windows.
+    rows = sections.withColumn("_w", cut.asNondeterministic()("paragraphs")).select(*rest, F.posexplode("_w").alias("window", "w"))
     return rows.select(*rest, "window", F.array("w.text").alias("paragraphs"), "w.text", "w.tokens", "w.start", "w.end", "w.oversized")
 
 
@@ -208,12 +209,13 @@ def window_scores(windows: DataFrame, rules: DataFrame, fallback: str = "en") ->
 
     ``windows(…, lang, heading, window, paragraphs, text, tokens)``, and ``core_terms`` if the words that a passage has to name
     are known; else they are the heading's. A language without rules takes those of ``fallback``. Text without spaces between words
-    isn't split. Rules are few and joined as a table.
+    isn't split. Rules are a row a language and go to every task: most windows may be of one language, which no join by it would
+    spread.
     """
     known = windows if "core_terms" in windows.columns else windows.withColumn("core_terms", F.array().cast("array<string>"))
     other = rules.where(_c("lang") == fallback).select(*[_c(c).alias(f"_{c}") for c in ("dangling", "filler", "relations", "deictic")])
     names = ("dangling", "filler", "relations", "deictic")
-    joined = known.join(rules, "lang", "left").join(F.broadcast(other.limit(1)), F.lit(True), "left")
+    joined = known.join(F.broadcast(rules), "lang", "left").join(F.broadcast(other.limit(1)), F.lit(True), "left")
     rows = joined.select(*known.columns, *[F.coalesce(n, f"_{n}", F.array().cast("array<string>")).alias(n) for n in names])
     heading = F.coalesce("heading", F.lit(""))
     rows = rows.withColumn("_s", sentences(_c("text"))).withColumn("_anchors", F.when(F.size("core_terms") > 0, _c("core_terms")).otherwise(_content(heading)))
@@ -223,7 +225,10 @@ def window_scores(windows: DataFrame, rules: DataFrame, fallback: str = "en") ->
     lost = lambda s, *more: (_opens_with(s, _c("dangling")) & ~named(s, _c("_anchors")) & (~named(s, more[0]) if more else F.lit(True))).cast("int")
     dangling = lost(first) + F.when(second != "", lost(second, _content(first))).otherwise(0)
     markers = F.array_distinct(F.concat("deictic", F.array(*[F.lit(w) for w in ("here", "there", "now", "today", "above", "below", "as follows")])))
-    pointing = lambda s: F.size(F.filter(markers, lambda m: F.regexp_like(s, F.concat(F.lit(r"(?iu)(?:^|[^\p{L}\p{N}])\Q"), m, F.lit(r"\E(?=$|[^\p{L}\p{N}])")))))
+    # A pattern is made only for a marker that stands somewhere in the sentence, whatever the case of its letters.
+    any_case = lambda x: F.lower(F.upper(F.translate(x, "İ", "i")))
+    marked = lambda s, m: F.regexp_like(s, F.concat(F.lit(r"(?iu)(?:^|[^\p{L}\p{N}])\Q"), m, F.lit(r"\E(?=$|[^\p{L}\p{N}])")))
+    pointing = lambda s: let(any_case(s), lambda low: F.size(F.filter(markers, lambda m: low.contains(any_case(m)) & marked(s, m))))
     missing = (F.size("_anchors") > 0) & ~named(_c("text"), _c("_anchors"))
     rows = rows.withColumn("dangling_openers", dangling).withColumn("deictic_markers", pointing(first) + pointing(second)).withColumn("no_entity", missing)
     alone = F.greatest(F.lit(0.0), 1 - (0.35 * _c("dangling_openers") + 0.4 * _c("deictic_markers") + 0.5 * _c("no_entity").cast("int")))

@@ -181,3 +181,13 @@ def test_page_scores(spark):
     scored = spark.createDataFrame([(1, 0, 0, 40, 2), (1, 1, 0, 61, 0), (1, 1, 1, 30, 1), (2, 0, 0, 90, 3)], "page_id long, section int, window int, score int, facts int")
     got = {r.page_id: (r.score, r.chunks, r["mean"], r.facts, [tuple(x) for x in r.weak_windows]) for r in ops.page_scores(scored, structure).collect()}
     assert got == {1: (math.floor(0.8 * 131 / 3 + 18 + 0.5), 3, 43.7, 3, [(30, 1, 1), (40, 0, 0)]), 2: (72, 1, 90.0, 3, [])}
+
+
+def test_windows_do_not_move_to_the_rules_of_their_language(spark):
+    sections = spark.createDataFrame([(i, "en", 0, "Boiler pressure", 2, [f"It is now here. The boiler holds {i} bar today. NOW it operates at 5 V.", "ſee Below."]) for i in range(6)] + [(9, None, 0, None, 2, ["Tam jest."]), (10, "xx", 0, "", 2, [])], "doc_id long, lang string, section int, heading string, level int, paragraphs array<string>")
+    windows = ops.sentence_windows(sections)
+    found = ops.window_scores(windows, ops.rules_table(spark))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning(lang" not in plan and "SortMergeJoin" not in plan and plan.count("ArrowEvalPython") == 1
+    got = {r.doc_id: (r.dangling_openers, r.deictic_markers) for r in found.collect()}
+    assert got == {**{i: (1, 3) for i in range(6)}, 9: (0, 0)}
