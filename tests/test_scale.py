@@ -7,7 +7,7 @@ from itertools import combinations
 from pyspark.sql import functions as F
 
 from pagewright.functions import text as text_functions
-from pagewright.operators import focus, graph, pages, passages, search, similarity, sparse
+from pagewright.operators import focus, graph, pages, passages, search, similarity, sparse, termblocks
 from pagewright.plans import catalog
 
 
@@ -155,3 +155,40 @@ def test_subtopics_meet_blocks_of_pages_and_not_terms(spark, monkeypatch):
         page = min(alike, key=lambda p: (-alike[p], p), default=None)
         cos = alike.get(page, 0.0)
         assert got[s] == (page if cos >= 0.6 else None, cos, 1.0 if cos >= 0.78 else 0.5 if cos >= 0.6 else 0.0)
+
+
+def test_packed_terms_give_what_rows_of_terms_give(spark, monkeypatch):
+    monkeypatch.setattr(termblocks, "PAGES", 4)
+    monkeypatch.setattr(termblocks, "WORDS", 60)
+    rng = random.Random(11)
+    words = [*"abcdefghijklmnopqrst", "é", "zz", "a b", "x q", "b x"]
+    docs = [(site, page, lang, rng.choices(words, k=rng.randrange(25)) + ["a"]) for site in ("s", "t", "u") for page in range(15) for lang in rng.sample(["en", "de", None], rng.randrange(1, 3))]
+    docs += docs[:5] + [("s", None, "en", ["a", "b", "b"]), ("t", 3, "fr", []), ("t", 4, "fr", None), (None, 1, "en", ["a"])]
+    given = spark.createDataFrame(docs, "site string, page long, lang string, words array<string>").repartition(4).localCheckpoint()
+    rows = given.where("site IS NOT NULL").select("site", "page", "lang", F.explode("words").alias("term")).groupBy("site", "page", "lang", "term").agg(F.count("*").alias("tf")).drop("lang").localCheckpoint()
+    packed = termblocks.pack(given.where("site IS NOT NULL").repartitionByRange(3, "site", "page").sortWithinPartitions("site", "page", "lang"), "site", ["page", "lang"]).localCheckpoint()
+    assert packed.count() > 9 and packed.agg(F.sum("pages")).first()[0] == 46
+
+    def found(terms):
+        stats = focus.term_stats(terms, ("zz",)).localCheckpoint()
+        v = focus.tfidf(terms, stats).localCheckpoint()
+        cluster = focus.site_terms(v).withColumn("cluster", F.when(F.col("term") > "f", "far").otherwise("near"))
+        core = focus.core_terms(cluster, focus.site_weights(v), size=9).localCheckpoint()
+        yield "stats", stats
+        yield "weights", focus.site_weights(v)
+        yield "pages", focus.site_pages(v)
+        yield "masses", focus.page_masses(v)
+        yield "together", focus.cooccurrence(v, focus.top_terms(focus.site_weights(v), 6))
+        yield "anchors", focus.anchor_mass(v, spark.createDataFrame([("s", 2), ("s", 9), ("t", 0), ("t", None)], "site string, page long"))
+        yield "core", core
+        yield "relevance", focus.page_relevance(v, cluster, core)
+        yield "lexical", focus.page_relevance(v, cluster, core, "lexical")
+        yield "shares", focus.alignment_rows(v, cluster, core, 5).where("page <> 3").select("site", "page", "rank", "is_core", "cluster_share")
+
+    def plain(frame):
+        return sorted(([round(x, 8) if isinstance(x, float) else x for x in r] for r in frame.select(*sorted(frame.columns)).collect()), key=repr)
+
+    for (name, a), (_, b) in zip(found(rows), found(packed)):
+        assert plain(a) == plain(b) and a.count() > 3, name
+    # What moves for a block is its distinct terms.
+    assert "FlatMapCoGroupsInArrow" in _plan(focus.tfidf(packed, focus.term_stats(packed)))
