@@ -192,3 +192,18 @@ def test_packed_terms_give_what_rows_of_terms_give(spark, monkeypatch):
         assert plain(a) == plain(b) and a.count() > 3, name
     # What moves for a block is its distinct terms.
     assert "FlatMapCoGroupsInArrow" in _plan(focus.tfidf(packed, focus.term_stats(packed)))
+
+
+def test_packed_sets_meet_like_rows_of_terms(spark, monkeypatch):
+    monkeypatch.setattr(termblocks, "PAGES", 9)
+    monkeypatch.setattr(sparse, "DOCS", 7)
+    rng = random.Random(4)
+    docs = [(lang, f"{lang}{i:02}", [f"w{rng.randrange(30)}" for _ in range(rng.randrange(1, 12))]) for lang in ("en", "de") for i in range(40)]
+    docs += docs[:6] + [("en", "en98", docs[7][2]), ("en", "en99", docs[8][2][::-1]), ("en", "en03", ["more"]), ("en", None, ["w2", "w3"]), ("de", "de77", [])]
+    given = spark.createDataFrame(docs, "lang string, doc string, words array<string>").repartition(3).localCheckpoint()
+    packed = termblocks.pack(given.repartitionByRange(2, "lang", "doc").sortWithinPartitions("lang", "doc"), "lang", ["doc"]).localCheckpoint()
+    rows = given.select("lang", "doc", F.explode("words").alias("term"))
+    for ceiling, floor in ((None, 0.3), (0.25, 0.16)):
+        a, b = (similarity.weighted_jaccard_pairs(similarity.term_weights(x, ["lang"], ceiling=ceiling), ["lang"], floor) for x in (rows, packed))
+        plain = lambda x: sorted((r.lang, r.left, r.right, round(r.similarity, 9), r.shared) for r in x.collect())
+        assert plain(a) == plain(b) and a.count() > 10
