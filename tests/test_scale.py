@@ -207,3 +207,31 @@ def test_packed_sets_meet_like_rows_of_terms(spark, monkeypatch):
         a, b = (similarity.weighted_jaccard_pairs(similarity.term_weights(x, ["lang"], ceiling=ceiling), ["lang"], floor) for x in (rows, packed))
         plain = lambda x: sorted((r.lang, r.left, r.right, round(r.similarity, 9), r.shared) for r in x.collect())
         assert plain(a) == plain(b) and a.count() > 10
+
+
+def test_candidate_pages_make_no_row_for_a_shared_term(spark, monkeypatch):
+    monkeypatch.setattr(sparse, "DOCS", 6)
+    rng = random.Random(9)
+    words = {p: ("en" if p % 3 else None, {f"w{rng.randrange(14)}" for _ in range(rng.randrange(1, 9))}) for p in range(40)}
+    words[50], words[51] = words[4], words[6]
+    terms = spark.createDataFrame([(t, p, w) for p, (t, held) in words.items() for w in held] * 2 + [("en", None, "w1")], "topic string, page long, term string")
+    pages_of = spark.createDataFrame([(p, str(p % 30)) for p in words], "page long, content_hash string")
+    near = spark.createDataFrame([(0, 1), (4, 50), (1, 39), (2, 60), (0, 30)], "left long, right long")
+    found = passages.candidate_pages(pages_of, near, terms, 3)
+    plan = _plan(found)
+    assert "FlatMapGroupsInArrow" in plan and "array_except" not in plan
+    sets = {p: {(t, w) for w in held} for p, (t, held) in words.items()}
+    one = {}
+    for p in sorted(sets, reverse=True):
+        one[frozenset(sets[p])] = p
+    want = {}
+    for a, b in combinations(sorted(one.values()), 2):
+        if len(sets[a] & sets[b]) >= 3:
+            want.setdefault((a, b), set()).add("topic-term")
+    for a, b in near.collect():
+        want.setdefault((a, b), set()).add("fingerprint")
+    first = {}
+    for p in sorted(words):
+        if first.setdefault(p % 30, p) != p:
+            want.setdefault((first[p % 30], p), set()).add("same-content")
+    assert sorted((r.left, r.right, r.basis) for r in found.collect()) == sorted((a, b, ",".join(sorted(v))) for (a, b), v in want.items())
